@@ -36,6 +36,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     current = cut(edges.select("u", "v").where("u <> v").distinct())
     print_of = lambda e: e.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("h")).first()
     seen = print_of(current)
+    if seen["n"] == 0:
+        return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(max_rounds):
         current = cut(_towards_minimum(_towards_minimum(current, True), False))
         now = print_of(current)
