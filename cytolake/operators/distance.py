@@ -140,9 +140,8 @@ def nearest_targets(
     Sources without a target in their region have no row.
     """
     box = boxes is not None
-    if box:
-        located = located.join(boxes, _G)
-    located = cut(located)
+    # both roles and the final answer start from these rows
+    located = cut(located.join(boxes, _G) if box else located)
     sources, targets = _positions(located, box)
     reach = targets.agg(F.max(F.greatest(F.abs("x"), F.abs("y")))).first()[0] or 0
     levels = 0
@@ -222,7 +221,7 @@ def carried_distances(located: DataFrame, nearest: DataFrame, classes: Sequence[
     )
     joined = each.join(nearest, ["slide_id", "region_id", "cell_ord", "source", "target"], "left")
     present = located.select("slide_id", F.col("cell_type").alias("target")).distinct()
-    joined = joined.join(present, ["slide_id", "target"], "left_semi")
+    joined = cut(joined.join(present, ["slide_id", "target"], "left_semi"))
     carried = last_value_before(joined, ["slide_id", "source", "target"], "cell_ord", "dist", "carried")
     return carried.where("carried > 0").select(
         "slide_id", "region_id", "cell_ord", "source", "target", F.col("carried").alias("dist")

@@ -19,30 +19,27 @@ def document_leaves(docs: DataFrame, doc: str = "doc", max_depth: int = MAX_DEPT
     """Leaves of nested JSON objects: the other columns, ``path`` (names from the root), ``ord`` (position
     at each level, so leaves sort in document order) and ``raw`` (JSON text). Empty objects vanish.
 
-    Each pass opens one level of every document, so the work is spread by row, not by document.
+    Each pass opens one more level in place: a chain of projections without any shuffle.
     """
     keep = [c for c in docs.columns if c != doc]
     empty = lambda t: F.array().cast(f"array<{t}>")
     level = docs.select(*keep, empty("string").alias("path"), empty("int").alias("ord"), F.col(doc).alias("raw"))
-    leaves = None
-    for depth in range(max_depth):
-        opened = level.select(
-            *keep,
-            "path",
-            "ord",
-            F.posexplode(F.map_entries(F.from_json("raw", "map<string,string>"))).alias("_pos", "_entry"),
-        ).select(
-            *keep,
-            F.concat("path", F.array("_entry.key")).alias("path"),
-            F.concat("ord", F.array("_pos")).alias("ord"),
-            F.col("_entry.value").alias("raw"),
+    nested = F.coalesce(F.startswith(F.col("raw"), F.lit("{")), F.lit(False))
+    for _ in range(max_depth):
+        children = F.transform(
+            F.map_entries(F.from_json("raw", "map<string,string>")),
+            lambda e, i: F.struct(
+                F.concat("path", F.array(e["key"])).alias("path"),
+                F.concat("ord", F.array(i)).alias("ord"),
+                e["value"].alias("raw"),
+            ),
         )
-        nested = F.coalesce(F.startswith(F.col("raw"), F.lit("{")), F.lit(False))
-        flat = opened.where(~nested)
-        leaves = flat if leaves is None else leaves.unionByName(flat)
-        level = opened.where(nested)
-    deeper = level.select(*keep, "path", "ord", F.raise_error(F.lit("document nested too deeply")).cast("string").alias("raw"))
-    return leaves.unionByName(deeper)
+        itself = F.array(F.struct("path", "ord", "raw"))
+        level = level.select(*keep, F.explode(F.when(nested, children).otherwise(itself)).alias("_n")).select(
+            *keep, "_n.path", "_n.ord", "_n.raw"
+        )
+    deeper = F.raise_error(F.lit("document nested too deeply")).cast("string")
+    return level.withColumn("raw", F.when(nested, deeper).otherwise(F.col("raw")))
 
 
 def full_name(sep: str = "_") -> Column:

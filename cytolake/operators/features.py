@@ -50,7 +50,8 @@ def _feature(section: str, grp: str, name: str, value: Column) -> Column:
     )
 
 
-def _unfold(wide: DataFrame, rows: list[Column]) -> DataFrame:
+def unfold(wide: DataFrame, rows: list[Column]) -> DataFrame:
+    """One row per slide and feature."""
     return wide.select("slide_id", F.explode(F.array(*rows)).alias("r")).select("slide_id", "r.*")
 
 
@@ -79,7 +80,7 @@ def _total(prefix: str, classes: Sequence[int]) -> Column:
     return out
 
 
-def slide_features(wide: DataFrame) -> DataFrame:
+def slide_features() -> list[Column]:
     """6 fractions and 15 log ratios of the whole slide; background does not count."""
     total = _total("w", range(1, 7))
     rows = [
@@ -90,10 +91,10 @@ def slide_features(wide: DataFrame) -> DataFrame:
         _feature(WSI, WSI_RATIOS, ratio_name(a, b), log_ratio(F.col(f"w{a}"), F.col(f"w{b}")))
         for a, b in ratio_pairs(RATIO_ORDER["wsi"])
     ]
-    return _unfold(wide, rows)
+    return rows
 
 
-def region_features(wide: DataFrame, vicinity: bool = True) -> DataFrame:
+def region_features(vicinity: bool = True) -> list[Column]:
     """Fractions and log ratios inside the tumour and, with ``vicinity``, in its border band."""
     rows = []
     for pop, prefix, classes, suffix, on in (
@@ -118,10 +119,10 @@ def region_features(wide: DataFrame, vicinity: bool = True) -> DataFrame:
             )
             for a, b in ratio_pairs(RATIO_ORDER[pop])
         ]
-    return _unfold(wide, rows)
+    return rows
 
 
-def density_features(wide: DataFrame) -> DataFrame:
+def density_features() -> list[Column]:
     """Counts and cell area per tumour area; NULL where the slide has no tumour area. Needs ``area``."""
     rows = [
         _feature(RATIOS, REGION_DENSITY, f"{FEATURE_NAMES[c]}_perTumorarea", F.try_divide(F.col(f"nt{c}"), F.col("area")))
@@ -136,20 +137,15 @@ def density_features(wide: DataFrame) -> DataFrame:
         )
         for c in TUMOUR_CLASSES
     ]
-    return _unfold(wide, rows)
+    return rows
 
 
-def share_features(wide: DataFrame) -> DataFrame:
+def share_features() -> list[Column]:
     """Part of each class that lies inside the tumour."""
-    return _unfold(
-        wide,
-        [
-            _feature(
-                MIXED, SHARES, f"Percentage_{FEATURE_NAMES[c]}_insideTumor", F.try_divide(F.col(f"nt{c}"), F.col(f"w{c}"))
-            )
-            for c in (1, 2, 3, 4)
-        ],
-    )
+    return [
+        _feature(MIXED, SHARES, f"Percentage_{FEATURE_NAMES[c]}_insideTumor", F.try_divide(F.col(f"nt{c}"), F.col(f"w{c}")))
+        for c in (1, 2, 3, 4)
+    ]
 
 
 def morphology_features(morphology: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from cytolake.operators import features as FT
 from cytolake.operators import mask as M
 from cytolake.operators.morphology import morphology
 from cytolake.operators.regions import label_regions
-from cytolake.schema import BAND_CLASSES, DISTANCE_CLASSES, DOWN_FACTOR, MARGIN, TUMOUR_CLASSES
+from cytolake.runtime import cut
+from cytolake.schema import BAND_CLASSES, DISTANCE_CLASSES, DOWN_FACTOR, INSIDE, MARGIN, TUMOUR_CLASSES
 
 
 @dataclass
@@ -27,32 +28,50 @@ class Settings:
     distance_classes: Sequence[int] = field(default_factory=lambda: list(DISTANCE_CLASSES))
 
 
-def tissue_features(cells: DataFrame, mask: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """(slide_id, section, grp, feature, value). A slide without mask gets its whole-slide features;
-    the region features of such a slide are NULL."""
-    cfg = settings or Settings()
-    frame = M.mask_frame(mask)
-    runs = M.mask_runs(mask)
+def prepare_mask(mask: DataFrame, down: int = DOWN_FACTOR) -> tuple[DataFrame, DataFrame]:
+    """Runs, and size with tumour area, per slide. Both are kept, since the pixel table is the largest
+    input and later steps look at it from several sides."""
+    profile = mask.groupBy("slide_id").agg(
+        (F.max("row") + 1).cast("int").alias("height"),
+        (F.max("col") + 1).cast("int").alias("width"),
+        (F.count_if(F.col("value") == INSIDE) * F.lit(down * down)).cast("bigint").alias("area"),
+    )
+    return cut(M.mask_runs(mask)), cut(profile)
+
+
+def population_layers(runs: DataFrame, profile: DataFrame, cfg: Settings) -> DataFrame:
+    frame = profile.select("slide_id", "height", "width")
     band = M.border_band(runs, frame, M.band_kernel(cfg.margin, cfg.down)) if cfg.vicinity else None
-    layers = C.population_layers(runs, band)
-    measured = C.with_measures(cells)
+    return C.population_layers(runs, band)
+
 
-    whole = FT.wide_counts(C.slide_counts(cells))
+def counts_side_by_side(measured: DataFrame, layers: DataFrame, profile: DataFrame, cfg: Settings) -> DataFrame:
+    """One row per slide with every count and area the catalogue is computed from."""
+    whole = FT.wide_counts(C.slide_counts(measured))
     counts = C.population_counts(measured, layers, TUMOUR_CLASSES, BAND_CLASSES if cfg.vicinity else None, cfg.down)
-    area = M.pixel_area(mask, down=cfg.down)
-    regional = FT.wide_populations(counts, TUMOUR_CLASSES, BAND_CLASSES).join(area, "slide_id")
-    wide = whole.join(regional, "slide_id", "left")
+    regional = FT.wide_populations(counts, TUMOUR_CLASSES, BAND_CLASSES).join(
+        profile.select("slide_id", "area"), "slide_id"
+    )
+    return whole.join(regional, "slide_id", "left")
+
 
-    out = FT.slide_features(wide)
-    for part in (FT.region_features(wide, cfg.vicinity), FT.density_features(wide), FT.share_features(wide)):
-        out = out.unionByName(part)
+def tissue_features(cells: DataFrame, mask: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """(slide_id, section, grp, feature, path, value). A slide without mask gets its whole-slide features;
+    the region features of such a slide are NULL."""
+    cfg = settings or Settings()
+    runs, profile = prepare_mask(mask, cfg.down)
+    layers = population_layers(runs, profile, cfg)
+    measured = C.with_measures(cells)
+    wide = counts_side_by_side(measured, layers, profile, cfg)
+    out = FT.unfold(
+        wide, FT.slide_features() + FT.region_features(cfg.vicinity) + FT.density_features() + FT.share_features()
+    )
     if cfg.morphology:
         shapes = morphology(measured, layers, TUMOUR_CLASSES, BAND_CLASSES if cfg.vicinity else None, cfg.down)
         out = out.unionByName(FT.morphology_features(shapes))
     if cfg.distances:
-        regions = label_regions(runs)
-        located = D.located_cells(cells, regions, cfg.distance_classes, cfg.down)
-        nearest = D.nearest_targets(located, cfg.distance_classes)
+        located = cut(D.located_cells(cells, label_regions(runs), cfg.distance_classes, cfg.down))
+        nearest = cut(D.nearest_targets(located, cfg.distance_classes))
         summary = D.distance_summary(cells, located, nearest, cfg.distance_classes)
         out = out.unionByName(FT.distance_features(summary, cfg.distance_classes))
     return out

@@ -1,5 +1,6 @@
 """Named queries with their SQL counterpart."""
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def fresh_path(folder: str, name: str) -> str:
+    """A path no earlier run has written to."""
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 def r6(c: Column | str) -> Column:
     """Rounded to 6 decimals, for comparison between engines; no negative zero."""
     return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)

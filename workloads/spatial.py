@@ -12,6 +12,7 @@ from cytolake.operators import regions as R
 from cytolake.operators.morphology import morphology
 from cytolake.functions.summary import STATS, distribution_summary
 from cytolake.plans import slide_features as P
+from cytolake.runtime import cut
 from workloads import inputs as I
 from workloads.registry import CELLS, LOCATED, MASK, morph_sql, query, r6, rounded, runs_sql, stats_sql
 
@@ -379,8 +380,8 @@ def _distance_sql() -> str:
 @query("agg9_distance_summary", _distance_sql())
 def distances(spark, sf):
     cells = I.cells(spark, sf)
-    located = D.located_cells(cells, R.label_regions(M.mask_runs(mask_of(spark, sf))), ALL5)
-    nearest = D.nearest_targets(located, ALL5)
+    located = cut(D.located_cells(cells, R.label_regions(M.mask_runs(mask_of(spark, sf))), ALL5))
+    nearest = cut(D.nearest_targets(located, ALL5))
     return rounded(D.distance_summary(cells, located, nearest, ALL5), *STATS)
 
 
@@ -404,7 +405,7 @@ def mean_distance(spark, sf):
     select slide_id, region_id, cell_ord, source, target, round(d, 6) as dist from carried where d > 0""",
 )
 def carried(spark, sf):
-    located = located_of(spark, sf)
+    located = cut(located_of(spark, sf))
     return rounded(D.carried_distances(located, D.nearest_targets(located, ALL5), ALL5), "dist")
 
 
@@ -456,15 +457,12 @@ _SHARES = f"""select slide_id, 'Percentage_' || {_NAMES}[cell_type] || '_insideT
   from nt join w using (slide_id, cell_type) where cell_type <= 4"""
 
 
-def _wide(spark, sf, vicinity=True):
+def _wide(spark, sf):
     """Counts of all kinds side by side, after relabelling."""
-    mask = mask_of(spark, sf)
-    runs, frame = M.mask_runs(mask), M.mask_frame(mask)
+    cfg = P.Settings(margin=MARGIN)
+    runs, profile = P.prepare_mask(mask_of(spark, sf))
     cells = C.relabel_outside(C.with_measures(I.cells(spark, sf)).drop("cell_id"), runs)
-    layers = C.population_layers(runs, M.border_band(runs, frame, M.band_kernel(MARGIN)))
-    whole = FT.wide_counts(C.slide_counts(cells))
-    regional = FT.wide_populations(C.population_counts(cells, layers)).join(M.pixel_area(mask), "slide_id")
-    return whole.join(regional, "slide_id", "left")
+    return P.counts_side_by_side(cells, P.population_layers(runs, profile, cfg), profile, cfg)
 
 
 def _plain(df, *features):
@@ -476,30 +474,29 @@ def _plain(df, *features):
 def fractions(spark, sf):
     mask = M.mask_runs(mask_of(spark, sf))
     cells = C.relabel_outside(I.cells(spark, sf).drop("contour"), mask)
-    return rounded(_plain(FT.slide_features(FT.wide_counts(C.slide_counts(cells))), "%\\_Percentage"), "value")
+    return rounded(_plain(FT.unfold(FT.wide_counts(C.slide_counts(cells)), FT.slide_features()), "%\\_Percentage"), "value")
 
 
 @query("agg12_log_ratios", f"with {_FEATURE_BASE} {_WSI_RATIOS} union all {_REGION_RATIOS}")
 def log_ratios(spark, sf):
-    wide = _wide(spark, sf)
-    both = FT.slide_features(wide).unionByName(FT.region_features(wide))
+    both = FT.unfold(_wide(spark, sf), FT.slide_features() + FT.region_features())
     return rounded(_plain(both, "LogRatio%"), "value")
 
 
 @query("agg13_region_fractions", f"with {_FEATURE_BASE} {_REGION_FRACTIONS}")
 def region_fractions(spark, sf):
-    return rounded(_plain(FT.region_features(_wide(spark, sf)), "Percentage%"), "value")
+    return rounded(_plain(FT.unfold(_wide(spark, sf), FT.region_features()), "Percentage%"), "value")
 
 
 @query("agg14_densities", f"with {_FEATURE_BASE} {_DENSITY}")
 def densities(spark, sf):
-    df = _plain(FT.density_features(_wide(spark, sf)))
+    df = _plain(FT.unfold(_wide(spark, sf), FT.density_features()))
     return df.withColumn("value", F.round("value", 9))
 
 
 @query("agg15_inside_shares", f"with {_FEATURE_BASE} {_SHARES}")
 def shares(spark, sf):
-    return rounded(_plain(FT.share_features(_wide(spark, sf))), "value")
+    return rounded(_plain(FT.unfold(_wide(spark, sf), FT.share_features())), "value")
 
 
 @query(
