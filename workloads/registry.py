@@ -42,6 +42,16 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
+NUDGE = 1e-9
+
+
+def rounded_stats(df: DataFrame, *columns: str) -> DataFrame:
+    """As :func:`rounded`, moved off exact halves, which means of short decimals often are."""
+    for c in columns:
+        df = df.withColumn(c, r6(F.col(c) + F.lit(NUDGE)))
+    return df
+
+
 # --- SQL fragments ---------------------------------------------------------------------------
 
 CELLS = """cells as (
@@ -103,11 +113,11 @@ from (select slide_id, r, c, c - row_number() over (partition by slide_id, r ord
 def stats_sql(source: str, keys: Sequence[str], value: str) -> str:
     """The seven statistics; moments and mean absolute deviation written out."""
     k = ", ".join(keys)
-    return f"""select {k}, count(v) as n, round(avg(v), 6) as mean, round(stddev_pop(v), 6) as std,
-       round(quantile_cont(v, 0.5), 6) as median, round(avg(abs(v - mu)), 6) as "MAD",
-       case when max(v) > min(v) then round(avg(pow(v - mu, 3)) / pow(avg(pow(v - mu, 2)), 1.5), 6) + 0.0 end as skewness,
-       case when max(v) > min(v) then round(avg(pow(v - mu, 4)) / pow(avg(pow(v - mu, 2)), 2) - 3, 6) + 0.0 end as kurt,
-       round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 6) as iqr
+    return f"""select {k}, count(v) as n, round(avg(v) + {NUDGE}, 6) as mean, round(stddev_pop(v) + {NUDGE}, 6) as std,
+       round(quantile_cont(v, 0.5) + {NUDGE}, 6) as median, round(avg(abs(v - mu)) + {NUDGE}, 6) as "MAD",
+       case when max(v) > min(v) then round(avg(pow(v - mu, 3)) / pow(avg(pow(v - mu, 2)), 1.5) + {NUDGE}, 6) + 0.0 end as skewness,
+       case when max(v) > min(v) then round(avg(pow(v - mu, 4)) / pow(avg(pow(v - mu, 2)), 2) - 3 + {NUDGE}, 6) + 0.0 end as kurt,
+       round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25) + {NUDGE}, 6) as iqr
 from (select {k}, cast({value} as double) as v, avg({value}) over (partition by {k}) as mu from {source})
 group by {k}"""
 

@@ -14,7 +14,7 @@ from cytolake.functions.summary import STATS, distribution_summary
 from cytolake.plans import slide_features as P
 from cytolake.runtime import cut
 from workloads import inputs as I
-from workloads.registry import CELLS, LOCATED, MASK, morph_sql, query, r6, rounded, runs_sql, stats_sql
+from workloads.registry import CELLS, LOCATED, MASK, morph_sql, query, r6, rounded, rounded_stats, runs_sql, stats_sql
 
 ALL5 = [1, 2, 3, 4, 5]
 MARGIN = 704  # kernel 11
@@ -276,7 +276,7 @@ def population_counts(spark, sf):
 )
 def summary(spark, sf):
     li = I.table(spark, sf, "lineitem")
-    return rounded(distribution_summary(li, ["l_returnflag", "l_linestatus"], "l_extendedprice"), *STATS)
+    return rounded_stats(distribution_summary(li, ["l_returnflag", "l_linestatus"], "l_extendedprice"), *STATS)
 
 
 _MORPH_MEASURES = """measures as (
@@ -303,7 +303,7 @@ def _morph_sql(source: str, grid: str) -> str:
 def morphology_inside(spark, sf):
     layers = C.population_layers(M.mask_runs(mask_of(spark, sf)))
     measured = C.with_measures(I.cells(spark, sf))
-    return rounded(morphology(measured, layers, ALL5, None), *STATS)
+    return rounded_stats(morphology(measured, layers, ALL5, None), *STATS)
 
 
 @query(
@@ -315,7 +315,7 @@ def morphology_inside(spark, sf):
 )
 def morphology_populations(spark, sf):
     measured = C.with_measures(I.cells(spark, sf))
-    return rounded(morphology(measured, layers_of(spark, sf)), *STATS)
+    return rounded_stats(morphology(measured, layers_of(spark, sf)), *STATS)
 
 
 # --- distances --------------------------------------------------------------------------------
@@ -382,7 +382,7 @@ def distances(spark, sf):
     cells = I.cells(spark, sf)
     located = cut(D.located_cells(cells, R.label_regions(M.mask_runs(mask_of(spark, sf))), ALL5))
     nearest = cut(D.nearest_targets(located, ALL5))
-    return rounded(D.distance_summary(cells, located, nearest, ALL5), *STATS)
+    return rounded_stats(D.distance_summary(cells, located, nearest, ALL5), *STATS)
 
 
 @query(
