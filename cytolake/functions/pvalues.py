@@ -36,14 +36,16 @@ def student_two_sided(t: float, df: float) -> float:
     a, b = df / 2.0, 0.5
     if x >= 1.0:
         return 1.0
-    flip = x > (a + 1.0) / (a + b + 2.0)
+    if a * (1.0 - x) > 700.0:  # below e^-700
+        return 0.0
+    flip = x > 0.5
     p, q, y = (b, a, 1.0 - x) if flip else (a, b, x)
     front = math.exp(
         math.lgamma(p + q) - math.lgamma(p) - math.lgamma(q) + p * math.log(y) + q * math.log1p(-y)
     )
     # hypergeometric series: I_y(p, q) = front / p * sum_k prod (p+q+k)/(p+1+k) y^k
     term, total, k = 1.0, 1.0, 0
-    while term > total * 1e-16 and k < 100000:
+    while term > total * 1e-17:
         term *= (p + q + k) / (p + 1.0 + k) * y
         total += term
         k += 1

@@ -23,6 +23,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def measured_broadcasts(spark: SparkSession, limit: str = "10MB") -> None:
+    """Broadcast a join side only once its real size is known.
+
+    The planner's estimate does not see how many rows an explode yields, so a pixel or run table can
+    look tiny. With the static threshold off, a join starts as a shuffle join and
+    AQE turns it into a broadcast join when the finished stage is below ``limit``.
+    """
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", limit)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably, so later stages do not re-run its plan.
 
@@ -30,19 +41,25 @@ def cut(df: DataFrame) -> DataFrame:
     or where two branches must see the very same rows.
     """
     shared_dir(df.sparkSession)
+    measured_broadcasts(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def build_session(app: str, master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+def build_session(
+    app: str, master: str | None = None, shuffle_partitions: int | None = None, memory: str = "8g"
+) -> SparkSession:
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.driver.memory", memory)
     )
     if master:
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    measured_broadcasts(spark)
+    return spark
