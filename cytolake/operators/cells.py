@@ -128,15 +128,22 @@ def population_counts(
     tumour_classes: Sequence[int] = TUMOUR_CLASSES,
     band_classes: Sequence[int] | None = BAND_CLASSES,
     down: int = DOWN_FACTOR,
+) -> DataFrame:
+    """Counts per population straight from measured cells (slide_id, cx, cy, cell_type, area)."""
+    lean = measured.select("slide_id", "cx", "cy", "cell_type", "area")
+    return count_tagged(populations(lean, layers, "left", down), tumour_classes, band_classes)
+
+
+def count_tagged(
+    tagged: DataFrame,
+    tumour_classes: Sequence[int] = TUMOUR_CLASSES,
+    band_classes: Sequence[int] | None = BAND_CLASSES,
 ) -> DataFrame:
     """Count and total area (cut to an integer) per slide, population and class, zero rows included.
 
-    The lookup is a left join so that a slide without any cell inside keeps its zero rows.
-    ``measured`` needs slide_id, cx, cy, cell_type and area.
+    ``tagged`` comes from a left lookup, so that a slide without any cell inside keeps its zero rows.
     """
     lists = [(TUMOUR, list(tumour_classes))] + ([(BAND, list(band_classes))] if band_classes else [])
-    lean = measured.select("slide_id", "cx", "cy", "cell_type", "area")
-    tagged = populations(lean, layers, "left", down)
     aggs, rows = [], []
     for pop, classes in lists:
         for c in classes:

@@ -155,12 +155,13 @@ def closest_sized(lists: DataFrame, size: int) -> DataFrame:
 
 
 def positions_by_value(df: DataFrame, value: str, pos: str) -> DataFrame:
-    """Sorted positions of every value.
+    """Positions of every value in rising order: (value, nth, pos), nth from 0.
 
-    The list is the result itself; where a value may be too frequent for one row, keep the long
-    form ``df.select(value, pos)`` instead.
+    Long form, as a frequent value may have more positions than fit into one row. ``pos`` is a unique
+    number.
     """
-    return df.groupBy(value).agg(F.sort_array(F.collect_list(pos)).alias("positions"))
+    numbered = positions(df.select(value, pos), [value], pos, "nth")
+    return numbered.select(value, (F.col("nth") - 1).alias("nth"), pos)
 
 
 def ordered_ids(df: DataFrame, name: str, pos: str) -> DataFrame:

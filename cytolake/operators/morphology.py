@@ -38,13 +38,26 @@ def morphology(
     band_classes: Sequence[int] | None = BAND_CLASSES,
     down: int = DOWN_FACTOR,
 ) -> DataFrame:
-    """Seven statistics of area, circularity and aspect ratio; all 0 for an absent class."""
+    """Morphology straight from measured cells."""
+    lean = measured.select("slide_id", "cx", "cy", "cell_type", *MEASURES)
+    return summarise_tagged(populations(lean, layers, "inner", down), measured, tumour_classes, band_classes)
+
+
+def summarise_tagged(
+    tagged: DataFrame,
+    slides: DataFrame,
+    tumour_classes: Sequence[int] = TUMOUR_CLASSES,
+    band_classes: Sequence[int] | None = BAND_CLASSES,
+) -> DataFrame:
+    """Seven statistics of area, circularity and aspect ratio; all 0 for an absent class.
+
+    ``tagged`` has one row per cell and population, ``slides`` names the slides that need rows.
+    """
     keys = ["slide_id", "population", "cell_type"]
     lists = [(TUMOUR, tumour_classes)] + ([(BAND, band_classes)] if band_classes else [])
-    lean = measured.select("slide_id", "cx", "cy", "cell_type", *MEASURES)
-    tagged = populations(lean, layers, "inner", down).where(wanted(tumour_classes, band_classes or []))
-    stats = distribution_summary(long_measures(tagged, keys), [*keys, "measure"], "value")
-    grid = class_grid(measured, lists, list(MEASURES.values()))
+    members = tagged.where(wanted(tumour_classes, band_classes or []))
+    stats = distribution_summary(long_measures(members, keys), [*keys, "measure"], "value")
+    grid = class_grid(slides, lists, list(MEASURES.values()))
     filled = grid.join(stats, [*keys, "measure"], "left")
     absent = F.col("n").isNull()
     return filled.select(

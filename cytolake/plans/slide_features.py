@@ -10,7 +10,7 @@ from cytolake.operators import cells as C
 from cytolake.operators import distance as D
 from cytolake.operators import features as FT
 from cytolake.operators import mask as M
-from cytolake.operators.morphology import morphology
+from cytolake.operators.morphology import MEASURES, summarise_tagged
 from cytolake.operators.regions import label_regions
 from cytolake.runtime import cut
 from cytolake.schema import BAND_CLASSES, DISTANCE_CLASSES, DOWN_FACTOR, INSIDE, MARGIN, TUMOUR_CLASSES
@@ -45,10 +45,10 @@ def population_layers(runs: DataFrame, profile: DataFrame, cfg: Settings) -> Dat
     return C.population_layers(runs, band)
 
 
-def counts_side_by_side(measured: DataFrame, layers: DataFrame, profile: DataFrame, cfg: Settings) -> DataFrame:
+def counts_side_by_side(cells: DataFrame, tagged: DataFrame, profile: DataFrame, cfg: Settings) -> DataFrame:
     """One row per slide with every count and area the catalogue is computed from."""
-    whole = FT.wide_counts(C.slide_counts(measured))
-    counts = C.population_counts(measured, layers, TUMOUR_CLASSES, BAND_CLASSES if cfg.vicinity else None, cfg.down)
+    whole = FT.wide_counts(C.slide_counts(cells))
+    counts = C.count_tagged(tagged, TUMOUR_CLASSES, BAND_CLASSES if cfg.vicinity else None)
     regional = FT.wide_populations(counts, TUMOUR_CLASSES, BAND_CLASSES).join(
         profile.select("slide_id", "area"), "slide_id"
     )
@@ -56,19 +56,30 @@ def counts_side_by_side(measured: DataFrame, layers: DataFrame, profile: DataFra
 
 
 def tissue_features(cells: DataFrame, mask: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """(slide_id, section, grp, feature, path, value). A slide without mask gets its whole-slide features;
-    the region features of such a slide are NULL."""
+    """(slide_id, section, grp, feature, path, value) from cells and a dense mask."""
     cfg = settings or Settings()
     runs, profile = prepare_mask(mask, cfg.down)
-    layers = population_layers(runs, profile, cfg)
-    measured = C.with_measures(cells)
-    wide = counts_side_by_side(measured, layers, profile, cfg)
+    return tissue_features_from_runs(cells, runs, profile, cfg)
+
+
+def tissue_features_from_runs(cells: DataFrame, runs: DataFrame, profile: DataFrame, cfg: Settings) -> DataFrame:
+    """Same from foreground runs and (slide_id, height, width, area).
+
+    A slide without mask gets its whole-slide features; its region features are NULL.
+    Outlines are measured before any shuffle and the mask lookup is made once for counts and
+    morphology.
+    """
+    band = BAND_CLASSES if cfg.vicinity else None
+    lean = C.with_measures(cells).select("slide_id", "cx", "cy", "cell_type", *MEASURES)
+    tagged = C.populations(lean, population_layers(runs, profile, cfg), "left", cfg.down)
+    if cfg.morphology:
+        tagged = cut(tagged)  # read three more times
+    wide = counts_side_by_side(cells, tagged, profile, cfg)
     out = FT.unfold(
         wide, FT.slide_features() + FT.region_features(cfg.vicinity) + FT.density_features() + FT.share_features()
     )
     if cfg.morphology:
-        shapes = morphology(measured, layers, TUMOUR_CLASSES, BAND_CLASSES if cfg.vicinity else None, cfg.down)
-        out = out.unionByName(FT.morphology_features(shapes))
+        out = out.unionByName(FT.morphology_features(summarise_tagged(tagged, tagged, TUMOUR_CLASSES, band)))
     if cfg.distances:
         located = cut(D.located_cells(cells, label_regions(runs), cfg.distance_classes, cfg.down))
         nearest = cut(D.nearest_targets(located, cfg.distance_classes))

@@ -108,14 +108,13 @@ def sample_order(spark, sf):
 
 @query(
     "top4_closest_sized",
-    """with l as (select p_size, list_sort(list(p_partkey)) as items from part group by p_size)
-    select p_size as pos, cast(len(items) as integer) as n from l order by abs(len(items) - 4), p_size limit 1""",
+    """with l as (select doc_id, len(string_split(text, ' ')) as n from documents)
+    select doc_id as pos, cast(n as integer) as n from l order by abs(n - 120), doc_id limit 1""",
 )
 def closest(spark, sf):
-    lists = I.table(spark, sf, "part").groupBy(F.col("p_size").alias("pos")).agg(
-        F.sort_array(F.collect_list("p_partkey")).alias("items")
-    )
-    return MX.closest_sized(lists, 4).select("pos", F.size("items").alias("n"))
+    docs = I.table(spark, sf, "documents")
+    lists = docs.select(F.col("doc_id").alias("pos"), F.split("text", " ").alias("items"))
+    return MX.closest_sized(lists, 120).select("pos", F.size("items").alias("n"))
 
 
 @query(

@@ -462,7 +462,8 @@ def _wide(spark, sf):
     cfg = P.Settings(margin=MARGIN)
     runs, profile = P.prepare_mask(mask_of(spark, sf))
     cells = C.relabel_outside(C.with_measures(I.cells(spark, sf)).drop("cell_id"), runs)
-    return P.counts_side_by_side(cells, P.population_layers(runs, profile, cfg), profile, cfg)
+    tagged = C.populations(cells.select("slide_id", "cx", "cy", "cell_type", "area"), P.population_layers(runs, profile, cfg), "left")
+    return P.counts_side_by_side(cells, tagged, profile, cfg)
 
 
 def _plain(df, *features):

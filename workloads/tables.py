@@ -250,7 +250,7 @@ def stable_ids(spark, sf):
 
 @query(
     "scl14_positions_by_value",
-    "select p_brand, list_sort(list(p_partkey)) as positions from part group by p_brand",
+    "select p_brand, row_number() over (partition by p_brand order by p_partkey) - 1 as nth, p_partkey from part",
 )
 def by_value(spark, sf):
     return MX.positions_by_value(I.table(spark, sf, "part"), "p_brand", "p_partkey")
