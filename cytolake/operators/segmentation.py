@@ -18,28 +18,42 @@ def _check_threshold(threshold: float) -> None:
         raise ValueError("the IoU threshold must not be negative")
 
 
-def instance_areas(pixels: DataFrame, inst: str, name: str) -> DataFrame:
-    return pixels.where(F.col(inst) != 0).groupBy("tile_id", inst).agg(F.count("*").alias(name))
+def instance_overlaps(pixels: DataFrame, truth: str = "true_inst", pred: str = "pred_inst") -> DataFrame:
+    """Pixels per (tile, truth, prediction), background included: all that the scores need of the pixels."""
+    return pixels.groupBy("tile_id", F.col(truth).alias("true_inst"), F.col(pred).alias("pred_inst")).agg(
+        F.count("*").alias("n")
+    )
 
 
-def iou_pairs(pixels: DataFrame, truth: str = "true_inst", pred: str = "pred_inst") -> DataFrame:
-    """Overlapping instance pairs with their intersection over union."""
-    overlap = pixels.groupBy("tile_id", truth, pred).agg(F.count("*").alias("n"))
-    areas = lambda c, name: overlap.where(F.col(c) != 0).groupBy("tile_id", c).agg(F.sum("n").alias(name))
+def _iou(inter: Column, area_true: Column, area_pred: Column) -> Column:
+    return inter / (area_true + area_pred - inter)
+
+
+def overlap_pairs(overlaps: DataFrame) -> DataFrame:
+    """Instance pairs with their intersection over union.
+
+    Areas are window sums over the overlaps (a tile's worth of rows), so pixels are read once.
+    """
+    area = lambda inst: F.sum("n").over(Window.partitionBy("tile_id", inst))
     return (
-        overlap.where((F.col(truth) != 0) & (F.col(pred) != 0))
-        .join(areas(truth, "_at"), ["tile_id", truth])
-        .join(areas(pred, "_ap"), ["tile_id", pred])
+        overlaps.withColumn("_at", area("true_inst"))
+        .withColumn("_ap", area("pred_inst"))
+        .where("true_inst <> 0 and pred_inst <> 0")
         .select(
             "tile_id",
-            F.col(truth).alias("true_inst"),
-            F.col(pred).alias("pred_inst"),
+            "true_inst",
+            "pred_inst",
             F.col("n").alias("inter"),
-            (F.col("n") / (F.col("_at") + F.col("_ap") - F.col("n"))).alias("iou"),
+            _iou(F.col("n"), F.col("_at"), F.col("_ap")).alias("iou"),
         )
     )
 
 
+def iou_pairs(pixels: DataFrame, truth: str = "true_inst", pred: str = "pred_inst") -> DataFrame:
+    """Overlapping instance pairs of a pixel table with their intersection over union."""
+    return overlap_pairs(instance_overlaps(pixels, truth, pred))
+
+
 def match_pairs(pairs: DataFrame, threshold: float = 0.5, keys: Sequence[str] = ("tile_id",)) -> DataFrame:
     """One-to-one pairs above the threshold (strictly).
 
@@ -95,9 +109,10 @@ def _quality(tp: Column, fp: Column, fn: Column, iou_sum: Column) -> tuple[Colum
 
 def panoptic_quality(pixels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """DQ, SQ and PQ per tile regardless of class."""
-    pairs = match_pairs(iou_pairs(pixels), threshold)
+    overlaps = cut(instance_overlaps(pixels))
+    pairs = match_pairs(overlap_pairs(overlaps), threshold)
     hits = pairs.groupBy("tile_id").agg(F.count("*").alias("tp"), F.sum("iou").alias("iou_sum"))
-    counts = pixels.groupBy("tile_id").agg(
+    counts = overlaps.groupBy("tile_id").agg(
         F.countDistinct(F.when(F.col("true_inst") != 0, F.col("true_inst"))).alias("nt"),
         F.countDistinct(F.when(F.col("pred_inst") != 0, F.col("pred_inst"))).alias("np"),
     )
@@ -116,8 +131,9 @@ def class_panoptic_quality(pixels: DataFrame, classes: Sequence[int] = (1, 2, 3,
     """
     _check_threshold(threshold)
     keys = ["tile_id", "class"]
-    overlap = pixels.groupBy("tile_id", "true_class", "true_inst", "pred_class", "pred_inst").agg(
-        F.count("*").alias("n")
+    # the only look at the pixels
+    overlap = cut(
+        pixels.groupBy("tile_id", "true_class", "true_inst", "pred_class", "pred_inst").agg(F.count("*").alias("n"))
     )
 
     def instances(cls: str, inst: str, area: str) -> DataFrame:
@@ -135,14 +151,14 @@ def class_panoptic_quality(pixels: DataFrame, classes: Sequence[int] = (1, 2, 3,
             *keys,
             "true_inst",
             "pred_inst",
-            (F.col("n") / (F.col("_at") + F.col("_ap") - F.col("n"))).alias("iou"),
+            _iou(F.col("n"), F.col("_at"), F.col("_ap")).alias("iou"),
         )
     )
     hits = match_pairs(pairs, threshold, keys).groupBy(*keys).agg(
         F.count("*").alias("tp"), F.sum("iou").alias("iou_sum")
     )
     side = lambda df, inst, n: df.groupBy(*keys).agg(F.count_if(F.col(inst) != 0).alias(n))
-    grid = pixels.select("tile_id").distinct().select(
+    grid = overlap.select("tile_id").distinct().select(
         "tile_id", F.explode(F.array(*[F.lit(c) for c in classes])).alias("class")
     )
     joined = (
@@ -254,22 +270,28 @@ def per_class_instances(pixels: DataFrame, inst: str, cls: str, classes: Sequenc
 def majority_class(pixels: DataFrame, inst: str = "pred_inst", cls: str = "true_class") -> DataFrame:
     """Class of each instance: the most frequent non-background class among its pixels, on a tie the one
     met first in raster order; without any, the tile's most frequent class (smallest on a tie)."""
-    raster = F.struct("row", "col")
-    held = pixels.where(F.col(cls) != 0)
-    votes = held.where(F.col(inst) != 0).groupBy("tile_id", inst, cls).agg(
-        F.count("*").alias("n"), F.min(raster).alias("first")
+    # one row per (instance, class) is all that is needed of the pixels
+    tally = cut(
+        pixels.where((F.col(inst) != 0) | (F.col(cls) != 0))
+        .groupBy("tile_id", F.col(inst).alias("inst"), F.col(cls).alias("class"))
+        .agg(F.count("*").alias("n"), F.min(F.struct("row", "col")).alias("first"))
     )
+    classed = tally.where("class <> 0")
     first = F.struct((-F.col("first.row")).alias("r"), (-F.col("first.col")).alias("c"))
-    best = votes.groupBy("tile_id", inst).agg(F.max_by(cls, F.struct("n", first.alias("f"))).alias("_own"))
-    tile_votes = held.groupBy("tile_id", cls).agg(F.count("*").alias("n"))
+    best = (
+        classed.where("inst <> 0")
+        .groupBy("tile_id", "inst")
+        .agg(F.max_by("class", F.struct("n", first.alias("f"))).alias("_own"))
+    )
+    tile_votes = classed.groupBy("tile_id", "class").agg(F.sum("n").alias("n"))
     dominant = tile_votes.groupBy("tile_id").agg(
-        F.max_by(cls, F.struct("n", (-F.col(cls)).alias("c"))).alias("_tile")
+        F.max_by("class", F.struct("n", (-F.col("class")).alias("c"))).alias("_tile")
     )
-    ids = pixels.where(F.col(inst) != 0).select("tile_id", inst).distinct()
+    ids = tally.where("inst <> 0").select("tile_id", "inst").distinct()
     return (
-        ids.join(best, ["tile_id", inst], "left")
+        ids.join(best, ["tile_id", "inst"], "left")
         .join(dominant, "tile_id", "left")
-        .select("tile_id", F.col(inst).alias("inst"), F.coalesce("_own", "_tile").alias("class"))
+        .select("tile_id", "inst", F.coalesce("_own", "_tile").alias("class"))
     )
 
 

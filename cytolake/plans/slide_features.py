@@ -3,7 +3,7 @@
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytolake.operators import cells as C
@@ -92,8 +92,8 @@ def class_shares_in_region(cells: DataFrame, mask: DataFrame, down: int = DOWN_F
     """Count, area and fraction per class of the cells on the mask."""
     measured = C.with_measures(cells)
     counts = C.population_counts(measured, C.population_layers(M.mask_runs(mask)), band_classes=None, down=down)
-    totals = counts.groupBy("slide_id").agg(F.sum("n").alias("total"))
-    return counts.join(totals, "slide_id").select(
+    total = F.sum("n").over(Window.partitionBy("slide_id"))  # one row per class
+    return counts.withColumn("total", total).select(
         "slide_id",
         "cell_type",
         C.class_name(F.col("cell_type")).alias("class_name"),
