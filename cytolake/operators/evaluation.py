@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cytolake.functions.ordering import running_totals
+from cytolake.runtime import cut
 
 GRID = 100
 
@@ -70,13 +71,14 @@ def consensus_ranking(rankings: DataFrame, k: int) -> DataFrame:
 def roc_points(scored: DataFrame, keys: Sequence[str] = ("fold",)) -> DataFrame:
     """ROC steps per fold: one row per distinct score, with the rates before and after it."""
     keys = list(keys)
-    steps = scored.groupBy(*keys, "score").agg(
-        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
-    ).withColumn("_down", -F.col("score"))
-    cumulated = running_totals(steps, keys, "_down", {"_tp": "pos", "_fp": "neg"})
-    totals = scored.groupBy(*keys).agg(
-        F.count_if(F.col("label") == 1).alias("_p"), F.count_if(F.col("label") == 0).alias("_n")
+    # read by the ranking more than once
+    steps = cut(
+        scored.groupBy(*keys, "score")
+        .agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
+        .withColumn("_down", -F.col("score"))
     )
+    cumulated = running_totals(steps, keys, "_down", {"_tp": "pos", "_fp": "neg"})
+    totals = steps.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     return cumulated.join(totals, keys).select(
         *keys,
         F.col("score").alias("threshold"),

@@ -75,8 +75,10 @@ def mann_whitney(labelled: DataFrame, with_p: bool = True) -> DataFrame:
     ``u`` belongs to label 0, ``z`` to the larger U with tie and continuity correction. The p-value is
     exact for a group of at most 8 without ties, else normal.
     """
-    tally = labelled.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(
-        F.count("*").alias("_t"), F.count_if(F.col("label") == 0).alias("_t0")
+    tally = cut(
+        labelled.where(F.col("value").isNotNull())
+        .groupBy("feature", "value")
+        .agg(F.count("*").alias("_t"), F.count_if(F.col("label") == 0).alias("_t0"))
     )
     ranked = running_totals(tally, ["feature"], "value", {"_upto": "_t"})
     avg_rank = F.col("_upto") - (F.col("_t") - 1) / 2

@@ -23,15 +23,20 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def measured_broadcasts(spark: SparkSession, limit: str = "10MB") -> None:
-    """Broadcast a join side only once its real size is known.
+def apply_session_rules(spark: SparkSession, broadcast_limit: str = "10MB") -> None:
+    """SQL settings the operators rely on, whoever built the session.
 
-    The planner's estimate does not see how many rows an explode yields, so a pixel or run table can
-    look tiny. With the static threshold off, a join starts as a shuffle join and
-    AQE turns it into a broadcast join when the finished stage is below ``limit``.
+    Broadcast a join side only once its real size is known: the planner's estimate does not see how many
+    rows an explode yields, so a pixel or run table can look tiny. With the static threshold off, a
+    join starts as a shuffle join and AQE turns it into a broadcast join when the finished stage is
+    below the limit.
+
+    Unions must not claim the partitioning of their children: Spark 4.1 loses rows of a later join when one
+    child is a checkpoint whose partitions were coalesced and the other is not.
     """
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", limit)
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", broadcast_limit)
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -41,7 +46,7 @@ def cut(df: DataFrame) -> DataFrame:
     or where two branches must see the very same rows.
     """
     shared_dir(df.sparkSession)
-    measured_broadcasts(df.sparkSession)
+    apply_session_rules(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -61,5 +66,5 @@ def build_session(
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
-    measured_broadcasts(spark)
+    apply_session_rules(spark)
     return spark

@@ -175,6 +175,14 @@ def test_morphology_of_squares(mask100, cells7):
     assert absent["n"] == 0 and absent["mean"] == 0 and absent["iqr"] == 0
 
 
+def test_layers_of_kept_masks_lose_no_population(mask100, cells7):
+    """A union of a checkpointed and a computed layer, summarised through joins on the layer name."""
+    runs, profile = P.prepare_mask(mask100, 1)
+    layers = P.population_layers(runs, profile, P.Settings(down=1, margin=10))
+    got = {(r["population"], r["cell_type"]): r["n"] for r in morphology(C.with_measures(cells7), layers, [1, 2], [1, 2], 1).collect()}
+    assert got == {("tumour", 1): 3, ("tumour", 2): 2, ("band", 1): 3, ("band", 2): 0}
+
+
 def png(path, array):
     """Minimal PNG: grey, RGB or RGBA by the array's shape."""
     h, w = array.shape[:2]

@@ -26,9 +26,8 @@ def mask_of(spark, sf):
 
 
 def layers_of(spark, sf, margin=MARGIN):
-    mask = mask_of(spark, sf)
-    runs, frame = M.mask_runs(mask), M.mask_frame(mask)
-    return C.population_layers(runs, M.border_band(runs, frame, M.band_kernel(margin)))
+    runs, profile = P.prepare_mask(mask_of(spark, sf))
+    return P.population_layers(runs, profile, P.Settings(margin=margin))
 
 
 def located_of(spark, sf):
@@ -145,26 +144,26 @@ def tumour_area(spark, sf):
 
 @query("win1_dilate", f"with {morph_sql(11)} {runs_sql('grown', 'd = 255')}")
 def dilated(spark, sf):
-    mask = mask_of(spark, sf)
-    return M.dilate(M.mask_runs(mask), M.mask_frame(mask), 11)
+    runs, profile = P.prepare_mask(mask_of(spark, sf))
+    return M.dilate(runs, profile.select("slide_id", "height", "width"), 11)
 
 
 @query("win2_erode", f"with {morph_sql(10)} {runs_sql('grown', 'e = 255')}")
 def eroded(spark, sf):
-    mask = mask_of(spark, sf)
-    return M.erode(M.mask_runs(mask), M.mask_frame(mask), 10)
+    runs, profile = P.prepare_mask(mask_of(spark, sf))
+    return M.erode(runs, profile.select("slide_id", "height", "width"), 10)
 
 
 @query("win3_border_band", f"with {morph_sql(11)} {runs_sql('grown', 'd - e = 255')}")
 def band(spark, sf):
-    mask = mask_of(spark, sf)
-    return M.border_band(M.mask_runs(mask), M.mask_frame(mask), M.band_kernel(MARGIN))
+    runs, profile = P.prepare_mask(mask_of(spark, sf))
+    return M.border_band(runs, profile.select("slide_id", "height", "width"), M.band_kernel(MARGIN))
 
 
 @query("win3_border_band_even", f"with {morph_sql(10)} {runs_sql('grown', 'd - e = 255')}")
 def band_even(spark, sf):
-    mask = mask_of(spark, sf)
-    return M.border_band(M.mask_runs(mask), M.mask_frame(mask), M.band_kernel(EVEN_MARGIN))
+    runs, profile = P.prepare_mask(mask_of(spark, sf))
+    return M.border_band(runs, profile.select("slide_id", "height", "width"), M.band_kernel(EVEN_MARGIN))
 
 
 @query("win4_mask_runs", f"with {MASK} {runs_sql('mask', 'v = 255')}")
@@ -348,7 +347,7 @@ def nearest_exact(spark, sf):
 
 @query("jn5_nearest_box_search", f"{_BOXED} {_NEAR_OUT}")
 def nearest_box(spark, sf):
-    regions = R.label_regions(M.mask_runs(mask_of(spark, sf)))
+    regions = cut(R.label_regions(M.mask_runs(mask_of(spark, sf))))
     located = D.located_cells(I.cells(spark, sf), regions, ALL5)
     return rounded(D.nearest_targets(located, ALL5, D.search_boxes(regions)), "dist")
 

@@ -10,7 +10,7 @@ from cytolake.operators import segmentation as S
 from cytolake.functions.ordering import positions
 from cytolake.plans import feature_matrix as FMP
 from cytolake.plans import slide_features as P
-from cytolake.runtime import shared_dir
+from cytolake.runtime import cut, shared_dir
 from cytolake.sources import cells as SC
 from cytolake.sources import sinks as K
 from cytolake.sources import tables as ST
@@ -42,7 +42,7 @@ def _checked(cells):
 @query("src1_read_cells", f"{_CELL_ROWS}, row_number() over (partition by slide_id order by cell_ord) as nth from cells")
 def read_cells(spark, sf):
     """Documents are written, read back and parsed; ``nth`` checks their order."""
-    found = _checked(SC.read_cells(spark, _cell_documents(spark, sf), SLIDE_FOLDER))
+    found = cut(_checked(SC.read_cells(spark, _cell_documents(spark, sf), SLIDE_FOLDER)))
     return positions(found, ["slide_id"], "cell_ord", "nth").drop("cell_ord")
 
 
