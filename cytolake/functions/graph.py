@@ -26,7 +26,7 @@ def _towards_minimum(edges: DataFrame, keep_larger: bool) -> DataFrame:
     return moved.where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``(u, v)`` edges of comparable ids -> ``(node, root)``, root = smallest node of the component.
 
     Alternates large-star and small-star steps until the edge set stops changing;
@@ -38,11 +38,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     seen = print_of(current)
     if seen["n"] == 0:
         return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    for _ in range(max_rounds):
+    while True:
         current = cut(_towards_minimum(_towards_minimum(current, True), False))
         now = print_of(current)
         if now == seen:
             roots = current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             return current.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
         seen = now
-    raise RuntimeError("connected components did not settle")

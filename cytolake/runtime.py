@@ -45,8 +45,10 @@ def cut(df: DataFrame) -> DataFrame:
     Reliable checkpoints outlive lost executors; used where a plan is iterated
     or where two branches must see the very same rows.
     """
-    shared_dir(df.sparkSession)
-    apply_session_rules(df.sparkSession)
+    spark = df.sparkSession
+    if spark.conf.get("spark.sql.unionOutputPartitioning", "true") != "false":
+        raise RuntimeError("call apply_session_rules(spark) first: a union of checkpoints can lose rows of a later join")
+    shared_dir(spark)
     return df.checkpoint(eager=True)
 
 
