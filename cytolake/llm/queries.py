@@ -5,7 +5,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytolake.llm import exact_dedup, mixing, simhash
+from cytolake.llm import bpe, exact_dedup, mixing, quality, simhash
+
+#: the tokenizer of the queries, as the public package of vocabulary files names it
+TOKENIZER = "byte_bpe_50k.json"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,12 +30,32 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
 @query("op1_source_mix")
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mix(documents(spark, sf_dir))
     return plan.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "taken")
 
 
+@query("op2_bpe_round_trip")
+def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode_documents(documents(spark, sf_dir), tokenizer_path())
+    decoded = bpe.decode_documents(encoded, tokenizer_path())
+    return decoded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    )
+
+
+@query("op3_quality")
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 @query(
     "op9_exact_dedup",
     """
