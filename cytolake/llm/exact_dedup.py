@@ -23,6 +23,8 @@ from cytolake.runtime import cut, shared_dir
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # files are not pre-allocated: many small state partitions would hold megabytes each
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
