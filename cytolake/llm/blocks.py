@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 #: blocks of one scan task, at most
 _SEQUENCE_BITS = 24
 
+_ARROW = {"bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
+
 
 def pack(numbers: np.ndarray) -> bytes:
     """Non-negative numbers as variable-length bytes, seven bits each, low bits first."""
@@ -94,21 +96,23 @@ def block_words(
     return docs.mapInArrow(run, "block bigint, number int, word binary, weight bigint")
 
 
-def block_documents(docs: DataFrame, split: Callable[[bytes], list], block_bytes: int) -> DataFrame:
-    """``(block, id, numbers)``: every document as the packed numbers of its words.
+def block_documents(docs: DataFrame, split: Callable[[bytes], list], block_bytes: int, carried: str = "id bigint") -> DataFrame:
+    """``(block, *carried, numbers)``: every document as the packed numbers of its words.
 
-    ``docs`` is ``(id, text as bytes)``, or has columns between them, which :func:`block_words` alone reads.
+    ``carried`` is the schema of the columns of ``docs`` before its last one, the text as bytes.
     """
+    names = [c.split()[0] for c in carried.split(",")]
+    kinds = [_ARROW[c.split()[1]] for c in carried.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in _blocks(batches, block_bytes):
             numbers: defaultdict = defaultdict(count().__next__)
             for start in range(0, len(rows), 2000):
                 some = rows[start : start + 2000]
-                yield pa.RecordBatch.from_pydict({
-                    "block": pa.array(np.full(len(some), block, np.int64)),
-                    "id": pa.array([r[0] for r in some], pa.int64()),
-                    "numbers": pa.array([pack(np.array([numbers[w] for w in split(r[-1] or b"")], np.int64)) for r in some], pa.binary()),
-                })
+                packed = [pack(np.array([numbers[w] for w in split(r[-1] or b"")], np.int64)) for r in some]
+                columns = {"block": pa.array(np.full(len(some), block, np.int64))}
+                columns |= {n: pa.array([r[i] for r in some], kinds[i]) for i, n in enumerate(names)}
+                columns["numbers"] = pa.array(packed, pa.binary())
+                yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.mapInArrow(run, "block bigint, id bigint, numbers binary")
+    return docs.mapInArrow(run, f"block bigint, {carried}, numbers binary")

@@ -108,6 +108,24 @@ class LazySplitter:
         return {"broadcast": self.broadcast, "split": None}
 
 
+class CachedEncoder:
+    """Encodes texts in one task; a word is given to the library once, as long as ``most`` words are remembered."""
+
+    def __init__(self, tokenizer_text: str, most: int = 1_000_000) -> None:
+        self.tokenizer, self.split, self.most = load_tokenizer(tokenizer_text), word_splitter(tokenizer_text), most
+        self.known: dict[str, bytes] = {}
+
+    def __call__(self, texts: list[bytes | None]) -> list[bytes]:
+        """Ids of every text as little-endian unsigned 32-bit integers; null is empty."""
+        if len(self.known) > self.most:
+            self.known = {}
+        words = [self.split(t or b"") for t in texts]
+        new = [w for w in dict.fromkeys(w for own in words for w in own) if w not in self.known]
+        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        return [b"".join(map(self.known.__getitem__, own)) for own in words]
+
+
 def encode_documents(
     docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text", block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:

@@ -1,11 +1,13 @@
 """The operators of this subpackage applied to the driver tables, with the columns the comparison reads."""
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytolake.llm import bpe, exact_dedup, mixing, quality, simhash
+from cytolake.llm import bpe, exact_dedup, mixing, quality, simhash, token_files
+from cytolake.runtime import shared_dir
 
 #: the tokenizer of the queries, as the public package of vocabulary files names it
 TOKENIZER = "byte_bpe_50k.json"
@@ -56,6 +58,13 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@query("op6_token_files")
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    token_files.write_token_files(documents(spark, sf_dir), folder, tokenizer_path())
+    return token_files.read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query(
     "op9_exact_dedup",
     """
