@@ -33,10 +33,13 @@ def apply_session_rules(spark: SparkSession, broadcast_limit: str = "10MB") -> N
 
     Unions must not claim the partitioning of their children: Spark 4.1 loses rows of a later join when one
     child is a checkpoint whose partitions were coalesced and the other is not.
+
+    Batches that go to Python hold few rows, as a row can be a whole text.
     """
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", broadcast_limit)
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 def cut(df: DataFrame) -> DataFrame:
