@@ -15,6 +15,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -64,33 +65,40 @@ def _blocks(batches: Iterable[pa.RecordBatch], block_bytes: int) -> Iterator[tup
         yield base + block, rows
 
 
+def _numbered(rows: list[tuple], split: Callable[[bytes], list]) -> tuple[list, np.ndarray, list[np.ndarray]]:
+    """Distinct words of a block, most frequent first (then by first occurrence); how often each occurs; the rows' numbers."""
+    first: defaultdict = defaultdict(count().__next__)
+    texts = [np.array([first[w] for w in split(row[-1] or b"")], np.int64) for row in rows]
+    total = np.bincount(np.concatenate(texts), minlength=len(first)) if first else np.zeros(0, np.int64)
+    order = np.argsort(-total, kind="stable")
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    words = list(first)
+    return [words[i] for i in order.tolist()], total[order], [rank[t] for t in texts]
+
+
 def block_words(
-    docs: DataFrame, split: Callable[[bytes], list], block_bytes: int, weight: Callable[[tuple], int] | None = None
+    docs: DataFrame, split: Callable[[bytes], list], block_bytes: int, counted: Callable[[tuple], bool] | None = None
 ) -> DataFrame:
     """``(block, number, word, weight)``: the distinct words of every block.
 
-    ``docs`` ends with the text as bytes. ``weight`` of a document is added up for each occurrence of a word in it
-    (occurrences are not counted without it).
+    ``docs`` ends with the text as bytes. ``weight`` is how often the word occurs in the documents that are ``counted``
+    (0 for all words without it).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in _blocks(batches, block_bytes):
-            numbers: defaultdict = defaultdict(count().__next__)
-            parts = []
-            for row in rows:
-                own = [numbers[w] for w in split(row[-1] or b"")]
-                if weight and own and weight(row):
-                    parts.append(np.array(own, np.int64) if weight(row) == 1 else np.repeat(own, weight(row)))
-            total = np.bincount(np.concatenate(parts), minlength=len(numbers)) if parts else np.zeros(len(numbers), np.int64)
-            words = list(numbers)
-            words = [w.encode("utf-8", "surrogatepass") for w in words] if words and isinstance(words[0], str) else words
+            words, _, texts = _numbered(rows, split)
+            own = [t for row, t in zip(rows, texts) if counted and counted(row)]
+            weight = np.bincount(np.concatenate(own), minlength=len(words)) if own else np.zeros(len(words), np.int64)
+            words = [w.encode() for w in words] if words and isinstance(words[0], str) else words
             for start in range(0, len(words), 50_000):
                 end = min(start + 50_000, len(words))
                 yield pa.RecordBatch.from_pydict({
                     "block": pa.array(np.full(end - start, block, np.int64)),
                     "number": pa.array(np.arange(start, end, dtype=np.int32)),
                     "word": pa.array(words[start:end], pa.binary()),
-                    "weight": pa.array(total[start:end].astype(np.int64)),
+                    "weight": pa.array(weight[start:end].astype(np.int64)),
                 })
 
     return docs.mapInArrow(run, "block bigint, number int, word binary, weight bigint")
@@ -106,13 +114,18 @@ def block_documents(docs: DataFrame, split: Callable[[bytes], list], block_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in _blocks(batches, block_bytes):
-            numbers: defaultdict = defaultdict(count().__next__)
-            for start in range(0, len(rows), 2000):
-                some = rows[start : start + 2000]
-                packed = [pack(np.array([numbers[w] for w in split(r[-1] or b"")], np.int64)) for r in some]
+            press = zstandard.ZstdCompressor(level=1).compress
+            _, _, texts = _numbered(rows, split)
+            for start in range(0, len(rows), 500):
+                some = rows[start : start + 500]
                 columns = {"block": pa.array(np.full(len(some), block, np.int64))}
                 columns |= {n: pa.array([r[i] for r in some], kinds[i]) for i, n in enumerate(names)}
-                columns["numbers"] = pa.array(packed, pa.binary())
+                columns["numbers"] = pa.array([press(pack(t)) for t in texts[start : start + 500]], pa.binary())
                 yield pa.RecordBatch.from_pydict(columns)
 
     return docs.mapInArrow(run, f"block bigint, {carried}, numbers binary")
+
+
+def numbers_of(data: bytes) -> np.ndarray:
+    """The numbers of a document, as :func:`block_documents` gives them."""
+    return unpack(zstandard.ZstdDecompressor().decompress(data))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytolake.llm.blocks import block_documents, block_words, unpack
+from cytolake.llm.blocks import block_documents, block_words, numbers_of
 from cytolake.llm.text import as_bytes
 
 BLOCK_BYTES = 32 << 20
@@ -136,7 +136,9 @@ def encode_documents(
     of files or a checkpoint.
     """
     spark = docs.sparkSession
-    shipped = spark.sparkContext.broadcast(read_tokenizer(tokenizer_path))
+    tokenizer_text = read_tokenizer(tokenizer_path)
+    small = "<u2" if load_tokenizer(tokenizer_text).get_vocab_size() <= 1 << 16 else "<u4"  # ids on their way
+    shipped = spark.sparkContext.broadcast(tokenizer_text)
     split = LazySplitter(shipped)
     rows = docs.select(F.col(id_column).cast("bigint").alias("id"), as_bytes(text_column).alias("text"))
 
@@ -148,7 +150,7 @@ def encode_documents(
             words = batch.column("word").to_pylist()
             new = [w for a, w in zip([last[0], *words], words) if w != a]
             ids = tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)
-            found = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, ids)} | {last[0]: last[1]}
+            found = {w: np.array(e.ids, small).tobytes() for w, e in zip(new, ids)} | {last[0]: last[1]}
             last = (words[-1], found[words[-1]]) if words else last
             yield pa.RecordBatch.from_pydict({
                 "block": batch.column("block"), "number": batch.column("number"), "piece": pa.array([found[w] for w in words], pa.binary()),
@@ -165,17 +167,17 @@ def encode_documents(
         column = pieces_of.column("piece").combine_chunks() if pieces_of.num_rows else pa.array([], pa.binary())
         column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
         offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
-        flat = np.frombuffer(column.buffers()[2] or b"", "<u4") if len(column) else np.zeros(0, "<u4")
+        flat = np.frombuffer(column.buffers()[2] or b"", small) if len(column) else np.zeros(0, small)
         begin, length = np.zeros(len(number) + 1, np.int64), np.zeros(len(number) + 1, np.int64)
-        begin[number], length[number] = offsets[:-1] // 4, np.diff(offsets) // 4
+        begin[number], length[number] = offsets[:-1] // flat.itemsize, np.diff(offsets) // flat.itemsize
         ids = []
         for packed in documents.column("numbers").to_pylist():
-            own = unpack(packed)
+            own = numbers_of(packed)
             many = length[own]
             ends = np.cumsum(many)
             total = int(ends[-1]) if len(ends) else 0
             at = np.repeat(begin[own] - (ends - many), many) + np.arange(total)
-            ids.append(flat[at].tobytes())
+            ids.append(flat[at].astype("<u4").tobytes())
         return pa.table({
             "doc_id": documents.column("id"), "n_tokens": pa.array([len(i) // 4 for i in ids], pa.int64()), "ids": pa.array(ids, pa.binary()),
         })
