@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytolake.llm import bpe, exact_dedup, mixing, quality, simhash, token_files
+from cytolake.llm import bpe, exact_dedup, mixing, quality, simhash, suffix_tree, token_files
 from cytolake.runtime import shared_dir
 
 #: the tokenizer of the queries, as the public package of vocabulary files names it
@@ -58,6 +58,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@query("op5_suffix_tree")
+def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.model_scores(documents(spark, sf_dir))
+
+
 @query("op6_token_files")
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
