@@ -11,6 +11,7 @@ import json
 import os
 import re
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -109,21 +110,45 @@ class LazySplitter:
 
 
 class CachedEncoder:
-    """Encodes texts in one task; a word is given to the library once, as long as ``most`` words are remembered."""
+    """Encodes whole texts, giving a word to the library only when it is not among those seen lately.
 
-    def __init__(self, tokenizer_text: str, most: int = 1_000_000) -> None:
+    Words of the last ``most`` and up to ``2 most`` distinct ones are remembered, so memory is bounded and common
+    words stay.
+    """
+
+    def __init__(self, tokenizer_text: str, most: int = 300_000) -> None:
         self.tokenizer, self.split, self.most = load_tokenizer(tokenizer_text), word_splitter(tokenizer_text), most
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers; null is empty."""
-        if len(self.known) > self.most:
-            self.known = {}
         words = [self.split(t or b"") for t in texts]
-        new = [w for w in dict.fromkeys(w for own in words for w in own) if w not in self.known]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, own)) for own in words]
+        missing = set().union(*words).difference(self.known)
+        again = [w for w in missing if w in self.older]
+        self.known.update((w, self.older[w]) for w in again)
+        new = list(missing.difference(again))
+        encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        self.known.update((w, array("I", e.ids).tobytes()) for w, e in zip(new, encoded))
+        out = [b"".join(map(self.known.__getitem__, own)) for own in words]
+        if len(self.known) > self.most:
+            self.older, self.known = self.known, {}
+        return out
+
+
+def worker_encoder(tokenizer_text: str) -> CachedEncoder:
+    """The encoder of this Python worker, kept from task to task.
+
+    Functions travel by value and bring new globals with every task, so what should outlive a task is kept with the
+    library, which a worker imports once.
+    """
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_encoders_of_worker", {})
+    key = hash(tokenizer_text)
+    if key not in kept:
+        kept[key] = CachedEncoder(tokenizer_text)
+    return kept[key]
 
 
 def encode_documents(

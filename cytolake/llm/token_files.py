@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytolake.llm.bpe import CachedEncoder, read_tokenizer
+from cytolake.llm.bpe import read_tokenizer, worker_encoder
 from cytolake.llm.text import as_bytes
 
 MAGIC = b"TOKPLANE"
@@ -119,7 +119,7 @@ def write_token_files(
             return pa.RecordBatch.from_pylist([dict(zip(_IMAGE_ARROW.names, row))], schema=_IMAGE_ARROW)
 
         for batch in batches:
-            encode = encode or CachedEncoder(shipped.value)
+            encode = encode or worker_encoder(shipped.value)
             names, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
             for start in range(0, len(names), 500):
                 for name, ids in zip(names[start : start + 500], encode(texts[start : start + 500])):
