@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytolake.llm import bpe, exact_dedup, mixing, quality, simhash, suffix_tree, token_files
+from cytolake.llm import bpe, exact_dedup, line_dedup, mixing, quality, simhash, suffix_tree, token_files
 from cytolake.runtime import shared_dir
 
 #: the tokenizer of the queries, as the public package of vocabulary files names it
@@ -58,6 +58,40 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@query(
+    "op4_line_dedup",
+    r"""
+    with lines as (
+      select doc_id, generate_subscripts(l, 1) - 1 as line_no, unnest(l) as line
+      from (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents)),
+    k as (
+      select doc_id, line_no, words, array_to_string(words, ' ') as line, len(words) as n, doc_id * 1000000 + line_no as place
+      from (select doc_id, line_no, list_filter(regexp_split_to_array(
+                     translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words
+            from lines) where len(words) > 0),
+    firsts as (select line, any_value(words) as words, any_value(n) as n, min(place) as first from k group by line),
+    longs as (select * from firsts where n >= 10),
+    without as (
+      select line, first, n, i, array_to_string(list_concat(words[1:i - 1], words[i + 1:]), ' ') as rest
+      from longs, unnest(range(1, n + 1)) as t(i)),
+    pairs as (
+      select line, first, min(first) over (partition by n, i, rest) as near from without
+      union all select b.line, b.first, a.first from without b join longs a on a.line = b.rest
+      union all select a.line, a.first, b.first from without b join longs a on a.line = b.rest),
+    nears as (select line, min(near) as near from pairs where near < first group by line),
+    judged as (
+      select doc_id, line_no, near is null and place = first as kept, coalesce(near, case when place <> first then first end) as earlier
+      from k join firsts using (line) left join nears using (line))
+    select doc_id, cast(line_no as integer) as line_no, kept, earlier // 1000000 as earlier_doc_id,
+           cast(earlier % 1000000 as integer) as earlier_line_no from judged""",
+)
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = line_dedup.line_decisions(documents(spark, sf_dir))
+    return lines.select(
+        "doc_id", "line_no", "kept", F.col("earlier.id").alias("earlier_doc_id"), F.col("earlier.line_no").alias("earlier_line_no")
+    )
+
+
 @query("op5_suffix_tree")
 def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.model_scores(documents(spark, sf_dir))
