@@ -116,7 +116,7 @@ class CachedEncoder:
     words stay.
     """
 
-    def __init__(self, tokenizer_text: str, most: int = 300_000) -> None:
+    def __init__(self, tokenizer_text: str, most: int = 600_000) -> None:
         self.tokenizer, self.split, self.most = load_tokenizer(tokenizer_text), word_splitter(tokenizer_text), most
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}

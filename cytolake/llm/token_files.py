@@ -52,7 +52,7 @@ def from_planes(planes: list[bytes], n: int) -> np.ndarray:
 
 
 def file_image(
-    documents: list[tuple[int | None, bytes]], planes: int = 4, block_ids: int = 65_536, level: int = 3
+    documents: list[tuple[int | None, bytes]], planes: int = 4, block_ids: int = 65_536, level: int = 1
 ) -> bytes:
     """File with the ids (bytes of unsigned 32-bit integers) of documents in this order."""
     press = zstandard.ZstdCompressor(level=level).compress
