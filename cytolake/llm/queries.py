@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytolake.llm import bpe, exact_dedup, line_dedup, mixing, quality, simhash, suffix_tree, token_files
+from cytolake.llm import bpe, chat, embedding_join, exact_dedup, line_dedup, mixing, quality, simhash, suffix_tree, token_files
 from cytolake.runtime import shared_dir
 
 #: the tokenizer of the queries, as the public package of vocabulary files names it
@@ -104,6 +104,21 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query("op7_chat_windows")
+def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], told.schema)
+    folder = f"{shared_dir(spark)}/chat-{uuid.uuid4().hex}"
+    chat.chat_windows(told.unionByName(probe)).write.parquet(folder)
+    return chat.conversation_digests(spark.read.parquet(folder))
+
+
+@query("op8_embedding_links")
+def op8_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 @query(
     "op9_exact_dedup",
     """
