@@ -216,8 +216,8 @@ def train_tree(
     texts: DataFrame, depth: int = 6, least_share: float = 5e-6, divergence: float = 0.02, smoothing: float = 8.0
 ) -> SuffixTree:
     """Tree of the one column of ``texts`` (bytes). The rows that reach the driver are those of its states alone."""
-    rows = tree_rows(count_grams(texts, depth), depth, least_share, divergence).toPandas()
-    return build_tree(rows, depth, smoothing)
+    rows = tree_rows(count_grams(texts, depth), depth, least_share, divergence).toArrow()  # columns, not a row object each
+    return build_tree(rows.to_pandas(), depth, smoothing)
 
 
 def model_scores(
@@ -246,6 +246,7 @@ def model_scores(
     )
     tree = train_tree(rows.where(~F.col("held_out")).select("text"), depth, least_share, divergence, smoothing)
     tables = spark.sparkContext.broadcast((tree.depth, tree.column, tree.following, tree.log10))
+    del tree
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
