@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from cytolake.llm.text import as_bytes, lowered
 from cytolake.runtime import cut
 
+#: rows of 8 or 16 bytes a task can hold as the broadcast side of a join
+BROADCAST_ROWS = 1_000_000
 #: odd multipliers of the two polynomial hashes
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -100,16 +102,22 @@ def _lines(docs: DataFrame, min_words: int, with_words: bool) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, text_key bigint, line_no int, line binary, halves array<bigint>")
 
 
+def _broadcast_if_few(stored: DataFrame) -> DataFrame:
+    """A stored table of short keys, broadcast when it has few rows; otherwise the other side is shuffled to it."""
+    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
+
+
 def _near_earlier(firsts: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
     """``(line, near)``: for lines that have an earlier near line, the place of one such line.
 
     ``firsts`` has each distinct line once with the place ``first`` of its first occurrence.
     """
     halves = firsts.select("line", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
-    possible = cut(halves.join(shared, "half", "left_semi").select("line").distinct())
-    # as a rule few lines: AQE broadcasts them if they are, and shuffles the texts otherwise
-    texts = _lines(docs, min_words, True).join(possible, "line", "left_semi").groupBy("line").agg(F.first("words").alias("words"))
+    shared = cut(halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half"))
+    possible = cut(halves.join(_broadcast_if_few(shared), "half", "left_semi").select("line").distinct())
+    texts = _lines(docs, min_words, True).join(_broadcast_if_few(possible), "line", "left_semi").groupBy("line").agg(
+        F.first("words").alias("words")
+    )
     known = cut(texts.join(firsts.select("line", "first"), "line"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
