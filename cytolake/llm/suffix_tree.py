@@ -3,7 +3,8 @@
 Symbols are the bytes of the normalised text (A-Z lower-cased, words joined by one space) and one end symbol, so a text is
 the same sequence of words and end whichever symbols are counted. A context is the last 1 to ``depth`` symbols. It becomes
 a state when it makes up at least ``least_share`` of all training symbols and its next-symbol distribution diverges from that of its suffix
-by at least ``divergence`` nats; all parts of a state's context are states as well. A state's
+by at least ``divergence`` nats a symbol, and over all its occurrences by more than its number of next symbols explains (``evidence`` times
+that number times the log of the occurrences); all parts of a state's context are states as well. A state's
 distribution is smoothed with that of its suffix, the root's with a uniform one. Each symbol is
 scored by the state of the longest suffix of what precedes it.
 
@@ -94,7 +95,7 @@ def count_grams(texts: DataFrame, depth: int, chunk_bytes: int = 8 << 20) -> Dat
     return texts.mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def tree_rows(counts: DataFrame, depth: int, least_share: float, divergence: float) -> DataFrame:
+def tree_rows(counts: DataFrame, depth: int, least_share: float, divergence: float, evidence: float) -> DataFrame:
     """``(depth, context, next, n)`` of all states of depth 1 and more, and of the root as depth 0.
 
     ``context`` is packed with the latest symbol lowest. Kept are the contexts that pass both tests, and all parts of theirs.
@@ -114,8 +115,11 @@ def tree_rows(counts: DataFrame, depth: int, least_share: float, divergence: flo
     parent = F.expr(f"context & (shiftleft(1L, {WIDTH} * (depth - 1)) - 1)")
     tested = (
         frequent.where("depth > 0").withColumn("parent", parent).join(of_parent, ["depth", "parent", "next"])
-        .groupBy("depth", "context").agg(F.sum(F.col("n") / F.col("all_n") * F.log(F.col("n") / F.col("all_n") / F.col("q"))).alias("gain"))
-        .where(F.col("gain") >= divergence)
+        .groupBy("depth", "context").agg(
+            F.sum(F.col("n") / F.col("all_n") * F.log(F.col("n") / F.col("all_n") / F.col("q"))).alias("gain"),
+            F.first("all_n").alias("all_n"), F.count(F.lit(1)).alias("symbols"),
+        )
+        .where((F.col("gain") >= divergence) & (F.col("gain") * F.col("all_n") >= evidence * F.col("symbols") * F.log("all_n")))
     )
     # every run of symbols inside a kept context: from i symbols back, of length d
     parts = tested.select("depth", "context", F.explode(F.expr("sequence(1, depth)")).alias("d")).select(
@@ -178,8 +182,12 @@ class SuffixTree:
         return np.add.reduceat(sums, first[:-1])
 
 
-def build_tree(rows: pd.DataFrame, depth: int, smoothing: float = 8.0) -> SuffixTree:
-    """Tree of ``(depth, context, next, n)``; a state's counts are smoothed with ``smoothing`` symbols of its suffix."""
+def build_tree(rows: pd.DataFrame, depth: int, smoothing: float = 3.0) -> SuffixTree:
+    """Tree of ``(depth, context, next, n)``.
+
+    Each distinct symbol seen after a context lends ``smoothing`` counts to the distribution of its suffix: contexts that
+    are followed by many different symbols rely more on what is shorter.
+    """
     seen = np.unique(np.concatenate([rows["next"].to_numpy(np.int64), [SPACE, END]]))
     classes = len(seen) + 1
     column = np.full(SYMBOLS, classes - 1, np.int64)
@@ -205,7 +213,8 @@ def build_tree(rows: pd.DataFrame, depth: int, smoothing: float = 8.0) -> Suffix
         level = np.flatnonzero(all_depths == d)
         if d:
             n = counts[level].sum(axis=1, keepdims=True)
-            chance[level] = (counts[level] + smoothing * chance[up[level]]) / (n + smoothing)
+            weight = smoothing * (counts[level] > 0).sum(axis=1, keepdims=True)
+            chance[level] = (counts[level] + weight * chance[up[level]]) / (n + weight)
             following[level] = following[up[level]]
         longer = np.flatnonzero(all_depths == d + 1)  # reached from a state of this depth by one symbol
         following[before[longer], latest[longer]] = longer
@@ -213,10 +222,11 @@ def build_tree(rows: pd.DataFrame, depth: int, smoothing: float = 8.0) -> Suffix
 
 
 def train_tree(
-    texts: DataFrame, depth: int = 6, least_share: float = 5e-6, divergence: float = 0.02, smoothing: float = 8.0
+    texts: DataFrame, depth: int = 6, least_share: float = 5e-6, divergence: float = 0.02, evidence: float = 0.25,
+    smoothing: float = 3.0,
 ) -> SuffixTree:
     """Tree of the one column of ``texts`` (bytes). The rows that reach the driver are those of its states alone."""
-    rows = tree_rows(count_grams(texts, depth), depth, least_share, divergence).toArrow()  # columns, not a row object each
+    rows = tree_rows(count_grams(texts, depth), depth, least_share, divergence, evidence).toArrow()  # columns, not a row object each
     return build_tree(rows.to_pandas(), depth, smoothing)
 
 
@@ -228,7 +238,8 @@ def model_scores(
     depth: int = 6,
     least_share: float = 5e-6,
     divergence: float = 0.02,
-    smoothing: float = 8.0,
+    evidence: float = 0.25,
+    smoothing: float = 3.0,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``, one row per row of ``docs``.
@@ -244,7 +255,7 @@ def model_scores(
         (crc_mod(id_column) == held_out_remainder).alias("held_out"),
         as_bytes(text_column).alias("text"),
     )
-    tree = train_tree(rows.where(~F.col("held_out")).select("text"), depth, least_share, divergence, smoothing)
+    tree = train_tree(rows.where(~F.col("held_out")).select("text"), depth, least_share, divergence, evidence, smoothing)
     tables = spark.sparkContext.broadcast((tree.depth, tree.column, tree.following, tree.log10))
     del tree
 

@@ -87,7 +87,7 @@ def test_token_files_of_odd_rows(spark, odd, nothing, library, tmp_path, planes)
     assert token_files.read_token_files(spark, empty).count() == 0
 
 
-def plain_tree(texts, depth, least_share, divergence):
+def plain_tree(texts, depth, least_share, divergence, evidence):
     """Counts of all states, by the definition."""
     counts = Counter()
     for t in texts:
@@ -102,16 +102,21 @@ def plain_tree(texts, depth, least_share, divergence):
     def gain(c):
         return sum(n / total[c] * math.log(n / total[c] / (counts[c[1:], a] / total[c[1:]])) for (x, a), n in counts.items() if x == c)
 
-    kept = {c for c in frequent if c and gain(c) >= divergence}
+    following = Counter(c for c, _ in counts)
+    enough = lambda c, g: g >= divergence and g * total[c] >= evidence * following[c] * math.log(total[c])
+    kept = {c for c in frequent if c and enough(c, gain(c))}
     states = {()} | {c[i:j] for c in kept for i in range(len(c)) for j in range(i + 1, len(c) + 1)}
     return states, counts, total
 
 
 def plain_score(text, states, counts, total, depth, smoothing):
+    following = Counter(c for c, _ in counts)
+
     def chance(c, a):
         if not c:
             return (counts[c, a] + 0.5) / (total[c] + 0.5 * 257)
-        return (counts[c, a] + smoothing * chance(c[1:], a)) / (total[c] + smoothing)
+        m = smoothing * following[c]
+        return (counts[c, a] + m * chance(c[1:], a)) / (total[c] + m)
 
     s, out = [32] * depth + suffix_tree.symbols_of(text).tolist(), 0.0
     for k in range(depth, len(s)):
@@ -122,11 +127,11 @@ def plain_score(text, states, counts, total, depth, smoothing):
 
 def test_suffix_tree_equals_the_definition(spark):
     texts = [b"abab abba", b"The  cab\nfab", None, b"", "üb ab".encode(), b"abcabcabc " * 20]
-    depth, share, divergence, smoothing = 3, 0.01, 0.05, 2.0
-    states, counts, total = plain_tree(texts, depth, share, divergence)
+    depth, share, divergence, evidence, smoothing = 3, 0.01, 0.05, 0.2, 2.0
+    states, counts, total = plain_tree(texts, depth, share, divergence, evidence)
     assert 1 < len(states) < len(total)
     frame = spark.createDataFrame([(t,) for t in texts], "text binary")
-    tree = suffix_tree.train_tree(frame, depth, share, divergence, smoothing)
+    tree = suffix_tree.train_tree(frame, depth, share, divergence, evidence, smoothing)
     assert len(tree.log10) == len(states)
     odd_texts = [*texts, b"zzz unseen", bytes(range(97, 123)) * 30]
     want = [plain_score(t, states, counts, total, depth, smoothing) for t in odd_texts]
@@ -159,6 +164,6 @@ def test_base_scores_equal_the_formula(spark, odd, nothing):
 
 
 def test_model_is_better_than_the_base_on_held_out_texts(spark):
-    r = suffix_tree.model_scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out")
+    r = suffix_tree.model_scores(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("held_out")
     row = r.agg(F.sum("score").alias("m"), F.sum("base_score").alias("b")).first()
     assert row.m > row.b
