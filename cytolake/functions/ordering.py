@@ -12,7 +12,24 @@ from pyspark.sql import functions as F
 
 from cytolake.runtime import cut
 
+#: buckets of a group at first, and rows of a bucket beyond which a group gets more of them
 BUCKETS = 64
+BUCKET_ROWS = 1_000_000
+
+
+def _bucket_bounds(df: DataFrame, group: list[str], order: str, buckets: int) -> DataFrame:
+    """Per group the values that cut it into buckets, as many as its size asks for.
+
+    The bounds come from a mergeable quantile sketch; its accuracy grows with the number of buckets.
+    """
+
+    def bounds_of(n: int) -> DataFrame:
+        cuts = [i / n for i in range(1, n)]
+        return cut(df.groupBy(*group).agg(F.percentile_approx(order, cuts, max(1000, 20 * n)).alias("_bounds"), F.count(F.lit(1)).alias("_rows")))
+
+    bounds = bounds_of(buckets)
+    wanted = -(-(bounds.agg(F.max("_rows")).first()[0] or 0) // BUCKET_ROWS)
+    return (bounds_of(wanted) if wanted > buckets else bounds).drop("_rows")
 
 
 def running_totals(
@@ -31,8 +48,7 @@ def running_totals(
     keys = list(keys)
     anchored = df.withColumn("_all", F.lit(1)) if not keys else df
     group = keys or ["_all"]
-    cuts = [i / buckets for i in range(1, buckets)]
-    bounds = cut(anchored.groupBy(*group).agg(F.percentile_approx(order, cuts, 1000).alias("_bounds")))
+    bounds = _bucket_bounds(anchored, group, order, buckets)
     if not keys:  # exactly one row of `buckets` numbers
         bounds = F.broadcast(bounds)
     tagged = anchored.join(bounds, group).withColumn(
@@ -69,8 +85,7 @@ def last_value_before(
 ) -> DataFrame:
     """Carry the last non-null ``value`` forward along ``order`` (this row included)."""
     keys = list(keys)
-    cuts = [i / buckets for i in range(1, buckets)]
-    bounds = cut(df.groupBy(*keys).agg(F.percentile_approx(order, cuts, 1000).alias("_bounds")))
+    bounds = _bucket_bounds(df, keys, order, buckets)
     tagged = df.join(bounds, keys).withColumn(
         "_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(order)))
     ).drop("_bounds")

@@ -1,11 +1,12 @@
 """Flattening of nested result documents."""
 
 from collections.abc import Sequence
+from itertools import accumulate
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-MAX_DEPTH = 8
+from pyspark.sql import types as T
 
 # Leaf names that repeat below several parents.
 REPEATED_LEAVES = [
@@ -15,17 +16,30 @@ REPEATED_LEAVES = [
 ]
 
 
-def document_leaves(docs: DataFrame, doc: str = "doc", max_depth: int = MAX_DEPTH) -> DataFrame:
+@F.pandas_udf(T.IntegerType())
+def _depth(braces: pd.Series) -> pd.Series:
+    """Deepest nesting of a text of braces."""
+    return pd.Series([max(accumulate((1 if c == "{" else -1) for c in b or ""), default=0) for b in braces], dtype="int32")
+
+
+def deepest_object(docs: DataFrame, doc: str = "doc") -> int:
+    """Levels of nested objects in the deepest document; strings do not count."""
+    bare = F.regexp_replace(F.regexp_replace(F.col(doc), r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', ""), r"[^{}]", "")
+    return docs.agg(F.max(_depth(bare))).first()[0] or 0
+
+
+def document_leaves(docs: DataFrame, doc: str = "doc") -> DataFrame:
     """Leaves of nested JSON objects: the other columns, ``path`` (names from the root), ``ord`` (position
     at each level, so leaves sort in document order) and ``raw`` (JSON text). Empty objects vanish.
 
-    Each pass opens one more level in place: a chain of projections without any shuffle.
+    Each pass opens one more level in place, as many as the deepest document has: a chain of projections without any
+    shuffle.
     """
     keep = [c for c in docs.columns if c != doc]
     empty = lambda t: F.array().cast(f"array<{t}>")
     level = docs.select(*keep, empty("string").alias("path"), empty("int").alias("ord"), F.col(doc).alias("raw"))
     nested = F.coalesce(F.startswith(F.col("raw"), F.lit("{")), F.lit(False))
-    for _ in range(max_depth):
+    for _ in range(deepest_object(docs, doc)):
         children = F.transform(
             F.map_entries(F.from_json("raw", "map<string,string>")),
             lambda e, i: F.struct(
@@ -38,8 +52,7 @@ def document_leaves(docs: DataFrame, doc: str = "doc", max_depth: int = MAX_DEPT
         level = level.select(*keep, F.explode(F.when(nested, children).otherwise(itself)).alias("_n")).select(
             *keep, "_n.path", "_n.ord", "_n.raw"
         )
-    deeper = F.raise_error(F.lit("document nested too deeply")).cast("string")
-    return level.withColumn("raw", F.when(nested, deeper).otherwise(F.col("raw")))
+    return level
 
 
 def full_name(sep: str = "_") -> Column:

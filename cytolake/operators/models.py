@@ -21,16 +21,33 @@ ESTIMATORS = {
         **{"maxIter": 100, "stepSize": 0.1, "maxDepth": 5, "seed": 42, "labelCol": "label", **kw}
     ),
     "logistic": lambda **kw: LogisticRegression(
-        **{"regParam": 1.0, "elasticNetParam": 0.0, "weightCol": "weight", "labelCol": "label", **kw}
+        **{"elasticNetParam": 0.0, "standardization": False, "weightCol": "weight", "labelCol": "label", **kw}
     ),
     "forest": lambda **kw: RandomForestClassifier(
-        **{"numTrees": 10, "maxDepth": 10, "seed": 0, "weightCol": "weight", "labelCol": "label", **kw}
+        **{"numTrees": 10, "maxDepth": 30, "seed": 84, "weightCol": "weight", "labelCol": "label", **kw}
     ),
     "ridge": lambda **kw: LinearRegression(
-        **{"regParam": 1.0, "elasticNetParam": 0.0, "solver": "normal", "labelCol": "signed", **kw}
+        **{"elasticNetParam": 0.0, "standardization": False, "solver": "normal", "labelCol": "signed", **kw}
     ),
 }
 
+# penalties as the sum over samples: inverse strength C of the logistic model, alpha of ridge
+DEFAULT_C = 1.0
+DEFAULT_ALPHA = 0.0
+
+
+def penalties(rows: DataFrame, model: str, params: Mapping) -> dict:
+    """Spark's penalty per unit of weight: 1 / (C n) for logistic and alpha / n for ridge regression.
+
+    ``C`` and ``alpha`` are taken from ``params``; a ``regParam`` given there is left as it is.
+    """
+    out = {k: v for k, v in params.items() if k not in ("C", "alpha")}
+    if model in ("logistic", "ridge") and "regParam" not in out:
+        n = rows.count()  # balanced weights add up to n as well
+        strength = 1.0 / params.get("C", DEFAULT_C) if model == "logistic" else params.get("alpha", DEFAULT_ALPHA)
+        out["regParam"] = float(strength) / max(n, 1)
+    return out
+
 
 def balanced_weights(samples: DataFrame, label: str = "label") -> DataFrame:
     """Add ``weight`` = n / (classes * class size)."""
@@ -51,7 +68,7 @@ def training_rows(vectors: DataFrame, labels: DataFrame, key: str = "slide_id")
 def fit(rows: DataFrame, model: str, **params) -> PipelineModel:
     if model not in ESTIMATORS:
         raise ValueError(f"unknown classifier {model}; choose one of {sorted(ESTIMATORS)}")
-    return Pipeline(stages=[ESTIMATORS[model](**params)]).fit(rows)
+    return Pipeline(stages=[ESTIMATORS[model](**penalties(rows, model, params))]).fit(rows)
 
 
 def predict(fitted: PipelineModel, rows: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -78,7 +95,7 @@ def grid_search(
     rows: DataFrame, model: str, grid: Mapping[str, Sequence], folds: int = 3, parallelism: int = 4, **params
 ) -> CrossValidatorModel:
     """Parameter search by k-fold balanced accuracy (recall averaged by weight)."""
-    estimator = ESTIMATORS[model](**params)
+    estimator = ESTIMATORS[model](**penalties(rows, model, params))
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(estimator.getParam(name), list(values))

@@ -63,9 +63,10 @@ def sweep(
         fold, names = job
         subset = labelled.where(F.col("feature").isin(names))
         vectors = MX.to_vectors(subset, names, ["slide_id", "label", "fold"])
-        rows = ML.balanced_weights(vectors).withColumn("signed", (F.col("label") * 2 - 1).cast("double"))
-        fitted = ML.fit(rows.where(F.col("fold") != fold), model, **params)
-        scored = ML.predict(fitted, rows.where(F.col("fold") == fold))
+        signed = vectors.withColumn("signed", (F.col("label") * 2 - 1).cast("double"))
+        train = cut(ML.balanced_weights(signed.where(F.col("fold") != fold)))  # weights of the training part alone
+        fitted = ML.fit(train, model, **params)
+        scored = ML.predict(fitted, signed.where(F.col("fold") == fold))
         return fold, len(names), E.balanced_accuracy(scored).first()[0]
 
     with ThreadPoolExecutor(parallelism) as pool:
@@ -77,6 +78,18 @@ def sweep(
     return scores, spark.createDataFrame(ranks, "fold int, rank int, feature string")
 
 
+def final_features(rankings: DataFrame, best_k: int, count: int) -> DataFrame:
+    """(position, feature, count, score): the consensus features in order, the first ``count`` of them."""
+    ranked = E.consensus_ranking(rankings, best_k).orderBy(F.col("count").desc(), F.col("score").desc(), "feature").limit(count)
+    rows = [(i, r["feature"], r["count"], r["score"]) for i, r in enumerate(ranked.collect(), 1)]  # `count` rows
+    return rankings.sparkSession.createDataFrame(rows, "position int, feature string, count bigint, score double")
+
+
+def write_report(scores: DataFrame, rankings: DataFrame, all_features: int, path: str) -> None:
+    """The report as one JSON line per feature."""
+    report(scores, rankings, all_features).write.mode("overwrite").json(path)
+
+
 def report(scores: DataFrame, rankings: DataFrame, all_features: int) -> DataFrame:
     """Best mean score and its feature count, the mean with all features, and the consensus features."""
     by_count = E.score_by_count(E.common_counts(scores))

@@ -7,15 +7,12 @@ its whole source table: one slide per supplier, one tile per part.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytolake.runtime import apply_session_rules
-
 MASK_SIDE = 100
 DOWN = 32
 TILE_SIDE = 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    apply_session_rules(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -192,9 +192,19 @@ def best_by_p(spark, sf):
     return rounded(SE.best_by_p(SE.mann_whitney(labelled(spark, sf)), 10), "p", "z")
 
 
+@query(
+    "top2_best_by_z",
+    f"with {FM}, {_MWU.format(src='fm')} order by z desc, feature limit 10",
+)
+def best_by_z(spark, sf):
+    """The same selection checked by z, which orders features as the normal p-value does."""
+    tests = SE.mann_whitney(labelled(spark, sf))
+    return rounded(SE.best_by_p(tests, 10).drop("p", "rank"), "z")
+
+
 @query("fs3_boruta")
 def boruta(spark, sf):
-    return SE.boruta(labelled(spark, sf).drop("cohort_id"), rounds=4, max_depth=4, trees=10, seed=0)
+    return SE.boruta(labelled(spark, sf).drop("cohort_id"), rounds=12, max_depth=6, trees=20, seed=0)
 
 
 @query(
@@ -216,6 +226,27 @@ def correlation_groups(spark, sf):
     return SE.correlation_groups(cut(MX.correlations(I.feature_matrix(spark, sf))), 0.12)
 
 
+_SCAN = [0.08, 0.1, 0.12, 0.14]
+
+
+@query(
+    "fs4_threshold_scan",
+    f"""with recursive {FM}, t as (select unnest({_SCAN}::double[]) as threshold),
+    c as (select a.feature as u, b.feature as v, abs(corr(a.value, b.value)) as r from fm a join fm b using (slide_id) group by all),
+    e as (select threshold, u, v from c, t where r > threshold or u = v),
+    reach as (select threshold, u, v from e union select reach.threshold, reach.u, e.v from reach join e on reach.v = e.u and reach.threshold = e.threshold)
+    select distinct threshold, min(v) over (partition by threshold, u) as feature from reach""",
+)
+def threshold_scan(spark, sf):
+    """Representatives of the correlation groups at each threshold."""
+    found = SE.threshold_scan(MX.correlations(I.feature_matrix(spark, sf)), _SCAN)
+    parts = [df.select(F.lit(t).alias("threshold"), "feature") for t, df in found.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 # --- scores -----------------------------------------------------------------------------------
 
 
@@ -234,16 +265,22 @@ def accuracy(spark, sf):
     return rounded(E.accuracy(pred, ["fold"]), "accuracy")
 
 
-# scores of a sweep: fold and feature count from the customer key, the account balance as score; fold 2 ends early
-_SWEEP = """sweep as (select c_custkey % 3 as fold, c_nationkey + 1 as k, c_acctbal as score from customer
-  where not (c_custkey % 3 = 2 and c_nationkey >= 20))"""
+# scores of a sweep: fold and feature count from the customer key, the account balance as score
+_SWEEP = "sweep as (select c_custkey % 3 as fold, c_nationkey + 1 as k, c_acctbal as score from customer)"
+# a fold whose feature counts start later: counts below 6 and above 25 are not common
+_UNEVEN = "sweep as (select c_custkey % 3 as fold, c_nationkey + 1 + case when c_custkey % 3 = 2 then 5 else 0 end as k, c_acctbal as score from customer)"
 
 
 def _sweep(spark, sf):
-    c = I.table(spark, sf, "customer").where("not (c_custkey % 3 = 2 and c_nationkey >= 20)")
+    c = I.table(spark, sf, "customer")
     return c.select((F.col("c_custkey") % 3).alias("fold"), (F.col("c_nationkey") + 1).alias("k"), F.col("c_acctbal").alias("score"))
 
 
+def _uneven(spark, sf):
+    shift = F.when(F.col("fold") == 2, 5).otherwise(0)
+    return _sweep(spark, sf).withColumn("k", F.col("k") + shift)
+
+
 _BY_K = "select k, round(avg(score), 6) as mean, min(score) as min, max(score) as max, round(stddev_pop(score), 6) as std from {src} group by k"
 
 
@@ -254,10 +291,10 @@ def by_count(spark, sf):
 
 @query(
     "cv2_common_counts",
-    f"with {_SWEEP}, ok as (select k from sweep group by k having count(distinct fold) = (select count(distinct fold) from sweep)), s as (select * from sweep where k in (select k from ok)) {_BY_K.format(src='s')}",
+    f"with {_UNEVEN}, ok as (select k from sweep group by k having count(distinct fold) = (select count(distinct fold) from sweep)), s as (select * from sweep where k in (select k from ok)) {_BY_K.format(src='s')}",
 )
 def common(spark, sf):
-    return rounded(E.score_by_count(E.common_counts(_sweep(spark, sf))), "mean", "std")
+    return rounded(E.score_by_count(E.common_counts(_uneven(spark, sf))), "mean", "std")
 
 
 @query("top3_best_count", f"with {_SWEEP}, b as ({_BY_K.format(src='sweep')}) select * from b order by mean desc, k desc limit 1")
@@ -275,6 +312,18 @@ def consensus(spark, sf):
     return rounded(E.consensus_ranking(positions(parts, ["p_size"], "p_partkey", "rank"), 12), "score")
 
 
+@query(
+    "top6_final_features",
+    """with r as (select p_brand as feature, row_number() over (partition by p_size order by p_partkey) as rank from part),
+    c as (select feature, count(*) as count, log10(sum(pow(10.0, 12 + 1 - rank))) as score from r where rank <= 12 group by feature)
+    select cast(row_number() over (order by count desc, score desc, feature) as integer) as position, feature, count, round(score, 6) as score
+    from c qualify position <= 10""",
+)
+def final_features(spark, sf):
+    parts = I.table(spark, sf, "part").select("p_size", "p_partkey", F.col("p_brand").alias("feature"))
+    return rounded(CV.final_features(positions(parts, ["p_size"], "p_partkey", "rank"), 12, 10), "score")
+
+
 _ROC = f"""with {SCORED}, st as (select fold, score, count(*) filter (label = 1) as pos, count(*) filter (label = 0) as neg from scored group by all),
 cum as (select *, sum(pos) over w as tp, sum(neg) over w as fp, sum(pos) over (partition by fold) as p, sum(neg) over (partition by fold) as n
   from st window w as (partition by fold order by score desc rows unbounded preceding)),
@@ -356,29 +405,46 @@ def _rows(spark, sf):
     return ML.training_rows(vectors, I.sample_labels(spark, sf))
 
 
-def _scores(spark, sf, model, **params):
-    rows = cut(_rows(spark, sf))
-    fitted = ML.fit(rows, model, **params)
-    return E.accuracy(ML.predict(fitted, rows)).select(F.lit(model).alias("model"), r6("accuracy").alias("accuracy"))
+def _held_out(spark, sf):
+    """Training rows with weights of their own, and the rows of the last of three folds."""
+    fm, labels = I.feature_matrix(spark, sf), I.sample_labels(spark, sf)
+    folds = FO.stratified_folds(labels.select("slide_id", "label", F.col("slide_id").alias("sample_ord")), 3)
+    vectors = cut(MX.to_vectors(fm, MX.feature_names(fm)).join(folds.select("slide_id", "fold"), "slide_id"))
+    last = vectors.agg(F.max("fold")).first()[0]
+    train = cut(ML.training_rows(vectors.where(F.col("fold") != last), labels))
+    return train, vectors.where(F.col("fold") == last).join(labels.select("slide_id", "label"), "slide_id")
+
+
+def _scores(spark, sf, *models):
+    """Accuracy and balanced accuracy on rows no model was fitted on."""
+    train, test = _held_out(spark, sf)
+    out = None
+    for model in models:
+        scored = cut(ML.predict(ML.fit(train, model), test))
+        row = E.accuracy(scored).crossJoin(E.balanced_accuracy(scored)).select(  # one row each
+            F.lit(model).alias("model"), r6("accuracy").alias("accuracy"), r6("balanced_accuracy").alias("balanced_accuracy")
+        )
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query("ml1_boosted_trees")
 def boosted(spark, sf):
-    return _scores(spark, sf, "boosted_trees", maxIter=3, maxDepth=3)
+    return _scores(spark, sf, "boosted_trees")
 
 
 @query("ml2_linear_and_forest")
 def simple_models(spark, sf):
-    out = _scores(spark, sf, "logistic")
-    return out.unionByName(_scores(spark, sf, "forest", maxDepth=5)).unionByName(_scores(spark, sf, "ridge"))
+    return _scores(spark, sf, "logistic", "forest", "ridge")
 
 
 @query("ml3_grid_search")
 def grid(spark, sf):
-    rows = cut(_rows(spark, sf))
-    found = ML.grid_search(rows, "logistic", {"regParam": [0.1, 1.0]}, folds=2)
-    pairs = [(float(p), float(m)) for p, m in zip([0.1, 1.0], found.avgMetrics)]
-    return spark.createDataFrame(pairs, "reg_param double, score double")
+    """Inverse penalties of the logistic model by three folds, on the training rows."""
+    train, _ = _held_out(spark, sf)
+    n, strengths = train.count(), [0.01, 0.1, 1.0, 10.0]
+    found = ML.grid_search(train, "logistic", {"regParam": [1.0 / (c * n) for c in strengths]})
+    return spark.createDataFrame([(c, float(m)) for c, m in zip(strengths, found.avgMetrics)], "c double, score double")
 
 
 @query("ml4_saved_model_inference")
@@ -399,8 +465,13 @@ def components(spark, sf):
 
 @query("cv1_sweep")
 def sweep(spark, sf):
-    """Mann-Whitney ranking and logistic regression over 3 cohort folds, with the report of both."""
+    """Mann-Whitney ranking and logistic regression over 3 folds for 1, 2, 4, .. and all features; the written report."""
     fm, labels = I.feature_matrix(spark, sf), I.sample_labels(spark, sf)
     folds = FO.stratified_folds(labels.select("slide_id", "label", F.col("slide_id").alias("sample_ord")), 3)
-    scores, rankings = CV.sweep(fm, labels, cut(folds), CV.mann_whitney, "logistic", [2, 4])
-    return rounded(CV.report(scores, rankings, 4), "score", "best_mean", "all_mean")
+    every = len(MX.feature_names(fm))
+    counts = sorted({every, *(2**i for i in range(every.bit_length()))} - {0})
+    scores, rankings = CV.sweep(fm, labels, cut(folds), CV.mann_whitney, "logistic", counts)
+    path = fresh_path(shared_dir(spark), "report")
+    CV.write_report(scores, rankings, every, path)
+    kinds = "feature string, count bigint, score double, best_k int, best_mean double, all_mean double"
+    return rounded(spark.read.schema(kinds).json(path), "score", "best_mean", "all_mean")

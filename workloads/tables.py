@@ -292,11 +292,15 @@ def labels(spark, sf):
 # --- sinks ------------------------------------------------------------------------------------
 
 
-@query("snk1_class_counts", f"with {CELLS} select slide_id, cell_type, count(*) as n from cells group by all")
+@query(
+    "snk1_class_counts",
+    f"""with {CELLS}, kinds as (select distinct slide_id, cast(k as integer) as cell_type from cells, range(7) t(k))
+    select slide_id, cell_type, count(cell_ord) as n from kinds left join cells using (slide_id, cell_type) group by all""",
+)
 def class_counts(spark, sf):
     path = fresh_path(shared_dir(spark), "class_counts")
     K.write_class_counts(C.slide_counts(I.cells(spark, sf)), path)
-    return spark.read.parquet(path).where("n > 0").select("slide_id", "cell_type", "n")
+    return spark.read.parquet(path).select("slide_id", "cell_type", "n")
 
 
 @query(
