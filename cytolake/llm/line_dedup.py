@@ -20,11 +20,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cytolake.llm.joins import broadcast_if_few
 from cytolake.llm.text import as_bytes, lowered
 from cytolake.runtime import cut
 
-#: rows of 8 or 16 bytes a task can hold as the broadcast side of a join
-BROADCAST_ROWS = 1_000_000
 #: odd multipliers of the two polynomial hashes
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -102,11 +101,6 @@ def _lines(docs: DataFrame, min_words: int, with_words: bool) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, text_key bigint, line_no int, line binary, halves array<bigint>")
 
 
-def _broadcast_if_few(stored: DataFrame) -> DataFrame:
-    """A stored table of short keys, broadcast when it has few rows; otherwise the other side is shuffled to it."""
-    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
-
-
 def _near_earlier(firsts: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
     """``(line, near)``: for lines that have an earlier near line, the place of one such line.
 
@@ -114,8 +108,8 @@ def _near_earlier(firsts: DataFrame, docs: DataFrame, min_words: int) -> DataFra
     """
     halves = firsts.select("line", F.explode("halves").alias("half"))
     shared = cut(halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half"))
-    possible = cut(halves.join(_broadcast_if_few(shared), "half", "left_semi").select("line").distinct())
-    texts = _lines(docs, min_words, True).join(_broadcast_if_few(possible), "line", "left_semi").groupBy("line").agg(
+    possible = cut(halves.join(broadcast_if_few(shared), "half", "left_semi").select("line").distinct())
+    texts = _lines(docs, min_words, True).join(broadcast_if_few(possible), "line", "left_semi").groupBy("line").agg(
         F.first("words").alias("words")
     )
     known = cut(texts.join(firsts.select("line", "first"), "line"))
@@ -199,11 +193,12 @@ def drop_lines(
 
     A document that loses all its lines goes. Null texts and texts without a word stay as they are.
     """
-    dropped = (
+    dropped = cut(
         line_decisions(docs, id_column, text_column, min_words, edits).where(~F.col("kept"))
-        .select(F.struct("doc_id", "text_key").alias("_place"), "line_no").distinct()
-        .groupBy("_place").agg(F.collect_list("line_no").alias("_gone"))  # lines of one document
+        .groupBy(F.struct("doc_id", "text_key").alias("_place")).agg(F.collect_set("line_no").alias("_gone"))  # lines of one document
     )
+    many = dropped.agg(F.sum(F.size("_gone") + 1)).first()[0] or 0
+    dropped = broadcast_if_few(dropped, many)
 
     @F.pandas_udf("string")
     def rest(texts: pd.Series, gone: pd.Series) -> pd.Series:

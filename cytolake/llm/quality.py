@@ -184,14 +184,10 @@ def keep_good(
     held_out_remainder: int = 0,
 ) -> DataFrame:
     """``docs`` without the documents the classifier rejects; columns as they were, nulls scored as empty texts."""
-    known = _one_label(labels, id_column, label_column)
-    training = (
-        docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-        .where(crc_mod("id") != held_out_remainder)
-        .join(known, F.col("id") == F.col("label_id"))
-        .select(statistics_column("text").alias("x"), "label")
-    )
-    model = fit(training)
+    rows = cut(
+        docs.where(crc_mod(id_column) != held_out_remainder).select(F.col(id_column).alias("id"), statistics_column(text_column).alias("x"))
+    )  # short rows meet the labels, not texts
+    model = fit(rows.join(_one_label(labels, id_column, label_column), F.col("id") == F.col("label_id")))
     scored = docs.select(F.struct("*").alias("row")).withColumn(
         "score", score_column(model, statistics_column(F.col(f"row.`{text_column}`")))
     )

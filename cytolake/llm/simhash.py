@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cytolake.functions.graph import connected_components
+from cytolake.llm.joins import broadcast_if_few
 from cytolake.llm.text import as_bytes, words_of
 from cytolake.runtime import cut
 
@@ -131,14 +132,21 @@ def drop_near_copies(
     Rows that repeat an id within a group count as one document and stay together. Documents without an id stay
     only where no document of their group has one.
     """
-    groups = simhash_groups(docs, id_column, text_column, shingle_words, radius)
-    stays = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_stays_id"), F.col("fingerprint").alias("_stays_fp")
-    ).distinct()
-    own = fingerprint_column(F.col(f"_row.{text_column}"), shingle_words)
-    return (
-        docs.select(F.struct("*").alias("_row"))
-        .withColumn("_fp", own)
-        .join(stays, F.col(f"_row.{id_column}").eqNullSafe(F.col("_stays_id")) & (F.col("_fp") == F.col("_stays_fp")), "left_semi")
-        .select("_row.*")
+    marked = cut(docs.select(F.col(id_column).alias("id"), fingerprint_column(text_column, shingle_words).alias("fp")))
+    ids = marked.join(components(marked, radius), "fp").withColumn("stays", F.col("id").eqNullSafe(F.col("component_id")))
+    of_id = cut(ids.groupBy("id").agg(F.max("stays").alias("some"), F.min("stays").alias("all")).where("not all"))
+    rows = docs.select(F.struct("*").alias("_row"))
+    own_id = F.col(f"_row.`{id_column}`")
+    # an id whose rows have different texts can stay with one and go with another: its rows are told apart again
+    split = of_id.where("some").select(F.col("id").alias("_split_id"))
+    gone = of_id.where("not some").select(F.col("id").alias("_gone_id"))
+    left = rows.join(broadcast_if_few(gone), own_id.eqNullSafe(F.col("_gone_id")), "left_anti")
+    if split.isEmpty():
+        return left.select("_row.*")
+    stays = ids.where("stays").select(F.col("id").alias("_stays_id"), F.col("fp").alias("_stays_fp")).distinct()
+    whole = left.join(broadcast_if_few(split), own_id.eqNullSafe(F.col("_split_id")), "left_anti")
+    parts = left.join(broadcast_if_few(split), own_id.eqNullSafe(F.col("_split_id")), "left_semi").withColumn(
+        "_fp", fingerprint_column(F.col(f"_row.`{text_column}`"), shingle_words)
     )
+    matched = parts.join(stays, own_id.eqNullSafe(F.col("_stays_id")) & (F.col("_fp") == F.col("_stays_fp")), "left_semi")
+    return whole.select("_row").unionByName(matched.select("_row")).select("_row.*")
