@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytolake.llm.mixing import size_column
+from cytolake.runtime import cut
 
 ROLE, TEXT, CLOSE = "<turn:role>", "<turn:text>", "</turn>\n"
 #: tokens a turn's control strings count for
@@ -92,7 +93,7 @@ def chat_windows(
         F.col(id_column).alias("conv"), F.col(turn_column).alias("turn"),
         F.coalesce(F.col(role_column), empty).alias("role"), F.coalesce(F.col(text_column), empty).alias("text"),
     )
-    placed = placed_turns(turns)
+    placed = cut(placed_turns(turns))  # read for the system turns and for all others
     is_system = (F.col("position") == 0) & (F.col("role") == "system")
     system = placed.where(is_system).select(F.col("conv").alias("of"), F.struct("role", "text").alias("system"), F.col("tokens").alias("s"))
     rows = placed.join(system, F.col("conv").eqNullSafe(F.col("of")), "left").drop("of").withColumn("s", F.coalesce("s", F.lit(0).cast("bigint")))
@@ -104,7 +105,7 @@ def chat_windows(
     body = body.withColumn("cell_start", F.min("start").over(cell))
     crosses = (F.col("end") > (F.col("cell") + 1) * F.col("cell_width")) & (F.col("start") > F.col("cell_start"))
     alone = crosses & (F.col("end") - F.col("cell_start") > F.col("room"))
-    body = body.withColumn("window", 2 * F.col("cell") + F.when(alone, 1).otherwise(0))
+    body = cut(body.withColumn("window", 2 * F.col("cell") + F.when(alone, 1).otherwise(0)))
 
     turn = lambda repeated: F.struct("position", F.lit(repeated).alias("repeated"), "role", "text", "tokens").alias("item")
     new = body.select("conv", "window", turn(False))
