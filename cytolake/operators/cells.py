@@ -105,6 +105,39 @@ def populations(cells: DataFrame, layers: DataFrame, how: str = "inner", down: i
     return lookup_runs(cells, layers, how, down).drop("row", "col")
 
 
+def tag_cells(cells: DataFrame, segments: DataFrame, relabel: bool = False, down: int = DOWN_FACTOR) -> DataFrame:
+    """Each cell once, with ``in_tumour`` and ``in_band``, from one lookup in disjoint segments.
+
+    With ``relabel`` tumour cells outside the tumour layer become epithelial in the same step.
+    """
+    found = lookup_runs(cells, segments.select("slide_id", "row", "c0", "c1", "in_tumour", "in_band"), "left", down).drop("row", "col")
+    flagged = found.withColumn("in_tumour", F.coalesce("in_tumour", F.lit(False))).withColumn("in_band", F.coalesce("in_band", F.lit(False)))
+    if not relabel:
+        return flagged
+    moved = (F.col("cell_type") == 5) & ~F.col("in_tumour")
+    return flagged.withColumn("cell_type", F.when(moved, F.lit(6)).otherwise(F.col("cell_type")))
+
+
+def by_population(tagged: DataFrame) -> DataFrame:
+    """Tagged cells as one row per population they are in; a projection without a shuffle."""
+    names = F.array_compact(F.array(F.when(F.col("in_tumour"), F.lit(TUMOUR)), F.when(F.col("in_band"), F.lit(BAND))))
+    return tagged.withColumn("population", F.explode(names)).drop("in_tumour", "in_band")
+
+
+def wide_tagged(
+    tagged: DataFrame, tumour_classes: Sequence[int] = TUMOUR_CLASSES, band_classes: Sequence[int] | None = BAND_CLASSES
+) -> DataFrame:
+    """All counts of a slide by one aggregate: w1..w6 of the whole slide, nt and at (area, cut to an integer) in the
+    tumour, nb in the band."""
+    kind = lambda c: F.col("cell_type") == c
+    area = lambda c: F.coalesce(F.sum(F.when(kind(c) & F.col("in_tumour"), F.col("area"))), F.lit(0.0)).cast("bigint")
+    aggs = [F.count_if(kind(c)).alias(f"w{c}") for c in range(1, 7)]
+    for c in tumour_classes:
+        aggs += [F.count_if(kind(c) & F.col("in_tumour")).alias(f"nt{c}"), area(c).alias(f"at{c}")]
+    aggs += [F.count_if(kind(c) & F.col("in_band")).alias(f"nb{c}") for c in band_classes or []]
+    return tagged.groupBy("slide_id").agg(*aggs)
+
+
 def wanted(tumour_classes: Sequence[int], band_classes: Sequence[int]) -> Column:
     """The class list of each population."""
     return ((F.col("population") == TUMOUR) & F.col("cell_type").isin(list(tumour_classes))) | (

@@ -62,17 +62,6 @@ def wide_counts(slide_counts: DataFrame) -> DataFrame:
     )
 
 
-def wide_populations(
-    counts: DataFrame, tumour_classes: Sequence[int] = TUMOUR_CLASSES, band_classes: Sequence[int] = BAND_CLASSES
-) -> DataFrame:
-    """Population counts and areas side by side: nt1.., at1.. in the tumour, nb1.. in the band."""
-    hit = lambda p, c: (F.col("population") == p) & (F.col("cell_type") == c)
-    aggs = [F.sum(F.when(hit(TUMOUR, c), F.col("n"))).alias(f"nt{c}") for c in tumour_classes]
-    aggs += [F.sum(F.when(hit(TUMOUR, c), F.col("area"))).alias(f"at{c}") for c in tumour_classes]
-    aggs += [F.sum(F.when(hit(BAND, c), F.col("n"))).alias(f"nb{c}") for c in band_classes]
-    return counts.groupBy("slide_id").agg(*aggs)
-
-
 def _total(prefix: str, classes: Sequence[int]) -> Column:
     out = F.col(f"{prefix}{classes[0]}")
     for c in classes[1:]:

@@ -94,6 +94,33 @@ def covered(runs: DataFrame, depth: int = 1) -> DataFrame:
     )
 
 
+def layer_segments(tumour: DataFrame, band: DataFrame | None = None) -> DataFrame:
+    """Disjoint runs ``(slide_id, row, c0, c1, in_tumour, in_band)`` of the pixels in at least one layer.
+
+    Every pixel lies in one run at most, so a lookup gives one row per cell with all it needs to know.
+    """
+
+    def ends(runs: DataFrame, tumour_step: int, band_step: int) -> DataFrame:
+        spots = F.array(
+            F.struct(F.col("c0").alias("pos"), F.lit(1).alias("step")), F.struct((F.col("c1") + 1).alias("pos"), F.lit(-1).alias("step"))
+        )
+        return runs.select(*_ROW, F.explode(spots).alias("e")).select(
+            *_ROW, "e.pos", (F.col("e.step") * tumour_step).alias("t"), (F.col("e.step") * band_step).alias("b")
+        )
+
+    every = ends(tumour, 1, 0) if band is None else ends(tumour, 1, 0).unionByName(ends(band, 0, 1))
+    spots = every.groupBy(*_ROW, "pos").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+    w = Window.partitionBy(*_ROW).orderBy("pos")  # one image row
+    until = w.rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        spots.select(
+            *_ROW, F.col("pos").cast("int").alias("c0"), (F.lead("pos").over(w) - 1).cast("int").alias("c1"),
+            (F.sum("t").over(until) > 0).alias("in_tumour"), (F.sum("b").over(until) > 0).alias("in_band"),
+        )
+        .where("in_tumour or in_band")
+    )
+
+
 def complement(runs: DataFrame, frame: DataFrame) -> DataFrame:
     """Background runs inside the image; ``runs`` must be disjoint."""
     rows = frame.select("slide_id", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("row"), "width")

@@ -23,6 +23,7 @@ class Settings:
     down: int = DOWN_FACTOR
     margin: int = MARGIN
     vicinity: bool = True
+    relabel: bool = False  # tumour cells outside the mask become epithelial
     morphology: bool = False
     distances: bool = False
     distance_classes: Sequence[int] = field(default_factory=lambda: list(DISTANCE_CLASSES))
@@ -39,20 +40,33 @@ def prepare_mask(mask: DataFrame, down: int = DOWN_FACTOR) -> tuple[DataFrame, D
     return cut(M.mask_runs(mask)), cut(profile)
 
 
-def population_layers(runs: DataFrame, profile: DataFrame, cfg: Settings) -> DataFrame:
+def _band(runs: DataFrame, profile: DataFrame, cfg: Settings) -> DataFrame | None:
     frame = profile.select("slide_id", "height", "width")
-    band = M.border_band(runs, frame, M.band_kernel(cfg.margin, cfg.down)) if cfg.vicinity else None
-    return C.population_layers(runs, band)
+    return M.border_band(runs, frame, M.band_kernel(cfg.margin, cfg.down)) if cfg.vicinity else None
 
 
-def counts_side_by_side(cells: DataFrame, tagged: DataFrame, profile: DataFrame, cfg: Settings) -> DataFrame:
-    """One row per slide with every count and area the catalogue is computed from."""
-    whole = FT.wide_counts(C.slide_counts(cells))
-    counts = C.count_tagged(tagged, TUMOUR_CLASSES, BAND_CLASSES if cfg.vicinity else None)
-    regional = FT.wide_populations(counts, TUMOUR_CLASSES, BAND_CLASSES).join(
-        profile.select("slide_id", "area"), "slide_id"
-    )
-    return whole.join(regional, "slide_id", "left")
+def population_layers(runs: DataFrame, profile: DataFrame, cfg: Settings) -> DataFrame:
+    return C.population_layers(runs, _band(runs, profile, cfg))
+
+
+def layer_segments(runs: DataFrame, profile: DataFrame, cfg: Settings) -> DataFrame:
+    return M.layer_segments(runs, _band(runs, profile, cfg))
+
+
+def tagged_cells(cells: DataFrame, runs: DataFrame, profile: DataFrame, cfg: Settings) -> DataFrame:
+    """Measured cells, each once, with the layers they lie in; outlines are measured in the scan and left there."""
+    measured = C.with_measures(cells) if "contour" in cells.columns else cells
+    kept = [c for c in ("cell_ord", "cx", "cy", "cell_type", *MEASURES) if c in measured.columns and (c != "cell_ord" or cfg.distances)]
+    return C.tag_cells(measured.select("slide_id", *kept), layer_segments(runs, profile, cfg), cfg.relabel, cfg.down)
+
+
+def counts_side_by_side(tagged: DataFrame, profile: DataFrame, cfg: Settings) -> DataFrame:
+    """One row per slide with every count and area the catalogue is computed from; a slide without mask has no
+    region counts."""
+    wide = C.wide_tagged(tagged, TUMOUR_CLASSES, BAND_CLASSES if cfg.vicinity else None)
+    joined = wide.join(profile.select("slide_id", "area"), "slide_id", "left")
+    regional = [c for c in wide.columns if c[:2] in ("nt", "at", "nb")]
+    return joined.withColumns({c: F.when(F.col("area").isNotNull(), F.col(c)) for c in regional})
 
 
 def tissue_features(cells: DataFrame, mask: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -65,25 +79,24 @@ def tissue_features(cells: DataFrame, mask: DataFrame, settings: Settings | None
 def tissue_features_from_runs(cells: DataFrame, runs: DataFrame, profile: DataFrame, cfg: Settings) -> DataFrame:
     """Same from foreground runs and (slide_id, height, width, area).
 
-    A slide without mask gets its whole-slide features; its region features are NULL.
-    Outlines are measured before any shuffle and the mask lookup is made once for counts and
-    morphology.
+    A slide without mask gets its whole-slide features; its region features are NULL. Cells are read once and looked
+    up once; relabelling, whole-slide and region counts follow from that one tagged table.
     """
     band = BAND_CLASSES if cfg.vicinity else None
-    lean = C.with_measures(cells).select("slide_id", "cx", "cy", "cell_type", *MEASURES)
-    tagged = C.populations(lean, population_layers(runs, profile, cfg), "left", cfg.down)
-    if cfg.morphology:
-        tagged = cut(tagged)  # read three more times
-    wide = counts_side_by_side(cells, tagged, profile, cfg)
+    tagged = tagged_cells(cells, runs, profile, cfg)
+    if cfg.morphology or cfg.distances:
+        tagged = cut(tagged)  # read again below
+    wide = counts_side_by_side(tagged, profile, cfg)
     out = FT.unfold(
         wide, FT.slide_features() + FT.region_features(cfg.vicinity) + FT.density_features() + FT.share_features()
     )
     if cfg.morphology:
-        out = out.unionByName(FT.morphology_features(summarise_tagged(tagged, tagged, TUMOUR_CLASSES, band)))
+        out = out.unionByName(FT.morphology_features(summarise_tagged(C.by_population(tagged), tagged, TUMOUR_CLASSES, band)))
     if cfg.distances:
-        located = cut(D.located_cells(cells, label_regions(runs), cfg.distance_classes, cfg.down))
+        own = tagged.select("slide_id", "cell_ord", "cx", "cy", "cell_type")
+        located = cut(D.located_cells(own, label_regions(runs), cfg.distance_classes, cfg.down))
         nearest = cut(D.nearest_targets(located, cfg.distance_classes))
-        summary = D.distance_summary(cells, located, nearest, cfg.distance_classes)
+        summary = D.distance_summary(own, located, nearest, cfg.distance_classes)
         out = out.unionByName(FT.distance_features(summary, cfg.distance_classes))
     return out
 

@@ -288,3 +288,32 @@ def test_words_and_names(spark):
     assert [tuple(r) for r in got] == [(0, "S1"), (1, "S2")]
     with pytest.raises(Exception, match="no label token"):
         spark.createDataFrame([("x",)], "n string").select(TX.label_from_name(F.col("n"))).collect()
+
+
+def test_layer_segments_cover_each_pixel_once(spark, mask100):
+    runs = M.mask_runs(mask100)
+    band = M.border_band(runs, M.mask_frame(mask100), 7)
+    got = M.run_pixels(M.layer_segments(runs, band)).collect()
+    flags = {(r.row, r.col): (r.in_tumour, r.in_band) for r in got}
+    assert len(flags) == len(got)
+    tumour = {(r.row, r.col) for r in M.run_pixels(runs).collect()}
+    border = {(r.row, r.col) for r in M.run_pixels(band).collect()}
+    assert flags == {p: (p in tumour, p in border) for p in tumour | border}
+
+
+def test_relabelling_in_the_lookup_equals_relabelling_before(spark, mask100, cells7):
+    five = cells7.withColumn("cell_type", F.when(F.col("cell_type") == 3, 5).otherwise(F.col("cell_type")))
+    cfg = dict(down=1, margin=10)
+    before = P.tissue_features(C.relabel_outside(five, M.mask_runs(mask100), down=1), mask100, P.Settings(**cfg))
+    within = P.tissue_features(five, mask100, P.Settings(**cfg, relabel=True))
+    rows = lambda df: sorted((r.section, r.feature, r.value) for r in df.collect() if r.value is not None)
+    assert rows(before) == rows(within) and any("Epithelial" in r[1] and r[2] for r in rows(within))
+
+
+def test_flagship_plan_reads_cells_once_and_keeps_outlines_in_the_scan(spark, mask100, tmp_path):
+    from workloads import inputs, spatial
+
+    plan = spatial.default_features(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1
+    assert not any("contour" in line for line in plan.splitlines() if "Exchange" in line)
+    assert inputs.cells(spark, "/root/testdata/sf0.001").columns[-1] == "contour"

@@ -458,11 +458,9 @@ _SHARES = f"""select slide_id, 'Percentage_' || {_NAMES}[cell_type] || '_insideT
 
 def _wide(spark, sf):
     """Counts of all kinds side by side, after relabelling."""
-    cfg = P.Settings(margin=MARGIN)
+    cfg = P.Settings(margin=MARGIN, relabel=True)
     runs, profile = P.prepare_mask(mask_of(spark, sf))
-    cells = C.relabel_outside(C.with_measures(I.cells(spark, sf)).drop("cell_id"), runs)
-    tagged = C.populations(cells.select("slide_id", "cx", "cy", "cell_type", "area"), P.population_layers(runs, profile, cfg), "left")
-    return P.counts_side_by_side(cells, tagged, profile, cfg)
+    return P.counts_side_by_side(P.tagged_cells(I.cells(spark, sf), runs, profile, cfg), profile, cfg)
 
 
 def _plain(df, *features):
@@ -507,17 +505,13 @@ def shares(spark, sf):
 )
 def default_features(spark, sf):
     """The 65 features of the default switches, for every slide, in one job."""
-    mask = mask_of(spark, sf)
-    cells = C.relabel_outside(I.cells(spark, sf), M.mask_runs(mask))
-    df = P.tissue_features(cells, mask, P.Settings(margin=MARGIN))
+    df = P.tissue_features(I.cells(spark, sf), mask_of(spark, sf), P.Settings(margin=MARGIN, relabel=True))
     return rounded(df.select("slide_id", "feature", "value"), "value")
 
 
 @query("tissue_features_full")
 def full_features(spark, sf):
     """All 317 features, morphology and distances included."""
-    mask = mask_of(spark, sf)
-    cells = C.relabel_outside(I.cells(spark, sf), M.mask_runs(mask))
-    settings = P.Settings(margin=MARGIN, morphology=True, distances=True)
-    df = P.tissue_features(cells, mask, settings)
+    settings = P.Settings(margin=MARGIN, relabel=True, morphology=True, distances=True)
+    df = P.tissue_features(I.cells(spark, sf), mask_of(spark, sf), settings)
     return rounded(df.select("slide_id", "section", "grp", "feature", "value"), "value")
