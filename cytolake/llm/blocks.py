@@ -19,6 +19,8 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from cytolake.llm.workers import tidy
+
 #: blocks of one scan task, at most
 _SEQUENCE_BITS = 24
 
@@ -66,13 +68,21 @@ def _blocks(batches: Iterable[pa.RecordBatch], block_bytes: int) -> Iterator[tup
 
 
 def _numbered(rows: list[tuple], split: Callable[[bytes], list]) -> tuple[list, np.ndarray, list[np.ndarray]]:
-    """Distinct words of a block, most frequent first (then by first occurrence); how often each occurs; the rows' numbers."""
+    """Distinct words of a block, most frequent first (then by first occurrence); how often each occurs; the rows' numbers.
+
+    Takes the texts away from ``rows``.
+    """
     first: defaultdict = defaultdict(count().__next__)
-    texts = [np.array([first[w] for w in split(row[-1] or b"")], np.int64) for row in rows]
-    total = np.bincount(np.concatenate(texts), minlength=len(first)) if first else np.zeros(0, np.int64)
+    texts = []
+    for i, row in enumerate(rows):
+        texts.append(np.array([first[w] for w in split(row[-1] or b"")], np.int32))
+        rows[i] = row[:-1]  # the text is not needed any more
+    total = np.zeros(len(first), np.int64)
+    for start in range(0, len(texts), 1000):
+        total += np.bincount(np.concatenate(texts[start : start + 1000]), minlength=len(first))
     order = np.argsort(-total, kind="stable")
-    rank = np.empty_like(order)
-    rank[order] = np.arange(len(order))
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
     words = list(first)
     return [words[i] for i in order.tolist()], total[order], [rank[t] for t in texts]
 
@@ -101,7 +111,7 @@ def block_words(
                     "weight": pa.array(weight[start:end].astype(np.int64)),
                 })
 
-    return docs.mapInArrow(run, "block bigint, number int, word binary, weight bigint")
+    return docs.mapInArrow(tidy(run), "block bigint, number int, word binary, weight bigint")
 
 
 def block_documents(docs: DataFrame, split: Callable[[bytes], list], block_bytes: int, carried: str = "id bigint") -> DataFrame:
@@ -123,7 +133,7 @@ def block_documents(docs: DataFrame, split: Callable[[bytes], list], block_bytes
                 columns["numbers"] = pa.array([press(pack(t)) for t in texts[start : start + 500]], pa.binary())
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.mapInArrow(run, f"block bigint, {carried}, numbers binary")
+    return docs.mapInArrow(tidy(run), f"block bigint, {carried}, numbers binary")
 
 
 def numbers_of(data: bytes) -> np.ndarray:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from cytolake.llm.blocks import block_documents, block_words, numbers_of
 from cytolake.llm.text import as_bytes
+from cytolake.llm.workers import give_back, tidy
 
 BLOCK_BYTES = 32 << 20
 
@@ -183,7 +184,7 @@ def encode_documents(
 
     pieces = (
         block_words(rows, split, block_bytes).select("word", "block", "number").repartition("word").sortWithinPartitions("word")
-        .mapInArrow(encode, "block bigint, number int, piece binary")
+        .mapInArrow(tidy(encode), "block bigint, number int, piece binary")
     )
 
     def place(pieces_of: pa.Table, documents: pa.Table) -> pa.Table:
@@ -203,6 +204,7 @@ def encode_documents(
             total = int(ends[-1]) if len(ends) else 0
             at = np.repeat(begin[own] - (ends - many), many) + np.arange(total)
             ids.append(flat[at].astype("<u4").tobytes())
+        give_back()
         return pa.table({
             "doc_id": documents.column("id"), "n_tokens": pa.array([len(i) // 4 for i in ids], pa.int64()), "ids": pa.array(ids, pa.binary()),
         })

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from cytolake.llm.joins import broadcast_if_few
 from cytolake.llm.text import as_bytes, lowered
+from cytolake.llm.workers import tidy
 from cytolake.runtime import cut
 
 #: odd multipliers of the two polynomial hashes
@@ -94,11 +95,11 @@ def _lines(docs: DataFrame, min_words: int, with_words: bool) -> DataFrame:
 
     if with_words:
         schema = pa.schema([("line", pa.binary()), ("words", pa.binary())])
-        return docs.mapInArrow(run, "line binary, words binary")
+        return docs.mapInArrow(tidy(run), "line binary, words binary")
     schema = pa.schema([
         ("id", pa.int64()), ("text_key", pa.int64()), ("line_no", pa.int32()), ("line", pa.binary()), ("halves", pa.list_(pa.int64())),
     ])
-    return docs.mapInArrow(run, "id bigint, text_key bigint, line_no int, line binary, halves array<bigint>")
+    return docs.mapInArrow(tidy(run), "id bigint, text_key bigint, line_no int, line binary, halves array<bigint>")
 
 
 def _near_earlier(firsts: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from cytolake.llm.blocks import block_documents, block_words, numbers_of
 from cytolake.llm.text import as_bytes, crc_mod, words_of
+from cytolake.llm.workers import give_back, tidy
 from cytolake.runtime import cut
 
 END = 256
@@ -92,7 +93,7 @@ def count_grams(texts: DataFrame, depth: int, chunk_bytes: int = 8 << 20) -> Dat
         keys, counts = merged()
         yield from out()
 
-    return texts.mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(tidy(run), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def tree_rows(counts: DataFrame, depth: int, least_share: float, divergence: float, evidence: float) -> DataFrame:
@@ -282,6 +283,7 @@ def model_scores(
             tokens.append(len(own) + 1)
             seen.append(int((known[own] > 0).sum()) + (ends > 0))
             scores.append(float(chance[own].sum()) + end)
+        give_back()
         return pa.table({
             "doc_id": documents.column("id"), "held_out": documents.column("held_out"), "n_tokens": pa.array(tokens, pa.int64()),
             "n_known": pa.array(seen, pa.int64()), "train_tokens": pa.array([n] * len(tokens), pa.int64()),

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from cytolake.llm.bpe import read_tokenizer, worker_encoder
 from cytolake.llm.text import as_bytes
+from cytolake.llm.workers import tidy
 
 MAGIC = b"TOKPLANE"
 IMAGE = "part int, number int, ids_before bigint, n_ids bigint, n_documents bigint, content binary"
@@ -132,7 +133,7 @@ def write_token_files(
             yield close()
 
     rows = docs.select(F.col(id_column).cast("bigint").alias("id"), as_bytes(text_column).alias("text"))
-    images = rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(files, IMAGE)
+    images = rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(tidy(files), IMAGE)
     images.write.mode("errorifexists").option("compression", "none").parquet(path)
 
 
