@@ -200,10 +200,10 @@ def build_tree(rows: pd.DataFrame, depth: int, smoothing: float = 3.0) -> Suffix
     keys = np.concatenate([[0], key(depths, contexts)])  # ascending, root first
     find = lambda d, c: np.searchsorted(keys, key(d, c))
     all_depths, all_contexts = np.concatenate([[0], depths]), np.concatenate([[0], contexts])
-    counts = np.zeros((len(keys), classes))
-    np.add.at(counts, (find(rows["depth"], rows["context"]), column[rows["next"].to_numpy(np.int64)]), rows["n"].to_numpy(float))
+    counts = np.zeros((len(keys), classes), np.float32)  # a probability is asked for, not a count
+    np.add.at(counts, (find(rows["depth"], rows["context"]), column[rows["next"].to_numpy(np.int64)]), rows["n"].to_numpy(np.float32))
     chance, following = np.zeros_like(counts), np.zeros(counts.shape, np.int32)
-    total = counts[0].sum()
+    total = counts[0].sum(dtype=float)
     chance[0] = (counts[0] + 0.5) / (total + 0.5 * SYMBOLS)  # the last class holds any one unseen symbol
     up = find(np.maximum(all_depths - 1, 0), all_contexts & ((1 << (WIDTH * np.maximum(all_depths - 1, 0))) - 1))
     before = find(np.maximum(all_depths - 1, 0), all_contexts >> WIDTH)  # the context without its latest symbol
@@ -219,7 +219,7 @@ def build_tree(rows: pd.DataFrame, depth: int, smoothing: float = 3.0) -> Suffix
             following[level] = following[up[level]]
         longer = np.flatnonzero(all_depths == d + 1)  # reached from a state of this depth by one symbol
         following[before[longer], latest[longer]] = longer
-    return SuffixTree(depth, column, following, np.log10(chance).astype(np.float32))
+    return SuffixTree(depth, column, following, np.log10(chance, out=chance))
 
 
 def train_tree(
