@@ -164,15 +164,18 @@ def line_decisions(
     rows = docs.select(F.col(id_column).cast("bigint").alias("id"), as_bytes(text_column).alias("text"))
     lines = cut(_lines(rows, min_words if edits else 1 << 30, False))
     place = F.struct("id", "text_key", "line_no")
-    firsts = lines.groupBy("line").agg(F.min(place).alias("first"), F.first("halves").alias("halves"))
+    firsts = lines.groupBy("line").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"), F.first("halves").alias("halves"))
     if edits:
         firsts = cut(firsts)
-        firsts = firsts.join(_near_earlier(firsts, rows, min_words), "line", "left")
+        near = cut(_near_earlier(firsts, rows, min_words))
+        firsts = firsts.join(broadcast_if_few(near), "line", "left")
     else:
         firsts = firsts.withColumn("near", F.lit(None).cast("struct<id:bigint,text_key:bigint,line_no:int>"))
-    return lines.drop("halves").join(firsts.select("line", "first", "near"), "line").select(
+    # a line that stands once and has no near one needs no more look
+    repeated = cut(firsts.where("times > 1 or near is not null").select("line", "first", "near"))
+    return lines.drop("halves").join(broadcast_if_few(repeated), "line", "left").select(
         F.col("id").alias("doc_id"), "text_key", "line_no",
-        (F.col("near").isNull() & (place == F.col("first"))).alias("kept"),
+        (F.col("first").isNull() | (F.col("near").isNull() & (place == F.col("first")))).alias("kept"),
         F.coalesce("near", F.when(place != F.col("first"), F.col("first"))).alias("earlier"),
     )
 
