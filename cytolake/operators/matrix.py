@@ -77,36 +77,33 @@ def to_vectors(fm: DataFrame, names: Sequence[str], keys: Sequence[str] = ("slid
 def correlations(fm: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of all feature pairs (feature_a, feature_b, r), both orders and the diagonal.
 
-    Rows are centred first, then every partition adds up its cross products in one matrix
-    product and emits the F x F sums; slides never meet each other. Pairs use the
-    slides that have both values; a constant feature gives NULL.
+    Every partition centres its rows on the feature means, adds up its cross products in one matrix product and emits
+    the sums of each unordered pair; slides never meet each other, and the other order of a pair is the same row read the
+    other way round. Pairs use the slides that have both values; a constant feature gives NULL.
     """
-    names = list(names) if names is not None else feature_names(fm)
-    means = fm.groupBy("feature").agg(F.avg("value").alias("_m"))
-    centred = fm.join(means, "feature").select("slide_id", "feature", (F.col("value") - F.col("_m")).alias("value"))
-    wide = to_wide(centred, names).drop("slide_id").toDF(*[f"x{i}" for i in range(len(names))])
-    size = len(names)
+    known = {r["feature"]: r["m"] for r in fm.groupBy("feature").agg(F.avg("value").alias("m")).collect()}  # a row per feature
+    names = list(names) if names is not None else sorted(known)
+    size, centre = len(names), np.array([known.get(n) or 0.0 for n in names])
+    wide = to_wide(fm, names).drop("slide_id").toDF(*[f"x{i}" for i in range(size)])
+    columns = ["n", "sx", "sy", "sxx", "syy", "sxy"]
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = None
         for batch in batches:
-            x = batch.to_numpy(dtype=np.float64)
+            x = batch.to_numpy(dtype=np.float64) - centre
             held = (~np.isnan(x)).astype(np.float64)
             x = np.nan_to_num(x)
-            now = np.stack([held.T @ held, x.T @ held, (x * x).T @ held, x.T @ x])
+            now = np.stack([held.T @ held, x.T @ held, held.T @ x, (x * x).T @ held, held.T @ (x * x), x.T @ x])
             parts = now if parts is None else parts + now
         if parts is not None:
-            i, j = np.divmod(np.arange(size * size), size)
-            n, sx, sxx, sxy = (p.reshape(-1) for p in parts)
-            yield pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "n": n, "sx": sx, "sxx": sxx, "sxy": sxy})
+            i, j = np.triu_indices(size)
+            values = {c: p[i, j] for c, p in zip(columns, parts)}
+            yield pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), **values})
 
     cells = (
-        wide.mapInPandas(sums, "i int, j int, n double, sx double, sxx double, sxy double")
+        wide.mapInPandas(sums, "i int, j int, " + ", ".join(f"{c} double" for c in columns))
         .groupBy("i", "j")
-        .agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sxx", "sxy")])
-    )
-    mirror = cells.select(
-        F.col("i").alias("j"), F.col("j").alias("i"), F.col("sx").alias("sy"), F.col("sxx").alias("syy")
+        .agg(*[F.sum(c).alias(c) for c in columns])
     )
     c = F.col
     var_x, var_y = c("n") * c("sxx") - c("sx") * c("sx"), c("n") * c("syy") - c("sy") * c("sy")
@@ -114,8 +111,10 @@ def correlations(fm: DataFrame, names: Sequence[str] | None = None) -> DataFrame
     spread = (var_x > tiny * c("n") * c("sxx")) & (var_y > tiny * c("n") * c("syy"))
     r = F.when(spread, (c("n") * c("sxy") - c("sx") * c("sy")) / F.sqrt(var_x * var_y))
     listed = F.array(*[F.lit(n) for n in names])
-    return cells.join(mirror, ["i", "j"]).select(
-        listed[c("i")].alias("feature_a"), listed[c("j")].alias("feature_b"), r.alias("r")
+    one, other = F.struct(c("i").alias("a"), c("j").alias("b")), F.struct(c("j").alias("a"), c("i").alias("b"))
+    orders = F.when(c("i") == c("j"), F.array(one)).otherwise(F.array(one, other))
+    return cells.select(r.alias("r"), F.explode(orders).alias("p")).select(
+        listed[c("p.a")].alias("feature_a"), listed[c("p.b")].alias("feature_b"), "r"
     )
 
 
