@@ -202,24 +202,20 @@ def tile_assign(cells: DataFrame, size: int = 1024) -> DataFrame:
     )
 
 
-def density_grid(cells: DataFrame, cell_type: int, size: int = 128) -> DataFrame:
-    """Cells of one class per grid square, and the total of its 3 x 3 neighbourhood."""
-    squares = (
-        cells.where(F.col("cell_type") == cell_type)
-        .groupBy(
-            "slide_id",
-            F.floor(F.col("cx") / F.lit(size)).cast("int").alias("gx"),
-            F.floor(F.col("cy") / F.lit(size)).cast("int").alias("gy"),
-        )
-        .agg(F.count("*").alias("n"))
+def density_grid(cells: DataFrame, size: int = 128) -> DataFrame:
+    """Cells per class and grid square, and the total of the square's 3 x 3 neighbourhood."""
+    square = ["slide_id", "cell_type", "gx", "gy"]
+    place = lambda c: F.floor(F.col(c) / F.lit(size)).cast("int")
+    squares = cells.select("slide_id", "cell_type", place("cx").alias("gx"), place("cy").alias("gy")).groupBy(*square).agg(
+        F.count("*").alias("n")
     )
     offsets = F.array(
         *[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
     )
     # each occupied square adds itself to its neighbours; squares that only receive are kept out
-    spread = squares.select("slide_id", "gx", "gy", "n", F.explode(offsets).alias("o"))
+    spread = squares.select(*square, "n", F.explode(offsets).alias("o"))
     return (
-        spread.groupBy("slide_id", (F.col("gx") + F.col("o.dx")).alias("gx"), (F.col("gy") + F.col("o.dy")).alias("gy"))
+        spread.groupBy("slide_id", "cell_type", (F.col("gx") + F.col("o.dx")).alias("gx"), (F.col("gy") + F.col("o.dy")).alias("gy"))
         .agg(
             F.sum(F.when((F.col("o.dx") == 0) & (F.col("o.dy") == 0), F.col("n"))).alias("n"),
             F.sum("n").alias("n_around"),

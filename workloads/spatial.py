@@ -410,12 +410,12 @@ def carried(spark, sf):
 
 @query(
     "agg34_density_grid",
-    f"""with {CELLS}, g as (select slide_id, cast(x // 128 as integer) as gx, cast(y // 128 as integer) as gy, count(*) as n from cells where cell_type = 2 group by all)
-    select a.slide_id, a.gx, a.gy, a.n, cast(sum(b.n) as bigint) as n_around from g a join g b
-    on a.slide_id = b.slide_id and abs(a.gx - b.gx) <= 1 and abs(a.gy - b.gy) <= 1 group by all""",
+    f"""with {CELLS}, g as (select slide_id, cell_type, cast(x // 128 as integer) as gx, cast(y // 128 as integer) as gy, count(*) as n from cells group by all)
+    select a.slide_id, a.cell_type, a.gx, a.gy, a.n, cast(sum(b.n) as bigint) as n_around from g a join g b
+    on a.slide_id = b.slide_id and a.cell_type = b.cell_type and abs(a.gx - b.gx) <= 1 and abs(a.gy - b.gy) <= 1 group by all""",
 )
 def density(spark, sf):
-    return C.density_grid(I.cells(spark, sf), 2)
+    return C.density_grid(I.cells(spark, sf))
 
 
 # --- features ---------------------------------------------------------------------------------

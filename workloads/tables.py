@@ -320,12 +320,29 @@ def feature_files(spark, sf):
     return docs.select("name", F.lit("Granulocytes").alias("probe"), r6(share).alias("share"))
 
 
-@query("snk3_matrix", f"with {FM} select slide_id, feature, round(value, 6) as value from fm")
+@query(
+    "snk3_matrix",
+    f"""with {FM}, c as (select a.feature as a, b.feature as b, corr(a.value, b.value) as r from fm a join fm b using (slide_id) group by all)
+    select 'matrix' as part, slide_id::varchar as a, feature as b, round(value, 6) as value from fm
+    union all select 'labels', vec_id::varchar, (label % 2)::varchar, cast(label // 2 as double) from embeddings
+    union all select distinct 'names', feature, null, null from fm
+    union all select 'correlations', a, b, round(r, 6) + 0.0 from c""",
+)
 def matrix_files(spark, sf):
+    """All four parts are written and read back."""
     path = fresh_path(shared_dir(spark), "matrix")
     fm = I.feature_matrix(spark, sf)
     K.write_matrix(fm, I.sample_labels(spark, sf), MX.correlations(fm), path)
-    return rounded(spark.read.parquet(f"{path}/matrix"), "value")
+    text = lambda c: F.col(c).cast("string")
+    part = lambda name, df, a, b, value: df.select(
+        F.lit(name).alias("part"), a.alias("a"), b.cast("string").alias("b"), value.cast("double").alias("value")
+    )
+    none = F.lit(None)
+    out = part("matrix", spark.read.parquet(f"{path}/matrix"), text("slide_id"), F.col("feature"), F.col("value"))
+    out = out.unionByName(part("labels", spark.read.parquet(f"{path}/labels"), text("slide_id"), F.col("label"), F.col("cohort_id")))
+    out = out.unionByName(part("names", spark.read.parquet(f"{path}/names"), F.col("feature"), none, none))
+    corr = K.read_csv(spark, f"{path}/correlations")
+    return rounded(out.unionByName(part("correlations", corr, F.col("feature_a"), F.col("feature_b"), F.col("r"))), "value")
 
 
 @query(
