@@ -47,9 +47,10 @@ def last_per_key(pairs: DataFrame, key: str = "k", value: str = "v", pos: str =
 
 
 def read_id_lookup(spark: SparkSession, path: str) -> DataFrame:
-    """Headerless two-column CSV; of repeated keys the last row counts."""
+    """Headerless two-column CSV; of repeated keys the last row counts, files in order of their names."""
     rows = spark.read.schema("k string, v string").csv(path, header=False)
-    return last_per_key(rows.withColumn("pos", F.monotonically_increasing_id()))
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("record"))
+    return last_per_key(rows.select("k", "v", place.alias("pos")))
 
 
 def with_sample_ids(slides: DataFrame, lookup: DataFrame, key: str, name: str) -> DataFrame:

@@ -121,10 +121,11 @@ def unprocessed(spark, sf):
 
 @query("src6_id_lookup", "select cast(user_id as varchar) as k, arg_max(event_type, event_id) as v from events group by 1")
 def lookup(spark, sf):
-    pairs = I.table(spark, sf, "events").select(
-        F.col("user_id").cast("string").alias("k"), F.col("event_type").alias("v"), F.col("event_id").alias("pos")
-    )
-    return ST.last_per_key(pairs)
+    """The pairs are written as headerless CSV files in event order and read back."""
+    path = fresh_path(shared_dir(spark), "lookup")
+    events = I.table(spark, sf, "events").repartitionByRange("event_id").sortWithinPartitions("event_id")
+    events.select(F.col("user_id").cast("string"), "event_type").write.csv(path)
+    return ST.read_id_lookup(spark, path)
 
 
 @query(
