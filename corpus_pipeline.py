@@ -48,8 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``(doc_id, n_tokens, ids, decoded)``: token ids of every text, and the text they decode to."""
     apply_session_rules(spark)
-    path = public_tokenizers.path(TOKENIZER)
-    return bpe.decode_documents(bpe.encode_documents(docs, path), path)
+    return bpe.encode_documents(docs, public_tokenizers.path(TOKENIZER), with_decoded=True)
 
 
 STAGES = [

@@ -153,10 +153,16 @@ def worker_encoder(tokenizer_text: str) -> CachedEncoder:
 
 
 def encode_documents(
-    docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text", block_bytes: int = BLOCK_BYTES
+    docs: DataFrame,
+    tokenizer_path: str,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    block_bytes: int = BLOCK_BYTES,
+    with_decoded: bool = False,
 ) -> DataFrame:
     """``(doc_id, n_tokens, ids)``, one row per row of ``docs``; ``ids`` are little-endian unsigned 32-bit integers.
 
+    With ``with_decoded`` the ids are decoded again in the same task, as :func:`decode_documents` does, to column ``decoded``.
     No special tokens are added; added tokens that stand in a text become their id. Null and empty texts have no ids;
     repeated rows stay repeated; an empty table gives an empty result; other columns are not read. ``docs`` is a scan
     of files or a checkpoint.
@@ -165,6 +171,7 @@ def encode_documents(
     tokenizer_text = read_tokenizer(tokenizer_path)
     small = "<u2" if load_tokenizer(tokenizer_text).get_vocab_size() <= 1 << 16 else "<u4"  # ids on their way
     shipped = spark.sparkContext.broadcast(tokenizer_text)
+    known = spark.sparkContext.broadcast(pieces_of(tokenizer_text)) if with_decoded else None
     split = LazySplitter(shipped)
     rows = docs.select(F.col(id_column).cast("bigint").alias("id"), as_bytes(text_column).alias("text"))
 
@@ -187,10 +194,10 @@ def encode_documents(
         .mapInArrow(tidy(encode), "block bigint, number int, piece binary")
     )
 
-    def place(pieces_of: pa.Table, documents: pa.Table) -> pa.Table:
+    def place(words: pa.Table, documents: pa.Table) -> pa.Table:
         """Ids of a block's words put in the places of the words in its documents."""
-        number = pieces_of.column("number").to_numpy()
-        column = pieces_of.column("piece").combine_chunks() if pieces_of.num_rows else pa.array([], pa.binary())
+        number = words.column("number").to_numpy()
+        column = words.column("piece").combine_chunks() if words.num_rows else pa.array([], pa.binary())
         column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
         offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
         flat = np.frombuffer(column.buffers()[2] or b"", small) if len(column) else np.zeros(0, small)
@@ -204,13 +211,15 @@ def encode_documents(
             total = int(ends[-1]) if len(ends) else 0
             at = np.repeat(begin[own] - (ends - many), many) + np.arange(total)
             ids.append(flat[at].astype("<u4").tobytes())
+        out = {"doc_id": documents.column("id"), "n_tokens": pa.array([len(i) // 4 for i in ids], pa.int64()), "ids": pa.array(ids, pa.binary())}
+        if with_decoded:
+            out["decoded"] = pa.array([decoded(i, known.value) for i in ids], pa.string())
         give_back()
-        return pa.table({
-            "doc_id": documents.column("id"), "n_tokens": pa.array([len(i) // 4 for i in ids], pa.int64()), "ids": pa.array(ids, pa.binary()),
-        })
+        return pa.table(out)
 
     documents = block_documents(rows, split, block_bytes)
-    return pieces.groupBy("block").cogroup(documents.groupBy("block")).applyInArrow(place, "doc_id bigint, n_tokens bigint, ids binary")
+    schema = "doc_id bigint, n_tokens bigint, ids binary" + (", decoded string" if with_decoded else "")
+    return pieces.groupBy("block").cogroup(documents.groupBy("block")).applyInArrow(place, schema)
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -228,6 +237,13 @@ def pieces_of(tokenizer_text: str) -> list[bytes]:
     return [as_raw(tokens[i]) if i in tokens else b"" for i in range(max(tokens, default=-1) + 1)]
 
 
+def decoded(raw: bytes | None, pieces: list[bytes]) -> str:
+    """Text of ids, each joined with its piece."""
+    ids = np.frombuffer(raw or b"", "<u4")
+    ids = ids[ids < len(pieces)] if len(ids) and ids.max() >= len(pieces) else ids
+    return b"".join([pieces[i] for i in ids.tolist()]).decode("utf-8", "replace")
+
+
 def decode_documents(encoded: DataFrame, tokenizer_path: str, ids_column: str = "ids") -> DataFrame:
     """``encoded`` with column ``decoded``: the pieces of the ids, joined in order, as text.
 
@@ -239,13 +255,6 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str, ids_column: str =
 
     @F.pandas_udf("string")
     def decode(column: pd.Series) -> pd.Series:
-        pieces = shipped.value
-        known = len(pieces)
-        out = []
-        for raw in column:
-            ids = np.frombuffer(raw or b"", "<u4")
-            ids = ids[ids < known] if len(ids) and ids.max() >= known else ids
-            out.append(b"".join([pieces[i] for i in ids.tolist()]).decode("utf-8", "replace"))
-        return pd.Series(out, dtype=object)
+        return pd.Series([decoded(raw, shipped.value) for raw in column], dtype=object)
 
     return encoded.withColumn("decoded", decode(ids_column))

@@ -72,7 +72,7 @@ def within_one_edit(a: list[bytes], b: list[bytes]) -> bool:
 
 
 def _lines(docs: DataFrame, min_words: int, with_words: bool) -> DataFrame:
-    """Lines that have words, of rows ``(id, text as bytes)``.
+    """Lines that have words, of rows ``(id, text_key, text as bytes)``.
 
     ``(id, text_key, line_no, line, halves)``, or ``(line, words)`` of the lines long enough to have a near one.
     """
@@ -80,10 +80,8 @@ def _lines(docs: DataFrame, min_words: int, with_words: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for name, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-                text = text or b""
-                key = None if with_words else xxhash.xxh64_intdigest(text) >> 1
-                for number, line in enumerate(text.split(b"\n")):
+            for name, key, text in zip(*[batch.column(c).to_pylist() for c in ("id", "text_key", "text")]):
+                for number, line in enumerate((text or b"").split(b"\n")):
                     words = line_words(line)
                     if with_words and len(words) >= min_words:
                         rows.append((line_digest(words), b" ".join(words)))
@@ -161,7 +159,9 @@ def line_decisions(
     """
     if edits not in (0, 1):
         raise ValueError("edits is 0 or 1")
-    rows = docs.select(F.col(id_column).cast("bigint").alias("id"), as_bytes(text_column).alias("text"))
+    rows = docs.select(
+        F.col(id_column).cast("bigint").alias("id"), text_key_column(text_column).alias("text_key"), as_bytes(text_column).alias("text")
+    )
     lines = cut(_lines(rows, min_words if edits else 1 << 30, False))
     place = F.struct("id", "text_key", "line_no")
     firsts = lines.groupBy("line").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"), F.first("halves").alias("halves"))
@@ -182,12 +182,7 @@ def line_decisions(
 
 def text_key_column(text: Column | str) -> Column:
     """Hash by which texts that share an id are told apart; null counts as empty."""
-
-    @F.pandas_udf("bigint")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([xxhash.xxh64_intdigest(t or b"") >> 1 for t in texts], dtype="int64")
-
-    return run(as_bytes(text))
+    return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
 def drop_lines(

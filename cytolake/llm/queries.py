@@ -46,9 +46,8 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_bpe_round_trip")
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode_documents(documents(spark, sf_dir), tokenizer_path())
-    decoded = bpe.decode_documents(encoded, tokenizer_path())
-    return decoded.select(
+    encoded = bpe.encode_documents(documents(spark, sf_dir), tokenizer_path(), with_decoded=True)
+    return encoded.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
     )
 

@@ -37,8 +37,9 @@ def test_words_are_those_of_the_library(library):
 
 @pytest.mark.parametrize("block_bytes", [200, 1 << 20])
 def test_ids_and_text_of_odd_rows(spark, odd, nothing, library, block_bytes):
-    encoded = bpe.encode_documents(spark.read.parquet(odd), PATH, block_bytes=block_bytes)
-    got = bpe.decode_documents(encoded, PATH).collect()
+    encoded = bpe.encode_documents(spark.read.parquet(odd), PATH, block_bytes=block_bytes, with_decoded=True)
+    got = bpe.decode_documents(encoded.withColumnRenamed("decoded", "at_once"), PATH).collect()
+    assert all(r.at_once == r.decoded for r in got)
     want = [(i or 0, tuple(library.encode(t or "", add_special_tokens=False).ids), t or "") for i, t, _, _ in ODD]
     assert sorted((r.doc_id or 0, tuple(np.frombuffer(r.ids, "<u4").tolist()), r.decoded) for r in got) == sorted(want)
     assert all(r.n_tokens * 4 == len(r.ids) for r in got)
