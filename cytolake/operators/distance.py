@@ -132,16 +132,19 @@ def nearest_targets(
     located: DataFrame,
     classes: Sequence[int] = DISTANCE_CLASSES,
     boxes: DataFrame | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Nearest cell of each higher class in the same region, one row per source cell and target class.
 
     Without ``boxes`` the true nearest distance. With ``boxes`` (see :func:`search_boxes`) the answer
     of an expanding-box search: the nearest target within the first box that holds any.
-    Sources without a target in their region have no row.
+    Sources without a target in their region have no row. ``classes`` limits both roles. ``stored`` says that ``located`` is
+    a checkpoint or a table already, which is not written once more.
     """
     box = boxes is not None
+    chosen = located.where(F.col("cell_type").isin(list(classes)))
     # both roles and the final answer start from these rows
-    located = cut(located.join(boxes, _G) if box else located)
+    located = chosen if stored and not box else cut(chosen.join(boxes, _G) if box else chosen)
     sources, targets = _positions(located, box)
     reach = targets.agg(F.max(F.greatest(F.abs("x"), F.abs("y")))).first()[0] or 0
     levels = 0

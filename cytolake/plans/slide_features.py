@@ -95,7 +95,7 @@ def tissue_features_from_runs(cells: DataFrame, runs: DataFrame, profile: DataFr
     if cfg.distances:
         own = tagged.select("slide_id", "cell_ord", "cx", "cy", "cell_type")
         located = cut(D.located_cells(own, label_regions(runs), cfg.distance_classes, cfg.down))
-        nearest = cut(D.nearest_targets(located, cfg.distance_classes))
+        nearest = cut(D.nearest_targets(located, cfg.distance_classes, stored=True))
         summary = D.distance_summary(own, located, nearest, cfg.distance_classes)
         out = out.unionByName(FT.distance_features(summary, cfg.distance_classes))
     return out

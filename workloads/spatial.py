@@ -380,7 +380,7 @@ def _distance_sql() -> str:
 def distances(spark, sf):
     cells = I.cells(spark, sf)
     located = cut(D.located_cells(cells, R.label_regions(M.mask_runs(mask_of(spark, sf))), ALL5))
-    nearest = cut(D.nearest_targets(located, ALL5))
+    nearest = cut(D.nearest_targets(located, ALL5, stored=True))
     return rounded_stats(D.distance_summary(cells, located, nearest, ALL5), *STATS)
 
 
@@ -405,7 +405,7 @@ def mean_distance(spark, sf):
 )
 def carried(spark, sf):
     located = cut(located_of(spark, sf))
-    return rounded(D.carried_distances(located, D.nearest_targets(located, ALL5), ALL5), "dist")
+    return rounded(D.carried_distances(located, D.nearest_targets(located, ALL5, stored=True), ALL5), "dist")
 
 
 @query(
