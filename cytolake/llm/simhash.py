@@ -87,7 +87,7 @@ def near_links(fingerprints: DataFrame, radius: int = 2) -> DataFrame:
     masks = F.array(*[F.lit(m) for m in half_ball(radius)])
     tasks = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # a number of tasks of its own: the balls are 65 times as many rows as the fingerprints, whose size AQE goes by
-    spread = fingerprints.select("fp").distinct().repartition(tasks, "fp").withColumn(
+    spread = fingerprints.select("fp").repartition(tasks, "fp").distinct().withColumn(
         "variant", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("fp"))))
     )
     groups = spread.groupBy("variant").agg(F.sort_array(F.collect_list("fp")).alias("members"))  # <= half ball
