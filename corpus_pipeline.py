@@ -34,9 +34,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near fingerprints stays."""
-    apply_session_rules(spark)
-    return simhash.drop_near_copies(docs)
+    """One document of each group stays whose five-word shingles are similar by 0.8 or more."""
+    apply_session_rules(spark, "-1")  # dozens of small joins: their broadcasts would pile up in the driver
+    return simhash.drop_similar(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,12 +7,18 @@ fingerprints that emit the same value are shuffled together. Any two members of
 whatever the data: linking all members with the smallest one loses no component and never emits all pairs.
 
 Copies meet as one fingerprint before anything is emitted, so a group of a million copies costs one row.
+
+Two bits find few edited copies, so :func:`drop_similar` looks wider: besides the fingerprints it compares ``BANDS`` sketches a
+text, each of the smallest values of ``BAND_ROWS`` hash functions over its five-word shingles. Texts of Jaccard similarity s share
+a sketch with chance ``1 - (1 - s ** BAND_ROWS) ** BANDS``, 0.999 at 0.8. Every candidate is verified by the shingles themselves.
 """
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,10 +26,17 @@ from pyspark.sql import functions as F
 from cytolake.functions.graph import connected_components
 from cytolake.llm.joins import broadcast_if_few
 from cytolake.llm.text import as_bytes, words_of
+from cytolake.llm.workers import tidy
 from cytolake.runtime import cut
 
 SEED = 42
 BITS = 64
+BANDS = 24
+BAND_ROWS = 6
+#: groups of at most so many members are compared pair by pair, larger ones with leaders
+PAIRED = 16
+#: pairs of one leader that meet in a task
+LEADER_ROWS = 500
 
 
 def _spread() -> np.ndarray:
@@ -97,16 +110,21 @@ def near_links(fingerprints: DataFrame, radius: int = 2) -> DataFrame:
     return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius).distinct()
 
 
+def _rooted(firsts: DataFrame, links: DataFrame) -> DataFrame:
+    """``(fp, component_id)`` for distinct ``(fp, first_id)`` and links ``(u, v)`` between values of ``fp``."""
+    roots = connected_components(links).withColumnRenamed("node", "fp")
+    rooted = firsts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
+
+
 def components(fingerprints: DataFrame, radius: int = 2) -> DataFrame:
     """``(fp, component_id)`` for rows ``(id, fp)``: the smallest id reachable over links of at most ``radius`` bits.
 
     Null ids are never a component's id unless it has no other.
     """
     firsts = cut(fingerprints.groupBy("fp").agg(F.min("id").alias("first_id")))
-    roots = connected_components(near_links(firsts, radius)).withColumnRenamed("node", "fp")
-    rooted = firsts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
+    return _rooted(firsts, near_links(firsts, radius))
 
 
 def simhash_groups(
@@ -133,7 +151,13 @@ def drop_near_copies(
     only where no document of their group has one.
     """
     marked = cut(docs.select(F.col(id_column).alias("id"), fingerprint_column(text_column, shingle_words).alias("fp")))
-    ids = marked.join(components(marked, radius), "fp").withColumn("stays", F.col("id").eqNullSafe(F.col("component_id")))
+    again = fingerprint_column(F.col(f"_row.`{text_column}`"), shingle_words)
+    return _one_of_each(docs, id_column, marked, components(marked, radius), again)
+
+
+def _one_of_each(docs: DataFrame, id_column: str, marked: DataFrame, groups: DataFrame, again: Column) -> DataFrame:
+    """``docs`` with the first document of each group; ``again`` gives the ``fp`` of a ``_row``."""
+    ids = marked.join(groups, "fp").withColumn("stays", F.col("id").eqNullSafe(F.col("component_id")))
     of_id = cut(ids.groupBy("id").agg(F.max("stays").alias("some"), F.min("stays").alias("all")).where("not all"))
     rows = docs.select(F.struct("*").alias("_row"))
     own_id = F.col(f"_row.`{id_column}`")
@@ -145,8 +169,140 @@ def drop_near_copies(
         return left.select("_row.*")
     stays = ids.where("stays").select(F.col("id").alias("_stays_id"), F.col("fp").alias("_stays_fp")).distinct()
     whole = left.join(broadcast_if_few(split), own_id.eqNullSafe(F.col("_split_id")), "left_anti")
-    parts = left.join(broadcast_if_few(split), own_id.eqNullSafe(F.col("_split_id")), "left_semi").withColumn(
-        "_fp", fingerprint_column(F.col(f"_row.`{text_column}`"), shingle_words)
-    )
+    parts = left.join(broadcast_if_few(split), own_id.eqNullSafe(F.col("_split_id")), "left_semi").withColumn("_fp", again)
     matched = parts.join(stays, own_id.eqNullSafe(F.col("_stays_id")) & (F.col("_fp") == F.col("_stays_fp")), "left_semi")
     return whole.select("_row").unionByName(matched.select("_row")).select("_row.*")
+
+
+def shingle_hashes(words: list[bytes], shingle_words: int = 5) -> np.ndarray:
+    """Distinct unsigned hashes of the runs of ``shingle_words`` words; a shorter text is one shingle, no word is none."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    own = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64)
+    n = max(1, len(words) - shingle_words + 1)
+    out = np.full(n, min(len(words), shingle_words), np.uint64)
+    for k in range(min(len(words), shingle_words)):
+        out = (out ^ own[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def sketches(shingles: np.ndarray) -> np.ndarray:
+    """``BANDS`` longs of which similar sets share some; none for an empty set."""
+    if not len(shingles):
+        return np.zeros(0, np.int64)
+    random = np.random.default_rng(SEED)
+    factors = random.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+    low = np.full(len(factors), ~np.uint64(0))
+    for start in range(0, len(shingles), 1024):
+        np.minimum(low, (shingles[start : start + 1024, None] * factors).min(axis=0), out=low)
+    rows = low.reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(rows)], np.uint64).view(np.int64)
+
+
+def words_key(words: list[bytes]) -> bytes:
+    """128 bits that texts of the same words share."""
+    return xxhash.xxh3_128_digest(b" ".join(words))
+
+
+def _sketched(docs: DataFrame, id_column: str, text_column: str, shingle_words: int) -> DataFrame:
+    """``(id, text_hash, key, fp, bands)`` of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, prints, bands = [], [], []
+            for text in batch.column("text"):
+                data = text.as_py()
+                words = words_of(data)
+                keys.append(words_key(words))
+                prints.append(fingerprint(data))
+                bands.append(sketches(shingle_hashes(words, shingle_words)))
+            yield pa.RecordBatch.from_pydict({
+                "id": batch.column("id"), "text_hash": batch.column("text_hash"), "key": pa.array(keys, pa.binary()),
+                "fp": pa.array(np.array(prints, np.uint64).view(np.int64)), "bands": pa.array(bands, pa.list_(pa.int64())),
+            })
+
+    rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("text_hash"), as_bytes(text_column).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(tidy(run), f"id {kind}, text_hash bigint, key binary, fp bigint, bands array<bigint>")
+
+
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, text_column: str, shingle_words: int) -> DataFrame:
+    """``(key, shingles)`` of the texts whose ``text_hash`` is ``wanted``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                words = words_of(text.as_py())
+                shingles = shingle_hashes(words, shingle_words).view(np.int64)
+                yield pa.RecordBatch.from_pydict({"key": pa.array([words_key(words)], pa.binary()), "shingles": pa.array([shingles], pa.list_(pa.int64()))})
+
+    texts = docs.select(as_bytes(text_column).alias("text"), F.xxhash64(text_column).alias("text_hash"))
+    some = texts.join(broadcast_if_few(wanted), "text_hash", "left_semi").select("text")
+    return some.mapInArrow(tidy(run), "key binary, shingles array<bigint>").groupBy("key").agg(F.first("shingles").alias("shingles"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``(u, v)`` whose sets are as similar; one ``u`` with many ``v`` is dealt over tasks."""
+    salts = pairs.groupBy("u").agg(F.floor(F.count(F.lit(1)) / LEADER_ROWS).cast("int").alias("_salts"))
+    left = salts.join(sets.withColumnRenamed("key", "u"), "u").withColumn("_salt", F.explode(F.sequence(F.lit(0), "_salts")))
+    right = pairs.join(salts, "u").withColumn("_salt", F.pmod(F.xxhash64("v"), F.col("_salts") + 1).cast("int")).drop("_salts")
+    met = right.join(sets.withColumnRenamed("key", "v").withColumnRenamed("shingles", "_of_v"), "v").join(left, ["u", "_salt"])
+    both = F.size(F.array_intersect("shingles", "_of_v"))
+    return met.where(both >= similarity * (F.size("shingles") + F.size("_of_v") - both) - 1e-9).select("u", "v")
+
+
+def similar_links(texts: DataFrame, docs: DataFrame, text_column: str, shingle_words: int, similarity: float) -> DataFrame:
+    """Verified ``(u, v)`` links between keys of distinct ``texts``: ``(key, text_hash, fp, bands)``.
+
+    Candidates share a sketch or have fingerprints within 2 bits. Groups of up to ``PAIRED`` texts are compared pair by pair. In a
+    larger one a leader is compared with all others, then the first of those that are not similar to any leader so far, until none is left.
+    """
+    pair = [F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")]
+    exploded = texts.select("key", F.explode("bands").alias("band"))
+    sizes = cut(exploded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    member = cut(exploded.join(sizes, "band"))
+    small = member.where(F.col("n") <= PAIRED).groupBy("band").agg(F.collect_list("key").alias("keys"))
+    pairs = small.select("keys", F.explode("keys").alias("a")).select("a", F.explode("keys").alias("b"))
+    of_print = cut(texts.groupBy("fp").agg(F.min("key").alias("first")))
+    same = texts.join(of_print, "fp").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    near = near_links(of_print).join(of_print.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(
+        of_print.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v"
+    )
+    pairs = cut(pairs.unionByName(same).unionByName(near.select("a", "b")).where("a <> b").select(*pair).distinct())
+    large = member.where(F.col("n") > PAIRED).select("band", "key")
+    candidates = pairs.select(F.explode(F.array("u", "v")).alias("key")).unionByName(large.select("key")).distinct()
+    wanted = cut(texts.join(candidates, "key", "left_semi").select("text_hash").distinct())
+    sets = cut(_shingle_sets(docs, wanted, text_column, shingle_words))
+    links = cut(_verified(pairs, sets, similarity))
+    state = cut(large.withColumn("alone", F.lit(True)))
+    while not state.isEmpty():
+        leaders = cut(state.where("alone").groupBy("band").agg(F.min("key").alias("leader")))
+        met = cut(state.join(leaders, "band").where("key <> leader"))  # groups without a lone text are done
+        found = cut(_verified(met.select(F.col("leader").alias("u"), F.col("key").alias("v")).distinct(), sets, similarity))
+        links = cut(links.unionByName(found))
+        linked = found.select(F.col("u").alias("leader"), F.col("v").alias("key"), F.lit(True).alias("linked"))
+        state = met.join(linked, ["leader", "key"], "left").select("band", "key", (F.col("alone") & F.col("linked").isNull()).alias("alone"))
+        left = state.where("alone").select("band").distinct()
+        state = cut(state.join(left, "band", "left_semi"))
+    return links
+
+
+def drop_similar(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle_words: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """``docs`` with one document of each group of texts linked by a Jaccard similarity of their word shingles.
+
+    As :func:`drop_near_copies` otherwise; texts without a word are copies of each other.
+    """
+    every = cut(_sketched(docs, id_column, text_column, shingle_words))
+    texts = cut(every.groupBy("key").agg(F.min("id").alias("first_id"), *[F.first(c).alias(c) for c in ("text_hash", "fp", "bands")]))
+    links = similar_links(texts, docs, text_column, shingle_words, similarity)
+    marked = every.select("id", F.col("key").alias("fp"))
+    groups = _rooted(texts.select(F.col("key").alias("fp"), "first_id"), links)
+
+    @F.pandas_udf("binary")
+    def key(data: pd.Series) -> pd.Series:
+        return pd.Series([words_key(words_of(t)) for t in data], dtype=object)
+
+    return _one_of_each(docs, id_column, marked, groups, key(as_bytes(F.col(f"_row.`{text_column}`"))))
