@@ -3,6 +3,7 @@
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.ml.feature import VectorSlicer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ def sweep(
     """(fold, k, score) and the rankings (fold, rank, feature) of a k sweep.
 
     Features are ranked on a fold's training part only. The fits of all folds and k are independent Spark
-    jobs, started from a small thread pool; slides are read once per fold.
+    jobs, started from a small thread pool; the matrix is pivoted once per fold, in rank order, and sliced for each k.
     """
     spark = fm.sparkSession
     labelled = cut(fm.join(labels.select("slide_id", "label"), "slide_id").join(folds.select("slide_id", "fold"), "slide_id"))
@@ -59,19 +60,25 @@ def sweep(
         train = labelled.where(F.col("fold") != fold).drop("fold")
         return [r["feature"] for r in ranker(train, max(ks)).orderBy("rank").collect()]
 
-    def score(job: tuple[int, list[str]]) -> tuple[int, int, float | None]:
-        fold, names = job
-        subset = labelled.where(F.col("feature").isin(names))
-        vectors = MX.to_vectors(subset, names, ["slide_id", "label", "fold"])
-        signed = vectors.withColumn("signed", (F.col("label") * 2 - 1).cast("double"))
+    def parts(fold: int) -> tuple[DataFrame, DataFrame]:
+        names = ranked[fold]
+        vectors = MX.to_vectors(labelled.where(F.col("feature").isin(names)), names, ["slide_id", "label", "fold"])
+        signed = cut(vectors.withColumn("signed", (F.col("label") * 2 - 1).cast("double")).withColumnRenamed("features", "ranked"))
         train = cut(ML.balanced_weights(signed.where(F.col("fold") != fold)))  # weights of the training part alone
-        fitted = ML.fit(train, model, **params)
-        scored = ML.predict(fitted, signed.where(F.col("fold") == fold))
-        return fold, len(names), E.balanced_accuracy(scored).first()[0]
+        return train, signed.where(F.col("fold") == fold)
+
+    def score(job: tuple[int, int]) -> tuple[int, int, float | None]:
+        fold, k = job
+        first = VectorSlicer(inputCol="ranked", outputCol="features", indices=list(range(k)))
+        train, test = map(first.transform, split[fold])
+        scored = ML.predict(ML.fit(train, model, **params), test)
+        return fold, k, E.balanced_accuracy(scored).first()[0]
 
     with ThreadPoolExecutor(parallelism) as pool:
         ranked = dict(zip(numbers, pool.map(ranking, numbers)))
-        jobs = [(f, ranked[f][:k]) for f in numbers for k in sorted(set(ks), reverse=True) if 0 < k <= len(ranked[f])]
+        filled = [f for f in numbers if ranked[f]]
+        split = dict(zip(filled, pool.map(parts, filled)))
+        jobs = [(f, k) for f in filled for k in sorted(set(ks), reverse=True) if 0 < k <= len(ranked[f])]
         results = list(pool.map(score, jobs))
     scores = spark.createDataFrame(results, "fold int, k int, score double")
     ranks = [(f, i, n) for f in numbers for i, n in enumerate(ranked[f], 1)]
