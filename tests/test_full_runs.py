@@ -1,5 +1,7 @@
 """Registered queries run the whole of their operator."""
 
+import inspect
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from cytolake.operators import folds as FO
 from cytolake.operators import models as ML
 from cytolake.operators import evaluation as E
 from cytolake.operators import matrix as MX
+from cytolake.operators import selection as SE
 from cytolake.plans import cross_validation as CV
 from workloads import inputs as I
 from workloads import learning
@@ -42,3 +45,18 @@ def test_sliced_vectors_score_as_their_own_matrix(spark):
     fitted = ML.fit(ML.balanced_weights(rows.where("fold <> 0")), "logistic")
     want = E.balanced_accuracy(ML.predict(fitted, rows.where("fold = 0"))).first()[0]
     assert abs(scores.where("fold = 0 and k = 3").first().score - want) < 1e-6
+
+
+def test_boruta_runs_with_the_defaults_of_the_operator(spark, monkeypatch):
+    kinds = inspect.signature(SE.boruta)
+
+    def boruta(*args, **kw):
+        given = kinds.bind(*args, **kw)
+        given.apply_defaults()
+        raise Seen(given.arguments)
+
+    monkeypatch.setattr(SE, "boruta", boruta)
+    with pytest.raises(Seen) as seen:
+        learning.boruta(spark, SMALL)
+    got = seen.value.args[0]
+    assert (got["rounds"], got["trees"], got["max_depth"]) == (100, 100, 15)

@@ -204,7 +204,7 @@ def best_by_z(spark, sf):
 
 @query("fs3_boruta")
 def boruta(spark, sf):
-    return SE.boruta(labelled(spark, sf).drop("cohort_id"), rounds=12, max_depth=6, trees=20, seed=0)
+    return SE.boruta(labelled(spark, sf).drop("cohort_id"), seed=0)
 
 
 @query(
