@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytolake.llm import bpe, chat, embedding_join, exact_dedup, line_dedup, mixing, quality, simhash, suffix_tree, token_files
+from cytolake.llm import bpe, chat, embedding_join, exact_dedup, line_dedup, mixing, quality, simhash, suffix_tree, token_files, warc
 from cytolake.runtime import shared_dir
 
 #: the tokenizer of the queries, as the public package of vocabulary files names it
@@ -137,3 +137,29 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(documents(spark, sf_dir))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query(
+    "op13_warc",
+    """
+    with p as (
+      select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as h,
+             max(page_id) over (partition by coalesce(html, '')) as first_id
+      from pages)
+    select page_id, cast(payload_bytes as bigint) as payload_bytes,
+           array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+             1 + ((cast('0x' || substr(h, 1 + 5 * (i // 4), 5) as bigint) >> (15 - 5 * (i % 4))) & 31), 1)), '') as payload_digest,
+           case when page_id = first_id then 'response' else 'revisit' end as record_type,
+           case when page_id <> first_id then first_id end as refers_to
+    from p""",
+)
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    found = warc.read_archives(spark.read.parquet(f"{folder}/manifest")).where("record_type in ('response', 'revisit')")
+    of_row = lambda c: F.regexp_extract(c, "^<urn:row:(-?[0-9]+):", 1)
+    whole = F.assert_true(F.col("intact"), "a record of the archives is damaged")
+    return found.select(
+        of_row("record_id").try_cast("bigint").alias("page_id"), "payload_bytes", "payload_digest",
+        F.coalesce(whole.cast("string"), "record_type").alias("record_type"), of_row("refers_to").try_cast("bigint").alias("refers_to"),
+    )
