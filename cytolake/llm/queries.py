@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytolake.llm import bpe, chat, embedding_join, exact_dedup, line_dedup, mixing, quality, simhash, suffix_tree, token_files, warc
+from cytolake.llm import bpe, chat, embedding_join, exact_dedup, line_dedup, mixing, quality, repair, simhash, suffix_tree, token_files, warc, whitening
 from cytolake.runtime import shared_dir
 
 #: the tokenizer of the queries, as the public package of vocabulary files names it
@@ -139,6 +139,36 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with faults dealt by a hash of conversation and turn: rows go, are emptied, cut, repeated or change their role."""
+    name = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    rows = conversations.select(
+        "conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"),
+        (F.crc32(F.concat(name[0], F.lit(":"), name[1]).cast("binary")) % 20).alias("dealt"),
+    ).where("dealt <> 0")
+    text = F.when(F.col("dealt") == 1, "").when(F.col("dealt") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    times = F.explode(F.when(F.col("dealt") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return rows.select("conv_id", "turn", F.when(F.col("dealt") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), times.alias("again")).drop("again")
+
+
+@query("op11_conversation_repair")
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    every = told.select(F.col("conv_id").alias("conv")).distinct()
+    return repair.digests(repair.repair(damaged(told)), every).withColumnRenamed("conv", "conv_id")
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, found = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    shares = F.array(*[F.lit(float(e / found.trace)) for e in found.variances]) if found.trace else F.array().cast("array<double>")
+    each = rows.select("id", "deviation", F.posexplode("whitened").alias("place", "whitened"))
+    return each.select(
+        F.col("id").alias("vec_id"), (F.col("place") + 1).cast("int").alias("component"), F.lit(found.n).cast("bigint").alias("n"), "deviation",
+        "whitened", F.get(shares, F.col("place")).alias("explained"), F.lit(found.identity_error).alias("identity_error"),
+    )
+
+
 @query(
     "op13_warc",
     """
