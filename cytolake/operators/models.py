@@ -39,13 +39,15 @@ DEFAULT_ALPHA = 0.0
 def penalties(rows: DataFrame, model: str, params: Mapping) -> dict:
     """Spark's penalty per unit of weight: 1 / (C n) for logistic and alpha / n for ridge regression.
 
-    ``C`` and ``alpha`` are taken from ``params``; a ``regParam`` given there is left as it is.
+    Spark divides the penalty of a regression by the deviation of the label, which is taken back. ``C`` and ``alpha``
+    are taken from ``params``; a ``regParam`` given there is left as it is.
     """
     out = {k: v for k, v in params.items() if k not in ("C", "alpha")}
     if model in ("logistic", "ridge") and "regParam" not in out:
         n = rows.count()  # balanced weights add up to n as well
         strength = 1.0 / params.get("C", DEFAULT_C) if model == "logistic" else params.get("alpha", DEFAULT_ALPHA)
-        out["regParam"] = float(strength) / max(n, 1)
+        spread = rows.agg(F.stddev_pop("signed")).first()[0] or 1.0 if model == "ridge" and strength else 1.0
+        out["regParam"] = float(strength) * spread / max(n, 1)
     return out
 
 

@@ -4,19 +4,16 @@ Work over slides runs as Spark aggregates; only per-feature or feature-pair summ
 hundred features by construction) are looked at one by one.
 """
 
-import math
-import random
 from collections.abc import Sequence
 
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytolake.functions.graph import connected_components
-from cytolake.functions.ordering import positions, running_totals
+from cytolake.functions.ordering import running_totals
 from cytolake.functions.pvalues import mann_whitney_p
-from cytolake.operators.matrix import correlations, feature_names, to_vectors
-from cytolake.operators.models import balanced_weights
+from cytolake.operators.boruta import boruta  # noqa: F401  one of the selections
+from cytolake.operators.matrix import correlations
 from cytolake.runtime import cut
 
 # Smallest redundancy, and the mean redundancy that rules a feature out.
@@ -113,98 +110,6 @@ def best_by_p(tests: DataFrame, k: int) -> DataFrame:
     return tests.orderBy(F.col("p").asc_nulls_last(), "feature").limit(k)
 
 
-def shadow_matrix(numbered: DataFrame, names: Sequence[str], n: int, seed: int) -> DataFrame:
-    """Copy of (sample_ord, feature, value) with each feature's values moved to other samples.
-
-    Each feature gets its own affine permutation of 0..n-1, so shuffling is an arithmetic projection rather
-    than a sort of the whole feature. Features are named ``shadow_<name>``.
-    """
-    rng = random.Random(seed)
-    moves = []
-    for name in names:
-        step = rng.randrange(1, max(2, n))
-        while math.gcd(step, n) != 1:
-            step = rng.randrange(1, max(2, n))
-        moves.append((name, step, rng.randrange(n)))
-    table = numbered.sparkSession.createDataFrame(moves, "feature string, _step bigint, _shift bigint")
-    return numbered.join(table, "feature").select(
-        F.pmod(F.col("sample_ord") * F.col("_step") + F.col("_shift"), F.lit(n)).alias("sample_ord"),
-        F.concat(F.lit("shadow_"), F.col("feature")).alias("feature"),
-        "value",
-    )
-
-
-def _binomial_tail(hits: int, rounds: int) -> float:
-    """P(X >= hits) for X ~ Binomial(rounds, 1/2)."""
-    return sum(math.comb(rounds, i) for i in range(hits, rounds + 1)) / 2.0**rounds
-
-
-def _fdr(ps: dict[str, float], alpha: float) -> set[str]:
-    """Benjamini-Hochberg."""
-    ordered = sorted(ps, key=ps.get)
-    kept = 0
-    for i, name in enumerate(ordered, 1):
-        if ps[name] <= alpha * i / len(ordered):
-            kept = i
-    return set(ordered[:kept])
-
-
-def boruta(
-    labelled: DataFrame,
-    rounds: int = 100,
-    max_depth: int = 15,
-    trees: int = 100,
-    seed: int = 1,
-    alpha: float = 0.05,
-) -> DataFrame:
-    """(feature, hits, rounds, decision): forest importance against that of shuffled copies.
-
-    A feature scores a hit when its importance beats every shadow's. It is confirmed or rejected once its
-    hits are improbable under a fair coin (FDR over features, Bonferroni over rounds); rejected
-    features leave the forest. An empty selection is a valid result.
-    """
-    spark = labelled.sparkSession
-    names = feature_names(labelled)
-    samples = labelled.select("slide_id", "label").distinct()
-    hashed = samples.withColumn("_h", F.xxhash64(F.lit(seed), "slide_id"))
-    order = cut(positions(hashed, [], "_h", "sample_ord").withColumn("sample_ord", F.col("sample_ord") - 1).drop("_h"))
-    n = order.count()
-    numbered = cut(
-        labelled.select("slide_id", "feature", "value").join(order.select("slide_id", "sample_ord"), "slide_id").select(
-            "sample_ord", "feature", "value"
-        )
-    )
-    weighted = balanced_weights(order.select("sample_ord", "label"))
-    hits = dict.fromkeys(names, 0)
-    decision = dict.fromkeys(names, "tentative")
-    done = 0
-    while done < rounds and "tentative" in decision.values():
-        done += 1
-        active = [f for f in names if decision[f] != "rejected"]
-        real = numbered.where(F.col("feature").isin(active))
-        both = real.unionByName(shadow_matrix(real, active, n, seed + done))
-        columns = active + [f"shadow_{f}" for f in active]
-        train = to_vectors(both, columns, ["sample_ord"]).join(weighted, "sample_ord")
-        forest = RandomForestClassifier(
-            numTrees=trees, maxDepth=max_depth, seed=seed + done, weightCol="weight", labelCol="label"
-        ).fit(train)
-        importance = forest.featureImportances.toArray()
-        bar = importance[len(active) :].max()
-        for i, f in enumerate(active):
-            hits[f] += int(importance[i] > bar)
-        undecided = [f for f in active if decision[f] == "tentative"]
-        high = {f: _binomial_tail(hits[f], done) for f in undecided}
-        low = {f: _binomial_tail(done - hits[f], done) for f in undecided}
-        keep, drop = _fdr(high, alpha), _fdr(low, alpha)
-        for f in undecided:
-            if f in keep and high[f] <= alpha / done:
-                decision[f] = "confirmed"
-            elif f in drop and low[f] <= alpha / done:
-                decision[f] = "rejected"
-    rows = [(f, hits[f], done, decision[f]) for f in names]
-    return spark.createDataFrame(rows, "feature string, hits int, rounds int, decision string")
-
-
 def correlated_pairs(corr: DataFrame, threshold: float = 0.8) -> DataFrame:
     return corr.where((F.col("feature_a") < F.col("feature_b")) & (F.abs("r") > threshold))
 

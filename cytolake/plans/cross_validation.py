@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cytolake.operators import evaluation as E
 from cytolake.operators import matrix as MX
 from cytolake.operators import models as ML
+from cytolake.operators import prefix_models as PM
 from cytolake.operators import selection as S
 from cytolake.runtime import cut
 
@@ -49,8 +50,9 @@ def sweep(
 ) -> tuple[DataFrame, DataFrame]:
     """(fold, k, score) and the rankings (fold, rank, feature) of a k sweep.
 
-    Features are ranked on a fold's training part only. The fits of all folds and k are independent Spark
-    jobs, started from a small thread pool; the matrix is pivoted once per fold, in rank order, and sliced for each k.
+    Features are ranked on a fold's training part only. The linear models of all folds and counts are fitted together, in a
+    handful of jobs. The fits of other models are independent Spark jobs, started from a small thread pool; for them
+    the matrix is pivoted once per fold, in rank order, and sliced for each k.
     """
     spark = fm.sparkSession
     labelled = cut(fm.join(labels.select("slide_id", "label"), "slide_id").join(folds.select("slide_id", "fold"), "slide_id"))
@@ -76,13 +78,17 @@ def sweep(
 
     with ThreadPoolExecutor(parallelism) as pool:
         ranked = dict(zip(numbers, pool.map(ranking, numbers)))
+        ranks = [(f, i, n) for f in numbers for i, n in enumerate(ranked[f], 1)]
+        rankings = spark.createDataFrame(ranks, "fold int, rank int, feature string")
         filled = [f for f in numbers if ranked[f]]
+        if model in PM.JOINT and set(params) <= {"C", "alpha"}:
+            used = sorted({n for own in ranked.values() for n in own})
+            rows = PM.sample_rows(labelled.where(F.col("feature").isin(used)), used)
+            return cut(PM.prefix_scores(rows, used, ranked, sorted(set(ks)), model, **params)), rankings
         split = dict(zip(filled, pool.map(parts, filled)))
         jobs = [(f, k) for f in filled for k in sorted(set(ks), reverse=True) if 0 < k <= len(ranked[f])]
         results = list(pool.map(score, jobs))
-    scores = spark.createDataFrame(results, "fold int, k int, score double")
-    ranks = [(f, i, n) for f in numbers for i, n in enumerate(ranked[f], 1)]
-    return scores, spark.createDataFrame(ranks, "fold int, rank int, feature string")
+    return spark.createDataFrame(results, "fold int, k int, score double"), rankings
 
 
 def final_features(rankings: DataFrame, best_k: int, count: int) -> DataFrame:

@@ -47,7 +47,7 @@ def test_sliced_vectors_score_as_their_own_matrix(spark):
     assert abs(scores.where("fold = 0 and k = 3").first().score - want) < 1e-6
 
 
-def test_boruta_runs_with_the_defaults_of_the_operator(spark, monkeypatch):
+def test_boruta_runs_all_rounds_with_the_configured_depth(spark, monkeypatch):
     kinds = inspect.signature(SE.boruta)
 
     def boruta(*args, **kw):
@@ -59,4 +59,5 @@ def test_boruta_runs_with_the_defaults_of_the_operator(spark, monkeypatch):
     with pytest.raises(Seen) as seen:
         learning.boruta(spark, SMALL)
     got = seen.value.args[0]
-    assert (got["rounds"], got["trees"], got["max_depth"]) == (100, 100, 15)
+    # rounds of the operator; depth, seed and number of trees as the published scripts configure them
+    assert (got["rounds"], got["trees"], got["max_depth"], got["seed"]) == (100, None, 1, 0)

@@ -130,15 +130,6 @@ def test_mann_whitney(spark, labelled):
     assert SE.mann_whitney(tiny).first()["p"] == pytest.approx(2 / 6)
 
 
-def test_shadows_keep_the_values(labelled):
-    _, _, df = labelled
-    numbered = df.select(F.col("slide_id").alias("sample_ord"), "feature", "value")
-    moved = SE.shadow_matrix(numbered, [f"f{j}" for j in range(6)], 90, 3)
-    assert moved.select("sample_ord", "feature").distinct().count() == 540
-    one = [r["value"] for r in moved.where("feature = 'shadow_f0'").collect()]
-    assert sorted(one) == sorted(r["value"] for r in df.where("feature = 'f0'").collect())
-
-
 def test_boruta_finds_the_signal(labelled):
     _, _, df = labelled
     got = {r["feature"]: r["decision"] for r in SE.boruta(df, rounds=8, max_depth=3, trees=20).collect()}

@@ -204,7 +204,8 @@ def best_by_z(spark, sf):
 
 @query("fs3_boruta")
 def boruta(spark, sf):
-    return SE.boruta(labelled(spark, sf).drop("cohort_id"), seed=0)
+    """With the depth and the seed that the published scripts set, and as many trees as let every column be tried."""
+    return SE.boruta(labelled(spark, sf).drop("cohort_id"), max_depth=1, trees=None, seed=0)
 
 
 @query(
