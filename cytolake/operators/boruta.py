@@ -147,8 +147,10 @@ def _layout(columns: DataFrame, labels: DataFrame, blocks: int, samples: int, ac
     shadows = placed.join(targets, "to").groupBy("round", "block").agg(F.sort_array(F.collect_list(F.struct("f", "bins"))).alias("shadows"))
     real = columns.where(F.col("f").isin(list(active))).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("f", "bins"))).alias("real"))
     bytes_of = lambda c: F.flatten(F.transform(c, lambda x: x["bins"]))
-    tasks = int(columns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = shadows.join(real, "block").join(labels.select("block", "labels"), "block").repartition(tasks, "round", "block")
+    # the blocks of a round meet in a few tasks, as each of these sends the sums of all trees of the round
+    spread = -(-2 * columns.sparkSession.sparkContext.defaultParallelism // len(rounds))
+    both = shadows.join(real, "block").join(labels.select("block", "labels"), "block")
+    both = both.repartition(len(rounds) * spread, "round", F.col("block") % spread)
     return cut(both.select("round", "block", "labels", bytes_of("real").alias("real"), bytes_of("shadows").alias("shadows")))
 
 

@@ -6,8 +6,10 @@ folded into runs once. Every step is keyed by (slide_id, row), so one large slid
 as many tasks as it has image rows.
 """
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,28 +145,88 @@ def _check_kernel(k: int) -> None:
         raise ValueError("kernel side must be at least 1")
 
 
+def _merged(one: list[tuple[int, int]], other: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Union of two sorted lists of disjoint runs, touching runs joined."""
+    out: list[tuple[int, int]] = []
+    for c0, c1 in sorted(one + other):
+        if out and c0 <= out[-1][1] + 1:
+            if c1 > out[-1][1]:
+                out[-1] = (out[-1][0], c1)
+        else:
+            out.append((c0, c1))
+    return out
+
+
+def strip_unions(rows: Sequence[tuple[int, list[tuple[int, int]]]], first: int, last: int) -> Iterator[tuple[int, int, int, int, bool]]:
+    """``(y0, y1, c0, c1, downwards)`` for the rows with runs, in order, of the strip ``first .. last``.
+
+    Downwards, the runs are the union of the strip from ``first`` to each of the rows ``y0 .. y1``; upwards, from each of them to ``last``.
+    """
+    for downwards in (True, False):
+        held: list[tuple[int, int]] = []
+        order = list(rows) if downwards else list(rows)[::-1]
+        for i, (row, runs) in enumerate(order):
+            held = _merged(held, runs)
+            if downwards:
+                span = (row, order[i + 1][0] - 1 if i + 1 < len(order) else last)
+            else:
+                span = (order[i + 1][0] + 1 if i + 1 < len(order) else first, row)
+            for c0, c1 in held:
+                yield (*span, c0, c1, downwards)
+
+
 def dilate(runs: DataFrame, frame: DataFrame, k: int) -> DataFrame:
     """k x k all-ones dilation; pixels beyond the image border do not count.
 
-    A pixel is set when a foreground pixel lies within ``[-k//2, k-1-k//2]`` of it on
-    both axes, so each run grows by the mirrored window and is repeated on the k rows it
-    reaches; the sweep merges what overlaps.
+    A pixel is set when a foreground pixel lies within ``[-k//2, k-1-k//2]`` of it on both axes. Runs first grow along their
+    row. Image rows are cut into strips of k rows, so the k rows a pixel looks at are the end of one strip and the beginning of the
+    next: unions of runs from each row to either end of its strip, at most two per row, hold all of them. A strip's unions grow
+    row by row in one task, and the work does not depend on k.
     """
     _check_kernel(k)
     a, b = k // 2, k - 1 - k // 2
-    grown = (
-        runs.select(*_ROW, "c0", "c1")
-        .join(frame, "slide_id")
-        .select(
-            "slide_id",
-            F.explode(
-                F.sequence(F.greatest(F.lit(0), F.col("row") - b), F.least(F.col("height") - 1, F.col("row") + a))
-            ).alias("row"),
-            F.greatest(F.lit(0), F.col("c0") - b).alias("c0"),
-            F.least(F.col("width") - 1, F.col("c1") + a).alias("c1"),
-        )
-    )
-    return covered(grown)
+    grown = runs.join(frame, "slide_id").select(
+        "slide_id", "height", F.floor(F.col("row") / k).cast("int").alias("strip"), F.col("row").cast("int").alias("row"),
+        F.greatest(F.lit(0), F.col("c0") - b).cast("int").alias("c0"), F.least(F.col("width") - 1, F.col("c1") + a).cast("int").alias("c1"),
+    )
+    kind = grown.schema["slide_id"].dataType.simpleString()
+
+    def unions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slide_type, key, held, out = None, None, [], []
+
+        def batch_of() -> pa.RecordBatch:
+            columns = list(zip(*out)) or [[]] * 5
+            out.clear()
+            names = ["slide_id", "y0", "y1", "c0", "c1"]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [slide_type] + [pa.int32()] * 4)], names=names)
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            slide, strip, height = key
+            rows = [(r, [(c0, c1) for _, c0, c1 in own]) for r, own in groupby(held, key=lambda x: x[0])]
+            for y0, y1, c0, c1, downwards in strip_unions(rows, strip * k, strip * k + k - 1):
+                move = -b if downwards else a  # the pixel row that looks this far
+                y0, y1 = max(0, y0 + move), min(height - 1, y1 + move)
+                if y0 <= y1:
+                    out.append((slide, y0, y1, c0, c1))
+                if len(out) >= 10_000:
+                    yield batch_of()
+
+        for batch in batches:
+            slide_type = batch.column("slide_id").type
+            columns = [batch.column(c).to_pylist() for c in ("slide_id", "strip", "height", "row", "c0", "c1")]
+            for slide, strip, height, row, c0, c1 in zip(*columns):
+                if key is None or (slide, strip) != key[:2]:
+                    if key is not None:
+                        yield from closed()
+                    key, held = (slide, strip, height), []
+                held.append((row, c0, c1))
+        if key is not None:
+            yield from closed()
+            yield batch_of()
+
+    dealt = grown.repartition("slide_id", "strip").sortWithinPartitions("slide_id", "strip", "row", "c0")
+    boxes = dealt.mapInArrow(unions, f"slide_id {kind}, y0 int, y1 int, c0 int, c1 int")
+    return covered(boxes.select("slide_id", F.explode(F.sequence("y0", "y1")).alias("row"), "c0", "c1"))
 
 
 def erode(runs: DataFrame, frame: DataFrame, k: int) -> DataFrame:

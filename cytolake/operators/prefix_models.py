@@ -21,6 +21,8 @@ from cytolake.runtime import cut
 #: largest change of a coefficient in the last step, and a bound of steps that convex losses stay far below
 CONVERGED = 1e-9
 STEPS = 100
+#: feature values of a task
+TASK_VALUES = 1 << 22
 
 Order = Mapping[int, Sequence[str]]
 Key = tuple[int, int]
@@ -59,6 +61,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.
         yield batch.column("fold").to_numpy(), batch.column("label").to_numpy().astype(np.int64), x
 
 
+def _dealt(rows: DataFrame, width: int) -> DataFrame:
+    """Stored rows in no more tasks than their values or the cores ask for: each task sends the sums of every model."""
+    held = cut(rows)
+    enough = max(held.sparkSession.sparkContext.defaultParallelism, -(-held.count() * width // TASK_VALUES))
+    return held.coalesce(enough)
+
+
 def _summed(parts: dict[Key, np.ndarray]) -> Iterator[pa.RecordBatch]:
     for (f, k), part in parts.items():
         yield pa.RecordBatch.from_pydict({"f": pa.array([f], pa.int32()), "k": pa.array([k], pa.int32()), "part": pa.array([part], pa.list_(pa.float64()))})
@@ -107,7 +116,8 @@ def logistic_prefixes(rows: DataFrame, names: Sequence[str], order: Order, ks: S
                         z = b @ betas[f, k]
                         p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
                         loss = w @ (np.logaddexp(0, z) - y * z)
-                        now = np.concatenate([[loss], b.T @ (w * (p - y)), ((b * (w * p * (1 - p))[:, None]).T @ b).ravel()])
+                        hessian = (b * (w * p * (1 - p))[:, None]).T @ b
+                        now = np.concatenate([[loss], b.T @ (w * (p - y)), hessian[np.triu_indices(k + 1)]])
                         total[f, k] = total[f, k] + now if (f, k) in total else now
             yield from _summed(total)
 
@@ -119,7 +129,9 @@ def logistic_prefixes(rows: DataFrame, names: Sequence[str], order: Order, ks: S
                 return np.concatenate([beta - last / 2, last / 2, [least]])
             size = len(beta)
             gradient = total[1 : size + 1] + free * beta / C
-            hessian = total[size + 1 :].reshape(size, size) + np.diag(free / C)
+            hessian = np.zeros((size, size))
+            hessian[np.triu_indices(size)] = total[size + 1 :]
+            hessian += np.triu(hessian, 1).T + np.diag(free / C)
             move = -np.linalg.lstsq(hessian, gradient, rcond=None)[0]
             return np.concatenate([beta + move, move, [loss]])
 
@@ -183,10 +195,11 @@ def prefix_scores(
     if model not in JOINT:
         raise ValueError(f"no joint fit of {model}; choose one of {sorted(JOINT)}")
     order = {f: list(ranked) for f, ranked in order.items() if ranked}
-    held = cut(rows)
+    width = len(names)
+    held = _dealt(rows, width)
     betas = JOINT[model](held, names, order, ks, **params)
     places = {f: [names.index(n) for n in ranked] for f, ranked in order.items()}
-    width, shipped = len(names), held.sparkSession.sparkContext.broadcast(betas)
+    shipped = held.sparkSession.sparkContext.broadcast(betas)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for fold, label, x in _blocks(batches, width):

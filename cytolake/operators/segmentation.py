@@ -4,8 +4,10 @@ Pixels are reduced to counts per (tile, truth, prediction) by one partial aggreg
 works on those counts.
 """
 
+import math
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,12 +34,13 @@ def _iou(inter: Column, area_true: Column, area_pred: Column) -> Column:
 def overlap_pairs(overlaps: DataFrame) -> DataFrame:
     """Instance pairs with their intersection over union.
 
-    Areas are window sums over the overlaps (a tile's worth of rows), so pixels are read once.
+    Areas are window sums over the overlaps of an instance, so pixels are read once. The background, whose area nobody asks
+    for, is dealt by its other side: one tile's background may overlap any number of instances.
     """
-    area = lambda inst: F.sum("n").over(Window.partitionBy("tile_id", inst))
+    area = lambda inst, other: F.sum("n").over(Window.partitionBy("tile_id", inst, F.when(F.col(inst) == 0, F.col(other))))
     return (
-        overlaps.withColumn("_at", area("true_inst"))
-        .withColumn("_ap", area("pred_inst"))
+        overlaps.withColumn("_at", area("true_inst", "pred_inst"))
+        .withColumn("_ap", area("pred_inst", "true_inst"))
         .where("true_inst <> 0 and pred_inst <> 0")
         .select(
             "tile_id",
@@ -91,6 +94,58 @@ def match_pairs(pairs: DataFrame, threshold: float = 0.5, keys: Sequence[str] =
     return taken if taken is not None else pairs.where(F.lit(False))
 
 
+def best_assignment(pairs: Sequence[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """The one-to-one choice of (truth, prediction, worth) with the greatest total.
+
+    Truths join one by one. A new one takes a prediction, its owner another one, and so on, until a free prediction is reached or
+    a truth stays alone; the chain that gains most is carried out. Chains follow pairs that exist, so the work hangs on how many
+    pairs compete, not on the size of the tile.
+    """
+    of_truth: dict[int, dict[int, float]] = {}
+    for t, p, w in sorted(pairs):
+        of_truth.setdefault(t, {})[p] = w
+    owner: dict[int, int] = {}
+    for start in of_truth:
+        gain, via, queue = {start: 0.0}, {}, [start]
+        best = (0.0, start, None)  # gain, last truth of the chain, free prediction it takes (none: it stays alone)
+        while queue:
+            t = queue.pop(0)
+            for p, w in of_truth[t].items():
+                other, now = owner.get(p), gain[t] + w
+                if other is None:
+                    best = max(best, (now, t, p), key=lambda x: x[0])
+                elif other != t and now - of_truth[other][p] > gain.get(other, -math.inf) + 1e-12:
+                    gain[other], via[other] = now - of_truth[other][p], (t, p)
+                    queue.append(other)
+                    best = max(best, (gain[other], other, None), key=lambda x: x[0])
+        _, t, p = best
+        if p is not None:
+            owner[p] = t
+        while t != start:  # whose prediction went to the one before
+            t, p = via[t]
+            owner[p] = t
+    return [(t, p, of_truth[t][p]) for p, t in owner.items()]
+
+
+def assign_pairs(pairs: DataFrame, threshold: float = 0.0, keys: Sequence[str] = ("tile_id",)) -> DataFrame:
+    """One-to-one pairs of the greatest total IoU per tile; of these the ones above the threshold (strictly).
+
+    From 0.5 on they are the pairs above the threshold. Rows are (keys, true_inst, pred_inst, iou); a group is a tile's pairs.
+    """
+    _check_threshold(threshold)
+    keys = list(keys)
+    rows = pairs.select(*keys, "true_inst", "pred_inst", "iou")
+    if threshold >= 0.5:
+        return rows.where(F.col("iou") > threshold)
+
+    def best(table: pa.Table) -> pa.Table:
+        columns = [table.column(c).to_pylist() for c in ("true_inst", "pred_inst", "iou")]
+        chosen = {(t, p) for t, p, _ in best_assignment(list(zip(*columns)))}
+        return table.filter(pa.array([(t, p) in chosen for t, p, _ in zip(*columns)], pa.bool_()))
+
+    return rows.groupBy(*keys).applyInArrow(best, rows.schema).where(F.col("iou") > threshold)
+
+
 def unpaired(pixels: DataFrame, matched: DataFrame) -> DataFrame:
     """Instances without partner: side 'true' are missed, side 'pred' are spurious."""
 
@@ -110,7 +165,7 @@ def _quality(tp: Column, fp: Column, fn: Column, iou_sum: Column) -> tuple[Colum
 def panoptic_quality(pixels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """DQ, SQ and PQ per tile regardless of class."""
     overlaps = cut(instance_overlaps(pixels))
-    pairs = match_pairs(overlap_pairs(overlaps), threshold)
+    pairs = assign_pairs(overlap_pairs(overlaps), threshold)
     hits = pairs.groupBy("tile_id").agg(F.count("*").alias("tp"), F.sum("iou").alias("iou_sum"))
     counts = overlaps.groupBy("tile_id").agg(
         F.countDistinct(F.when(F.col("true_inst") != 0, F.col("true_inst"))).alias("nt"),
@@ -154,7 +209,7 @@ def class_panoptic_quality(pixels: DataFrame, classes: Sequence[int] = (1, 2, 3,
             _iou(F.col("n"), F.col("_at"), F.col("_ap")).alias("iou"),
         )
     )
-    hits = match_pairs(pairs, threshold, keys).groupBy(*keys).agg(
+    hits = assign_pairs(pairs, threshold, keys).groupBy(*keys).agg(
         F.count("*").alias("tp"), F.sum("iou").alias("iou_sum")
     )
     side = lambda df, inst, n: df.groupBy(*keys).agg(F.count_if(F.col(inst) != 0).alias(n))
@@ -204,7 +259,7 @@ def class_at_centroid(pixels: DataFrame, inst: str, cls: str) -> DataFrame:
 
 def paired_classes(pixels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Centroid classes of matched instances; pairs with a background class are left out."""
-    pairs = match_pairs(iou_pairs(pixels), threshold).select("tile_id", "true_inst", "pred_inst")
+    pairs = assign_pairs(iou_pairs(pixels), threshold).select("tile_id", "true_inst", "pred_inst")
     named = lambda inst, cls, out: class_at_centroid(pixels, inst, cls).select(
         "tile_id", F.col("inst").alias(inst), F.col("class").alias(out)
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytolake.operators import evaluation as E
+from cytolake.operators import linkage as LK
 from cytolake.operators import matrix as MX
 from cytolake.operators import models as ML
 from cytolake.operators import prefix_models as PM
@@ -38,6 +39,18 @@ def boruta_ranker(rounds: int, **params) -> Ranker:
     return rank
 
 
+def group_ranker(linkage: str = "ward", absolute: bool = False) -> Ranker:
+    """Features by how long they stand for their cluster: the representatives at any threshold are the first ones."""
+
+    def rank(train: DataFrame, k: int) -> DataFrame:
+        merges = LK.merge_table(LK.correlation_distances(MX.correlations(train.select("slide_id", "feature", "value")), absolute), linkage)
+        order = LK.ranking(train, merges).orderBy(F.col("until").desc_nulls_first(), "feature").limit(k)
+        rows = [r["feature"] for r in order.collect()]
+        return train.sparkSession.createDataFrame(list(enumerate(rows, 1)), "rank int, feature string")
+
+    return rank
+
+
 def sweep(
     fm: DataFrame,
     labels: DataFrame,

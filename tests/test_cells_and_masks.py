@@ -52,7 +52,7 @@ def test_mask_area_and_remap(spark, mask100):
         M.remap_pixels(raw, [1], [1, 2])
 
 
-@pytest.mark.parametrize("k", [1, 2, 5, 6])
+@pytest.mark.parametrize("k", [1, 2, 5, 6, 16, 23, 70])
 def test_morphology_against_sliding_window(spark, k):
     rng = np.random.default_rng(k)
     grid = (rng.random((23, 31)) < 0.55).astype(int)
@@ -64,6 +64,17 @@ def test_morphology_against_sliding_window(spark, k):
     assert np.array_equal(grid_of(M.border_band(runs, frame, k), grid.shape), big - small)
 
 
+def test_unions_of_a_strip_do_not_hang_on_its_height():
+    """A strip of any height gives as many unions as its rows with runs ask for."""
+    rows = [(3, [(0, 4)]), (5, [(2, 9), (20, 21)]), (6, [(10, 10)])]
+    for last in (9, 10_000):
+        got = list(M.strip_unions(rows, 0, last))
+        assert got == [
+            (3, 4, 0, 4, True), (5, 5, 0, 9, True), (5, 5, 20, 21, True), (6, last, 0, 10, True), (6, last, 20, 21, True),
+            (6, 6, 10, 10, False), (4, 5, 2, 10, False), (4, 5, 20, 21, False), (0, 3, 0, 10, False), (0, 3, 20, 21, False),
+        ]
+
+
 def test_square_grows_and_shrinks(mask100):
     runs, frame = M.mask_runs(mask100), M.mask_frame(mask100)
     assert M.runs_area(M.dilate(runs, frame, 5), 1).first()["area"] == 64 * 64

@@ -59,6 +59,46 @@ def test_greedy_pairs_are_one_to_one(spark):
     assert got == {(1, 1), (3, 2)}
 
 
+def _best_total(pairs):
+    """Greatest total by trying every subset, one truth after the other."""
+    truths = sorted({t for t, _, _ in pairs})
+
+    def best(i, used):
+        if i == len(truths):
+            return 0.0
+        taken = [w + best(i + 1, used | {p}) for t, p, w in pairs if t == truths[i] and p not in used]
+        return max([best(i + 1, used), *taken])
+
+    return best(0, frozenset())
+
+
+def test_best_assignment_reaches_the_greatest_total():
+    dice = np.random.default_rng(5)
+    for _ in range(300):
+        pairs = [(t, p, round(float(dice.random()), 2)) for t in range(6) for p in range(6) if dice.random() < 0.5]
+        got = S.best_assignment(pairs)
+        assert len({t for t, _, _ in got}) == len({p for _, p, _ in got}) == len(got) and set(got) <= set(pairs)
+        assert sum(w for _, _, w in got) == pytest.approx(_best_total(pairs))
+
+
+def test_pairs_of_the_greatest_total_beat_greedy_ones(spark):
+    rows = [("t", 1, 1, 5, 0.40), ("t", 1, 2, 5, 0.38), ("t", 2, 1, 5, 0.35), ("u", 1, 1, 5, 0.05), ("u", 2, 1, 5, 0.45)]
+    pairs = spark.createDataFrame(rows, "tile_id string, true_inst int, pred_inst int, inter int, iou double")
+    got = lambda df: sorted((r["tile_id"], r["true_inst"], r["pred_inst"]) for r in df.collect())
+    assert got(S.match_pairs(pairs, 0.1)) == [("t", 1, 1), ("u", 2, 1)]
+    assert got(S.assign_pairs(pairs, 0.1)) == [("t", 1, 2), ("t", 2, 1), ("u", 2, 1)]
+    assert got(S.assign_pairs(pairs, 0.36)) == [("t", 1, 2), ("u", 2, 1)]  # chosen first, then filtered
+    assert S.assign_pairs(pairs.limit(0), 0.1).count() == 0
+
+
+def test_the_background_of_a_tile_is_not_an_instance(spark):
+    """Background overlaps are dealt out: areas are those of the instances all the same."""
+    a, b = blank(), blank()
+    a[0:2, 0:4], b[0:2, 2:6], b[4, 0:3] = 1, 1, 2
+    got = S.iou_pairs(tile(spark, a, b)).collect()
+    assert [(r["true_inst"], r["pred_inst"], r["inter"]) for r in got] == [(1, 1, 4)] and got[0]["iou"] == pytest.approx(4 / 10)
+
+
 def test_class_rules(spark):
     a, b = blank(), blank()
     a[0:2, 0:2], a[3:5, 3:5] = 1, 2

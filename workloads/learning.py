@@ -7,6 +7,7 @@ from cytolake.functions.ordering import positions
 from cytolake.operators import describe as DS
 from cytolake.operators import evaluation as E
 from cytolake.operators import folds as FO
+from cytolake.operators import linkage as LK
 from cytolake.operators import matrix as MX
 from cytolake.operators import models as ML
 from cytolake.operators import selection as SE
@@ -248,6 +249,33 @@ def threshold_scan(spark, sf):
     return out
 
 
+_HEIGHTS = [0.5 * i for i in range(1, 10)]
+
+
+def _feature_distances(spark, sf, absolute=False):
+    return LK.correlation_distances(cut(MX.correlations(I.feature_matrix(spark, sf))), absolute)
+
+
+@query("fs4_linkage_merges")
+def linkage_merges(spark, sf):
+    """Every merge of the average linkage on 1 - |r|."""
+    return rounded(LK.merge_table(_feature_distances(spark, sf, True), "average"), "height")
+
+
+@query("fs4_complete_clusters")
+def complete_clusters(spark, sf):
+    """Clusters of the complete linkage on 1 - |r|, cut at 0.9."""
+    distances = cut(_feature_distances(spark, sf, True))
+    return LK.clusters(distances.select(F.col("a").alias("feature")), LK.merge_table(distances, "complete"), 0.9)
+
+
+@query("fs4_ward_representatives")
+def ward_representatives(spark, sf):
+    """Representatives of the Ward clusters on 1 - r at heights 0.5 to 4.5."""
+    distances = cut(_feature_distances(spark, sf))
+    return LK.representatives(distances.select(F.col("a").alias("feature")), LK.merge_table(distances, "ward"), _HEIGHTS)
+
+
 # --- scores -----------------------------------------------------------------------------------
 
 
@@ -464,14 +492,39 @@ def components(spark, sf):
     return parts.select("slide_id", *[F.round(F.abs(F.col("v")[i]), 4).alias(f"pc{i + 1}") for i in range(3)], F.lit(round(shares[0], 6)).alias("share1"))
 
 
-@query("cv1_sweep")
-def sweep(spark, sf):
-    """Mann-Whitney ranking and logistic regression over 3 folds for every count of features; the written report."""
+def _sweep(spark, sf, ranker):
+    """(scores, rankings) of a logistic sweep over 3 folds for every count of features."""
     fm, labels = I.feature_matrix(spark, sf), I.sample_labels(spark, sf)
     folds = FO.stratified_folds(labels.select("slide_id", "label", F.col("slide_id").alias("sample_ord")), 3)
     every = len(MX.feature_names(fm))
-    scores, rankings = CV.sweep(fm, labels, cut(folds), CV.mann_whitney, "logistic", range(1, every + 1))
+    return (*CV.sweep(fm, labels, cut(folds), ranker, "logistic", range(1, every + 1)), every)
+
+
+@query("cv1_sweep")
+def sweep(spark, sf):
+    """Mann-Whitney ranking and logistic regression over 3 folds for every count of features; the written report."""
+    scores, rankings, every = _sweep(spark, sf, CV.mann_whitney)
     path = fresh_path(shared_dir(spark), "report")
     CV.write_report(scores, rankings, every, path)
     kinds = "feature string, count bigint, score double, best_k int, best_mean double, all_mean double"
     return rounded(spark.read.schema(kinds).json(path), "score", "best_mean", "all_mean")
+
+
+@query("cv1_sweep_mrmr")
+def sweep_mrmr(spark, sf):
+    """Scores by fold and count of features, ranked by relevance over redundancy."""
+    return rounded(_sweep(spark, sf, CV.mrmr)[0], "score")
+
+
+@query("cv1_sweep_groups")
+def sweep_groups(spark, sf):
+    """Scores by fold and count of features, ranked by how long they stand for their Ward cluster."""
+    return rounded(_sweep(spark, sf, CV.group_ranker("ward"))[0], "score")
+
+
+@query("cv1_sweep_boruta")
+def sweep_boruta(spark, sf):
+    """One score per fold: the model on all features that Boruta confirms on the other folds; no row for a fold without any."""
+    scores, rankings, _ = _sweep(spark, sf, CV.boruta_ranker(rounds=100, max_depth=1, trees=None, seed=0))
+    last = rankings.groupBy("fold").agg(F.max("rank").alias("k"))
+    return rounded(scores.join(last, ["fold", "k"]), "score")

@@ -1,5 +1,7 @@
 """Segmentation scores over the tile pixels."""
 
+from itertools import permutations
+
 from pyspark.sql import functions as F
 
 from cytolake.operators import segmentation as S
@@ -54,6 +56,22 @@ def matched_greedy(spark, sf):
     return rounded(pairs.select("tile_id", "true_inst", "pred_inst", "iou"), "iou")
 
 
+_ORDERS = ", ".join(f"({a}, {b}, {c}, {d})" for a, b, c, d in permutations(range(1, 5)))
+
+
+@query(
+    "jn14_best_total",
+    f"""{_PAIRS}, orders as (select row_number() over () as o, * from (values {_ORDERS}) as v(a, b, c, d)),
+    chosen as (select o, 1 as ti, a as pi from orders union all select o, 2, b from orders union all select o, 3, c from orders union all select o, 4, d from orders),
+    totals as (select tile_id, o, sum(iou) as total from pairs join chosen using (ti, pi) group by all)
+    select tile_id, round(max(total), 6) as total from totals group by tile_id""",
+)
+def best_total(spark, sf):
+    """The greatest total a one-to-one pairing of a tile's instances reaches; in SQL by trying all orders of four."""
+    pairs = S.assign_pairs(S.iou_pairs(I.tile_pixels(spark, sf)))
+    return rounded(pairs.groupBy("tile_id").agg(F.sum("iou").alias("total")), "total")
+
+
 @query(
     "jn11_unpaired",
     f"""{_PAIRS} select tile_id, 'true' as side, ti as inst from ta where (tile_id, ti) not in (select (tile_id, ti) from pairs where iou > 0.5)
