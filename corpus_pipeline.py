@@ -22,31 +22,51 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the quality classifier rejects go."""
+    """Documents the quality classifier rejects go.
+
+    Null, empty and white texts have a score like any other. Repeated rows and rows of one id are judged each by its own
+    text; extra columns stay as they are. An empty table, or one without a labelled document, loses no document.
+    """
     apply_session_rules(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand in an earlier document or above go, and documents of which no line is left."""
+    """Lines that stand in an earlier document or above go, and documents of which no line is left.
+
+    Documents are ordered by id, null ids first. Null, empty and white texts have no line to lose and stay; rows equal in id and
+    text count as one document. Extra columns stay as they are; an empty table stays empty.
+    """
     apply_session_rules(spark)
     return _recounted(line_dedup.drop_lines(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays whose five-word shingles are similar by 0.8 or more."""
+    """One document of each group stays whose five-word shingles are similar by 0.8 or more.
+
+    The one with the smallest id stays, with all rows of that id in the group. Texts without a word, null ones too, are copies of each
+    other; shorter texts than five words are one shingle. Documents without an id stay only in a group without any. Extra
+    columns stay as they are; an empty table stays empty.
+    """
     apply_session_rules(spark, "-1")  # dozens of small joins: their broadcasts would pile up in the driver
     return simhash.drop_similar(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of the sources in their target shares; a document is there once for each repeat."""
+    """Passages of the sources in their target shares; a document is there once for each repeat.
+
+    A null source is a source of its own, the last. Texts without a word have nothing to take and go. Extra columns stay as
+    they are; an empty table stays empty.
+    """
     apply_session_rules(spark)
     return _recounted(mixing.mixed_documents(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``(doc_id, n_tokens, ids, decoded)``: token ids of every text, and the text they decode to."""
+    """``(doc_id, n_tokens, ids, decoded)``: token ids of every text, and the text they decode to.
+
+    Null texts count as empty and have no ids. Repeated rows stay repeated; extra columns are left out. An empty table gives no row.
+    """
     apply_session_rules(spark)
     return bpe.encode_documents(docs, public_tokenizers.path(TOKENIZER), with_decoded=True)
 
