@@ -236,7 +236,7 @@ def mixed_documents(
         return pd.Series([taken_passages(t, int(s), [int(x) for x in rule], block_words, int(n)) for t, s, n, *rule in rows], dtype=object)
 
     kept = plan.where("taken > 0").withColumn(
-        "passage", passages(as_bytes(F.col(f"row.{text_column}")), "start", "size", "blocks", "full", "extra", "turn", "shift")
+        "passage", passages(as_bytes(F.col(f"row.`{text_column}`")), "start", "size", "blocks", "full", "extra", "turn", "shift")
     )
     rows = kept.select("row", F.explode("passage").alias("passage"))
     return rows.select(*[F.col("passage").alias(c) if c == text_column else F.col(f"row.`{c}`") for c in docs.columns])

@@ -151,7 +151,80 @@ def damaged(conversations: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", F.when(F.col("dealt") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), times.alias("again")).drop("again")
 
 
-@query("op11_conversation_repair")
+#: the search of the plain recursion, from the last row back: costs, audits and lines from each of the four states on
+_CRC_STEPS = ",\n    ".join(
+    f"t{k + 1} as (select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end as c from t{k})" for k in range(8)
+)
+
+
+def _edit_sql(edit: str, cost: int | str, to: str, line: str = "''") -> str:
+    """An edit put before what follows from a state: cost, audit and lines."""
+    return f"{{'c': {to}.c + {cost}, 'a': '{edit}' || {to}.a, 't': {line} || {to}.t}}"
+
+
+_USER = "chr(10) || 'user:'"
+_ASSISTANT = "chr(10) || 'assistant:'"
+
+
+def _row_sql(state: str, keeps: list[tuple[str, str]], nxt: str, role: str) -> str:
+    """Cheapest edit of a row in a state, before insertions."""
+    keep = " ".join(f"when '{k}' then {_edit_sql('K', 'more', to, 'chr(10) || role || chr(58) || text')}" for k, to in keeps)
+    kept = f"case when fault in (1, 2) then null else case initial {keep} end end" if keeps else "null"
+    return f"list_sort(list_filter([{_edit_sql('D', 4, state)}, {kept}, case when fault not in (1, 2) then {_edit_sql('R', '3 + more', nxt, role + ' || text')} end], lambda x: x is not null))[1]"
+
+
+_REPAIR_SQL = f"""
+    with recursive t0 as (select i, i as c from range(256) as r(i)),
+    {_CRC_STEPS},
+    crc as (select list(c order by i) as codes from t8),
+    dealt as (
+      select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, xor(list_reduce(list_concat([4294967295],
+               list_transform(string_split(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '), ''), lambda c: cast(ord(c) as bigint))),
+               lambda a, b: xor(a >> 8, codes[1 + (xor(a, b) & 255)])), 4294967295) % 20 as d
+      from conversations, crc),
+    damaged as (
+      select conv_id, turn, case when d = 4 then 'user' else role end as role,
+             case d when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+             unnest(range(case when d = 3 then 2 else 1 end)) as again
+      from dealt where d <> 0),
+    placed as (
+      select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i, count(*) over (partition by conv_id) as n,
+             trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as body
+      from damaged),
+    faulted as (
+      select conv_id, turn, i, n, role, text, substr(role, 1, 1) as initial,
+             case when body = '' then 1 when row_number() over (partition by conv_id, role, text order by i) > 1 then 2
+                  when right(body, 1) not in ('.', '!', '?') then 3 else 0 end as fault
+      from placed),
+    rows_ as (select *, case when fault = 3 then 3 else 0 end as more from faulted),
+    walk as (
+      select conv_id, n + 1 as i, {{'c': 0, 'a': '', 't': ''}} as s0, {{'c': 6, 'a': 'II', 't': {_USER} || {_ASSISTANT}}} as ss,
+             {{'c': 3, 'a': 'I', 't': {_ASSISTANT}}} as su, {{'c': 0, 'a': '', 't': ''}} as sa
+      from rows_ where i = 1
+      union all
+      select conv_id, i, list_sort([b0, {_edit_sql('I', 3, 'c_u', _USER)}])[1], list_sort([bs, {_edit_sql('I', 3, 'c_u', _USER)}])[1], c_u, c_a
+      from (select conv_id, i, b0, bs, list_sort([bu, {_edit_sql('I', 3, 'ba', _ASSISTANT)}])[1] as c_u, list_sort([ba, {_edit_sql('I', 3, 'bu', _USER)}])[1] as c_a
+            from (select f.conv_id, f.i,
+                         {_row_sql('s0', [('s', 'ss'), ('u', 'su')], 'su', _USER)} as b0,
+                         {_row_sql('ss', [('u', 'su')], 'su', _USER)} as bs,
+                         {_row_sql('su', [('a', 'sa')], 'sa', _ASSISTANT)} as bu,
+                         {_row_sql('sa', [('u', 'su')], 'su', _USER)} as ba
+                  from walk w join rows_ f on f.conv_id is not distinct from w.conv_id and f.i = w.i - 1))),
+    pairs as (select *, lag(initial) over (partition by conv_id order by i) || initial as pair from rows_),
+    counted as (
+      select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 1) as blank,
+             count(*) filter (fault = 2) as duplicate, count(*) filter (fault = 3) as truncated,
+             count(*) filter (i > 1 and pair not in ('su', 'ua', 'au')) as illegal
+      from pairs group by conv_id)
+    select c.conv_id, cast(coalesce(gaps, 0) as bigint) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+           coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, cast(coalesce(s0.c, 0) as bigint) as cost, coalesce(s0.a, '') as audit,
+           sha256(coalesce(substr(s0.t, 2), '')) as repaired_sha256
+    from (select distinct conv_id from conversations) c
+    left join counted k on k.conv_id is not distinct from c.conv_id
+    left join (select * from walk where i = 1) w on w.conv_id is not distinct from c.conv_id"""
+
+
+@query("op11_conversation_repair", _REPAIR_SQL)
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     every = told.select(F.col("conv_id").alias("conv")).distinct()

@@ -33,8 +33,8 @@ SEED = 42
 BITS = 64
 BANDS = 24
 BAND_ROWS = 6
-#: groups of at most so many members are compared pair by pair, larger ones with leaders
-PAIRED = 16
+#: texts of a group that meet as many others in a task
+CELL = 64
 #: pairs of one leader that meet in a task
 LEADER_ROWS = 500
 
@@ -110,10 +110,9 @@ def near_links(fingerprints: DataFrame, radius: int = 2) -> DataFrame:
     return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius).distinct()
 
 
-def _rooted(firsts: DataFrame, links: DataFrame) -> DataFrame:
-    """``(fp, component_id)`` for distinct ``(fp, first_id)`` and links ``(u, v)`` between values of ``fp``."""
-    roots = connected_components(links).withColumnRenamed("node", "fp")
-    rooted = firsts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+def _rooted(firsts: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(fp, component_id)`` for distinct ``(fp, first_id)`` and the ``(node, root)`` of those values of ``fp`` that are linked."""
+    rooted = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
 
@@ -124,7 +123,7 @@ def components(fingerprints: DataFrame, radius: int = 2) -> DataFrame:
     Null ids are never a component's id unless it has no other.
     """
     firsts = cut(fingerprints.groupBy("fp").agg(F.min("id").alias("first_id")))
-    return _rooted(firsts, near_links(firsts, radius))
+    return _rooted(firsts, connected_components(near_links(firsts, radius)))
 
 
 def simhash_groups(
@@ -252,40 +251,60 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return met.where(both >= similarity * (F.size("shingles") + F.size("_of_v") - both) - 1e-9).select("u", "v")
 
 
-def similar_links(texts: DataFrame, docs: DataFrame, text_column: str, shingle_words: int, similarity: float) -> DataFrame:
-    """Verified ``(u, v)`` links between keys of distinct ``texts``: ``(key, text_hash, fp, bands)``.
+def _across(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``(u, v)`` roots that a similar pair links, for ``(token, n, key, root)``: all pairs of a token with different roots.
 
-    Candidates share a sketch or have fingerprints within 2 bits. Groups of up to ``PAIRED`` texts are compared pair by pair. In a
-    larger one a leader is compared with all others, then the first of those that are not similar to any leader so far, until none is left.
+    A token's texts are dealt to cells of about ``CELL`` and pairs of cells to tasks; pairs are compared there and only links come out.
     """
-    pair = [F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")]
-    exploded = texts.select("key", F.explode("bands").alias("band"))
-    sizes = cut(exploded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    member = cut(exploded.join(sizes, "band"))
-    small = member.where(F.col("n") <= PAIRED).groupBy("band").agg(F.collect_list("key").alias("keys"))
-    pairs = small.select("keys", F.explode("keys").alias("a")).select("a", F.explode("keys").alias("b"))
-    of_print = cut(texts.groupBy("fp").agg(F.min("key").alias("first")))
-    same = texts.join(of_print, "fp").select(F.col("first").alias("a"), F.col("key").alias("b"))
-    near = near_links(of_print).join(of_print.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(
-        of_print.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v"
-    )
-    pairs = cut(pairs.unionByName(same).unionByName(near.select("a", "b")).where("a <> b").select(*pair).distinct())
-    large = member.where(F.col("n") > PAIRED).select("band", "key")
-    candidates = pairs.select(F.explode(F.array("u", "v")).alias("key")).unionByName(large.select("key")).distinct()
-    wanted = cut(texts.join(candidates, "key", "left_semi").select("text_hash").distinct())
-    sets = cut(_shingle_sets(docs, wanted, text_column, shingle_words))
-    links = cut(_verified(pairs, sets, similarity))
-    state = cut(large.withColumn("alone", F.lit(True)))
-    while not state.isEmpty():
-        leaders = cut(state.where("alone").groupBy("band").agg(F.min("key").alias("leader")))
-        met = cut(state.join(leaders, "band").where("key <> leader"))  # groups without a lone text are done
-        found = cut(_verified(met.select(F.col("leader").alias("u"), F.col("key").alias("v")).distinct(), sets, similarity))
-        links = cut(links.unionByName(found))
-        linked = found.select(F.col("u").alias("leader"), F.col("v").alias("key"), F.lit(True).alias("linked"))
-        state = met.join(linked, ["leader", "key"], "left").select("band", "key", (F.col("alone") & F.col("linked").isNull()).alias("alone"))
-        left = state.where("alone").select("band").distinct()
-        state = cut(state.join(left, "band", "left_semi"))
-    return links
+    cells = F.ceil(F.col("n") / CELL).cast("int")
+    own = F.pmod(F.xxhash64("key"), cells).cast("int")
+    met = F.transform(F.sequence(F.lit(0), cells - 1), lambda o: F.struct(F.least(F.col("own"), o).alias("i"), F.greatest(F.col("own"), o).alias("j")))
+    dealt = members.withColumn("own", own).withColumn("met", F.explode(met)).join(sets, "key")
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        owns, roots = table.column("own").to_numpy(), table.column("root").to_pylist()
+        shingles = [s.values.to_numpy() for s in table.column("shingles")]
+        found = set()
+        for x, y in combinations(range(len(owns)), 2):
+            if roots[x] == roots[y] or key[1].as_py() != key[2].as_py() and owns[x] == owns[y]:
+                continue
+            small, large = sorted((len(shingles[x]), len(shingles[y])))
+            if small < similarity * large - 1e-9:
+                continue
+            both = len(np.intersect1d(shingles[x], shingles[y], assume_unique=True))
+            if both >= similarity * (small + large - both) - 1e-9:
+                found.add(tuple(sorted((roots[x], roots[y]))))
+        return pa.table({"u": pa.array([u for u, _ in found], pa.binary()), "v": pa.array([v for _, v in found], pa.binary())})
+
+    flat = dealt.select("token", F.col("met.i").alias("i"), F.col("met.j").alias("j"), "own", "root", "shingles")
+    return flat.groupBy("token", "i", "j").applyInArrow(compare, "u binary, v binary").distinct()
+
+
+def similar_roots(texts: DataFrame, docs: DataFrame, text_column: str, shingle_words: int, similarity: float) -> DataFrame:
+    """``(node, root)`` of the linked ones of distinct ``texts``: ``(key, text_hash, fp, bands)``; roots are the smallest linked keys.
+
+    Candidates share a token, which is one of their sketches or their fingerprint, or have fingerprints within 2 bits. First each
+    token's smallest text is compared with its others, which joins nearly all that belongs together. Then the texts of a token that
+    still have different roots are compared pair by pair, so no pair that shares a token is left out.
+    """
+    own = F.array_append("bands", F.xxhash64(F.lit("fingerprint"), "fp"))
+    tokens = texts.select("key", F.explode(own).alias("token"))
+    shared = tokens.groupBy("token").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    member = cut(tokens.join(shared, "token"))
+    stars = member.where("key <> leader").select(F.col("leader").alias("u"), F.col("key").alias("v"))
+    prints = cut(texts.groupBy("fp").agg(F.min("key").alias("first")))
+    one, other = (prints.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}")) for c in ("u", "v"))
+    near = near_links(prints).join(one, "u").join(other, "v").select(F.col("first_u").alias("u"), F.col("first_v").alias("v"))
+    pairs = cut(stars.unionByName(near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
+    sets = cut(_shingle_sets(docs, cut(texts.join(wanted, "key", "left_semi").select("text_hash").distinct()), text_column, shingle_words))
+    roots = connected_components(_verified(pairs, sets, similarity))
+    placed = member.select("token", "n", "key").join(roots, F.col("key") == F.col("node"), "left").select("token", "n", "key", F.coalesce("root", "key").alias("root"))
+    mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    more = connected_components(_across(placed.join(mixed, "token", "left_semi"), sets, similarity)).toDF("_low", "_high")
+    known = roots.join(more, F.col("root") == F.col("_low"), "left").select("node", F.coalesce("_high", "root").alias("root"))
+    alone = more.join(roots, F.col("_low") == F.col("node"), "left_anti").select(F.col("_low").alias("node"), F.col("_high").alias("root"))
+    return known.unionByName(alone)
 
 
 def drop_similar(
@@ -297,9 +316,9 @@ def drop_similar(
     """
     every = cut(_sketched(docs, id_column, text_column, shingle_words))
     texts = cut(every.groupBy("key").agg(F.min("id").alias("first_id"), *[F.first(c).alias(c) for c in ("text_hash", "fp", "bands")]))
-    links = similar_links(texts, docs, text_column, shingle_words, similarity)
+    roots = similar_roots(texts, docs, text_column, shingle_words, similarity)
     marked = every.select("id", F.col("key").alias("fp"))
-    groups = _rooted(texts.select(F.col("key").alias("fp"), "first_id"), links)
+    groups = _rooted(texts.select(F.col("key").alias("fp"), "first_id"), roots)
 
     @F.pandas_udf("binary")
     def key(data: pd.Series) -> pd.Series:

@@ -65,33 +65,45 @@ def grams(texts: list[bytes | None], depth: int) -> tuple[np.ndarray, np.ndarray
     return np.unique(packed[~is_pad], return_counts=True)
 
 
-def count_grams(texts: DataFrame, depth: int, chunk_bytes: int = 8 << 20) -> DataFrame:
-    """``(gram, n)`` over the one column of ``texts`` (bytes); counts are added up in chunks before the shuffle."""
+def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sums of their counts."""
+    keys = np.concatenate([k for k, _ in parts])
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], np.concatenate([n for _, n in parts])[order]
+    if not len(keys):
+        return keys, counts
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts, first)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, keys, counts = [], 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            new, n = grams(held, depth)
-            every, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            return every, np.bincount(where, np.concatenate([counts, n]), len(every)).astype(np.int64)
+def count_grams(texts: DataFrame, depth: int, chunk_bytes: int = 2 << 20, most_keys: int = 2_000_000) -> DataFrame:
+    """``(gram, n)`` over the one column of ``texts`` (bytes); counts are added up in chunks before the shuffle.
+
+    A task holds up to ``most_keys`` counted grams and about half as many that wait to be added to them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        held, size, total, waiting = [], 0, none, []
 
-        def out() -> Iterator[pa.RecordBatch]:
+        def out(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
             for at in range(0, len(keys), 200_000):
                 yield pa.RecordBatch.from_pydict({"gram": pa.array(keys[at : at + 200_000]), "n": pa.array(counts[at : at + 200_000])})
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(text)
-                size += len(text or b"")
-                if size >= chunk_bytes:
-                    keys, counts = merged()
-                    held, size = [], 0
-                    if len(keys) > 4_000_000:  # bounded memory; the rest is added up in the shuffle
-                        yield from out()
-                        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        keys, counts = merged()
-        yield from out()
+            for text in batch.column(0):
+                held.append(text.as_py())
+                size += len(held[-1] or b"")
+                if size < chunk_bytes:
+                    continue
+                waiting.append(grams(held, depth))
+                held, size = [], 0
+                if sum(len(k) for k, _ in waiting) > most_keys // 2:
+                    total, waiting = added([total, *waiting]), []
+                    if len(total[0]) > most_keys:  # the rest is added up in the shuffle
+                        yield from out(*total)
+                        total = none
+        yield from out(*added([total, *waiting, grams(held, depth)]))
 
     return texts.mapInArrow(tidy(run), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 

@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from odd_rows import SMALL
-from test_dedup import plain_components, plain_fingerprint
+from test_similar import plain_kept
 
 import corpus_pipeline
 from cytolake.llm import bpe, line_dedup, mixing, quality
@@ -57,11 +57,30 @@ def test_each_line_stays_where_it_stands_first(stages):
 
 
 def test_one_document_of_each_group_stays(stages):
+    """Groups are linked by five-word similarity of 0.8, found by comparing all pairs."""
     before, after = stages[2]
-    prints = {r.doc_id: plain_fingerprint(r.text) for r in before.collect()}
-    ids = sorted(prints)
-    links = [(a, b) for i, a in enumerate(ids) for b in ids[:i] if bin(prints[a] ^ prints[b]).count("1") <= 2]
-    assert sorted(r.doc_id for r in after.collect()) == sorted(set(plain_components(links, ids).values()))
+    want, _ = plain_kept({r.doc_id: r.text for r in before.collect()})
+    assert sorted(r.doc_id for r in after.collect()) == want
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_every_stage_takes_odd_rows_and_no_rows(spark, odd, nothing, k):
+    """Nulls, empty, white and very long texts, ties, repeated rows and ids, extra columns, and a table without rows."""
+    name, stage = corpus_pipeline.STAGES[k]
+    docs = spark.read.parquet(odd)
+    result = stage(spark, docs, SMALL)
+    rows = result.collect()
+    assert stage(spark, spark.read.parquet(nothing), SMALL).count() == 0
+    ids = Counter(r.doc_id for r in rows)
+    if k < 4:
+        assert result.columns == docs.columns and all(r.row == "x" for r in rows)
+    if name == "line dedup":
+        assert 2 not in ids and ids[3] == ids[4] == ids[5] == ids[6] == 1 and ids[8] == 2
+    if name == "simhash near-dedup":
+        assert 2 not in ids and ids[1] == 1 and ids[3] == 1 and 4 not in ids and ids[8] == 2  # repeated rows of an id stay together
+    if name == "bpe":
+        texts = Counter((r.doc_id, r.text or "") for r in docs.collect())
+        assert Counter((r.doc_id, r.decoded) for r in rows) == texts
 
 
 def test_the_mix_holds_what_its_plan_takes(stages):

@@ -41,7 +41,7 @@ def test_edited_copies_go_and_unlike_texts_stay(spark):
 
 
 def test_one_leader_is_not_enough_for_a_large_group(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "PAIRED", 2)
+    monkeypatch.setattr(simhash, "CELL", 4)
     dice = random.Random(5)
     base = [f"w{k}" for k in range(300)]
     texts = {}
