@@ -45,6 +45,12 @@ def located_cells(
     return lookup_runs(lean, regions.select("slide_id", "row", "c0", "c1", "region_id"), "inner", down).drop("row", "col")
 
 
+def whole_slide(cells: DataFrame, classes: Sequence[int] = DISTANCE_CLASSES) -> DataFrame:
+    """All cells of the wanted classes as those of one region, without a mask."""
+    wanted = cells.where(F.col("cell_type").isin(list(classes)))
+    return wanted.select("slide_id", "cell_ord", "cx", "cy", "cell_type", F.lit(1).alias("region_id"))
+
+
 def search_boxes(regions: DataFrame, down: int = DOWN_FACTOR, step: float = 0.05) -> DataFrame:
     """Step of the expanding search box per region: a share of the region's bounding box."""
     return region_boxes(regions).select(

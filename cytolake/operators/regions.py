@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cytolake.functions.graph import connected_components
+from cytolake.operators.mask import dilate
 from cytolake.runtime import cut
 
 # runs are cut at multiples of this many columns wherever they meet something by equi join
@@ -129,6 +130,7 @@ def region_boxes(regions: DataFrame) -> DataFrame:
     )
 
 
-def single_region(runs: DataFrame) -> DataFrame:
-    """Whole-slide search: every run belongs to one pseudo-region."""
-    return runs.select("slide_id", "row", "c0", "c1", F.lit(1).alias("region_id"))
+def margin_regions(runs: DataFrame, frame: DataFrame, margin: int) -> DataFrame:
+    """Regions of the mask grown by its margin: the kernel is half the margin in mask pixels, not down-scaled, and regions that meet
+    become one."""
+    return label_regions(dilate(runs, frame, int(margin / 2)))

@@ -371,6 +371,27 @@ def stack_layers(rgb: DataFrame, instances: DataFrame, classes: DataFrame) -> Da
     return rgb.join(instances, at).join(classes, at)
 
 
+def grouped_labels(pixels: DataFrame) -> DataFrame:
+    """(tile_id, inst_map, type_map) of (tile_id, row, col, inst, type): both layers of a tile as arrays of rows, in order.
+
+    A row is put together first, so no more than a tile's rows meet in the last step.
+    """
+    cells = F.sort_array(F.collect_list(F.struct("col", "inst", "type")))
+    lines = pixels.groupBy("tile_id", "row").agg(cells.alias("cells")).select(
+        "tile_id", F.struct("row", F.transform("cells", lambda c: c["inst"]).alias("inst"), F.transform("cells", lambda c: c["type"]).alias("type")).alias("line")
+    )
+    whole = lines.groupBy("tile_id").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    layer = lambda c: F.transform("lines", lambda x: x[c])
+    return whole.select("tile_id", layer("inst").alias("inst_map"), layer("type").alias("type_map"))
+
+
+def grouped_pixels(grouped: DataFrame) -> DataFrame:
+    """(tile_id, row, col, inst, type) of :func:`grouped_labels`; rows and columns count from 0."""
+    lines = grouped.select("tile_id", F.posexplode(F.arrays_zip("inst_map", "type_map")).alias("row", "line"))
+    cells = lines.select("tile_id", "row", F.posexplode(F.arrays_zip("line.inst_map", "line.type_map")).alias("col", "cell"))
+    return cells.select("tile_id", "row", "col", F.col("cell.inst_map").alias("inst"), F.col("cell.type_map").alias("type"))
+
+
 def remap_labels(ids: DataFrame, by_size: bool = False) -> DataFrame:
     """Contiguous ids per tile from (tile_id, inst, area), by old id or by area descending; 0 is not listed.
 

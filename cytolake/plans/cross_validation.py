@@ -1,6 +1,6 @@
 """Feature-count sweeps over cross-validation folds."""
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.feature import VectorSlicer
@@ -104,6 +104,27 @@ def sweep(
     return spark.createDataFrame(results, "fold int, k int, score double"), rankings
 
 
+def model_table(train: DataFrame, test: DataFrame, selections: Mapping[str, Sequence[str]], models: Sequence[str], **params) -> DataFrame:
+    """(selection, model, n_features, accuracy, balanced_accuracy) of every model on every selection of features.
+
+    ``train`` and ``test`` are long rows (slide_id, label, feature, value); models are fitted on the one and scored on the
+    other. An empty selection has no rows. The fits are independent jobs, as many as there are models and selections.
+    """
+    spark = train.sparkSession
+    rows = []
+    for name, features in selections.items():
+        if not features:
+            continue
+        keys = ["slide_id", "label"]
+        vectors = [MX.to_vectors(part.where(F.col("feature").isin(list(features))), list(features), keys) for part in (train, test)]
+        fitted_on = cut(ML.balanced_weights(vectors[0].withColumn("signed", (F.col("label") * 2 - 1).cast("double"))))
+        held_out = cut(vectors[1])
+        for model in models:
+            scored = cut(ML.predict(ML.fit(fitted_on, model, **params.get(model, {})), held_out))
+            rows.append((name, model, len(features), E.accuracy(scored).first()[0], E.balanced_accuracy(scored).first()[0]))
+    return spark.createDataFrame(rows, "selection string, model string, n_features int, accuracy double, balanced_accuracy double")
+
+
 def final_features(rankings: DataFrame, best_k: int, count: int) -> DataFrame:
     """(position, feature, count, score): the consensus features in order, the first ``count`` of them."""
     ranked = E.consensus_ranking(rankings, best_k).orderBy(F.col("count").desc(), F.col("score").desc(), "feature").limit(count)

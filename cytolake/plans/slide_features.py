@@ -11,7 +11,7 @@ from cytolake.operators import distance as D
 from cytolake.operators import features as FT
 from cytolake.operators import mask as M
 from cytolake.operators.morphology import MEASURES, summarise_tagged
-from cytolake.operators.regions import label_regions
+from cytolake.operators.regions import label_regions, margin_regions
 from cytolake.runtime import cut
 from cytolake.schema import BAND_CLASSES, DISTANCE_CLASSES, DOWN_FACTOR, INSIDE, MARGIN, TUMOUR_CLASSES
 
@@ -27,6 +27,7 @@ class Settings:
     morphology: bool = False
     distances: bool = False
     distance_classes: Sequence[int] = field(default_factory=lambda: list(DISTANCE_CLASSES))
+    distance_area: str = "tumour"  # or "margin", the regions grown by their margin, or "slide"
 
 
 def prepare_mask(mask: DataFrame, down: int = DOWN_FACTOR) -> tuple[DataFrame, DataFrame]:
@@ -69,6 +70,17 @@ def counts_side_by_side(tagged: DataFrame, profile: DataFrame, cfg: Settings) ->
     return joined.withColumns({c: F.when(F.col("area").isNotNull(), F.col(c)) for c in regional})
 
 
+def _distance_cells(cells: DataFrame, runs: DataFrame, profile: DataFrame, cfg: Settings) -> DataFrame:
+    """Cells between which distances are taken, with their region."""
+    if cfg.distance_area == "slide":
+        return D.whole_slide(cells, cfg.distance_classes)
+    if cfg.distance_area not in ("tumour", "margin"):
+        raise ValueError(f"distances are taken in the tumour, the margin or the slide, not in {cfg.distance_area}")
+    frame = profile.select("slide_id", "height", "width")
+    regions = label_regions(runs) if cfg.distance_area == "tumour" else margin_regions(runs, frame, cfg.margin)
+    return D.located_cells(cells, regions, cfg.distance_classes, cfg.down)
+
+
 def tissue_features(cells: DataFrame, mask: DataFrame, settings: Settings | None = None) -> DataFrame:
     """(slide_id, section, grp, feature, path, value) from cells and a dense mask."""
     cfg = settings or Settings()
@@ -94,7 +106,7 @@ def tissue_features_from_runs(cells: DataFrame, runs: DataFrame, profile: DataFr
         out = out.unionByName(FT.morphology_features(summarise_tagged(C.by_population(tagged), tagged, TUMOUR_CLASSES, band)))
     if cfg.distances:
         own = tagged.select("slide_id", "cell_ord", "cx", "cy", "cell_type")
-        located = cut(D.located_cells(own, label_regions(runs), cfg.distance_classes, cfg.down))
+        located = cut(_distance_cells(own, runs, profile, cfg))
         nearest = cut(D.nearest_targets(located, cfg.distance_classes, stored=True))
         summary = D.distance_summary(own, located, nearest, cfg.distance_classes)
         out = out.unionByName(FT.distance_features(summary, cfg.distance_classes))

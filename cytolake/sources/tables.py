@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytolake.functions.text import base_name
+from cytolake.functions.text import file_stem
 
 # Tokens that mark files which are results, not inputs, and hidden files.
 RESULT_TOKENS = ["data", "analysed", "cellnbr"]
@@ -60,7 +60,7 @@ def with_sample_ids(slides: DataFrame, lookup: DataFrame, key: str, name: str) -
 def read_feature_docs(spark: SparkSession, path: str) -> DataFrame:
     """Result documents, one small JSON object per file: (slide_id, doc)."""
     return spark.read.text(path, wholetext=True).select(
-        base_name(F.col("_metadata.file_path")).alias("slide_id"), F.col("value").alias("doc")
+        file_stem(F.col("_metadata.file_path")).alias("slide_id"), F.col("value").alias("doc")
     )
 
 
@@ -73,7 +73,8 @@ def ranking_from_documents(docs: DataFrame, doc: str = "doc") -> DataFrame:
 
 
 def read_ranking(spark: SparkSession, path: str) -> DataFrame:
-    text = spark.read.text(path, wholetext=True).select(F.col("value").alias("doc"))
+    """Ranking documents, one JSON object per file: (name, rank, feature)."""
+    text = spark.read.text(path, wholetext=True).select(file_stem(F.col("_metadata.file_path")).alias("name"), F.col("value").alias("doc"))
     return ranking_from_documents(text)
 
 

@@ -485,6 +485,19 @@ def inference(spark, sf):
     return ML.predict(ML.load(path), rows).select("slide_id", "label", "pred", r6("proba").alias("proba"))
 
 
+@query("ml4_model_selection_table")
+def model_selection_table(spark, sf):
+    """Three models on all features and on those that three selections keep; accuracies on a fold no step has seen."""
+    fm, labels = I.feature_matrix(spark, sf), I.sample_labels(spark, sf)
+    folds = FO.stratified_folds(labels.select("slide_id", "label", F.col("slide_id").alias("sample_ord")), 3)
+    rows = cut(fm.join(labels.select("slide_id", "label"), "slide_id").join(folds.select("slide_id", "fold"), "slide_id"))
+    train, test = (rows.where(c).drop("fold") for c in ("fold <> 2", "fold = 2"))
+    ranked = {"mann_whitney": CV.mann_whitney, "mrmr": CV.mrmr, "ward": CV.group_ranker("ward")}
+    chosen = {name: [r["feature"] for r in rank(train, 19).orderBy("rank").collect()] for name, rank in ranked.items()}
+    table = CV.model_table(train, test, {"all": MX.feature_names(fm), **chosen}, ["logistic", "ridge", "forest"])
+    return rounded(table, "accuracy", "balanced_accuracy")
+
+
 @query("ml5_principal_components")
 def components(spark, sf):
     projected, shares = ML.principal_components(_rows(spark, sf).select("slide_id", "features"), 3)

@@ -265,6 +265,15 @@ def stacked(spark, sf):
     )
 
 
+@query("jn9_grouped_labels", f"with {TILES} select tile_id, r as row, c as col, ti as inst, tc as type from tiles")
+def grouped(spark, sf):
+    """Instance and class maps of every tile, written as nested arrays and read back as pixels."""
+    path = fresh_path(shared_dir(spark), "grouped")
+    px = I.tile_pixels(spark, sf).select("tile_id", "row", "col", F.col("true_inst").alias("inst"), F.col("true_class").alias("type"))
+    S.grouped_labels(px).write.parquet(path)
+    return S.grouped_pixels(spark.read.parquet(path))
+
+
 @query(
     "prj17_per_class_instances",
     f"with {TILES} select tile_id, tc as class, ti as inst, count(*) as n from tiles where tc between 1 and 5 and ti > 0 group by all",

@@ -12,9 +12,10 @@ from cytolake.operators import regions as R
 from cytolake.operators.morphology import morphology
 from cytolake.functions.summary import STATS, distribution_summary
 from cytolake.plans import slide_features as P
-from cytolake.runtime import cut
+from cytolake.runtime import cut, shared_dir
+from cytolake.sources import masks as MI
 from workloads import inputs as I
-from workloads.registry import CELLS, LOCATED, MASK, morph_sql, query, r6, rounded, rounded_stats, runs_sql, stats_sql
+from workloads.registry import CELLS, LOCATED, MASK, fresh_path, morph_sql, query, r6, rounded, rounded_stats, runs_sql, stats_sql
 
 ALL5 = [1, 2, 3, 4, 5]
 MARGIN = 704  # kernel 11
@@ -166,6 +167,37 @@ def band_even(spark, sf):
     return M.border_band(runs, profile.select("slide_id", "height", "width"), M.band_kernel(EVEN_MARGIN))
 
 
+@query("win3_border_band_wide", f"with {morph_sql(67)} {runs_sql('grown', 'd - e = 255')}")
+def band_wide(spark, sf):
+    """The published margin, whose kernel is two thirds of the image."""
+    runs, profile = P.prepare_mask(mask_of(spark, sf))
+    return M.border_band(runs, profile.select("slide_id", "height", "width"), M.band_kernel())
+
+
+def _mask_images(spark, sf) -> str:
+    """The masks written as an image per slide."""
+    runs, profile = P.prepare_mask(mask_of(spark, sf))
+    path = fresh_path(shared_dir(spark), "masks")
+    MI.write_masks(runs, profile.select("slide_id", "height", "width"), path)
+    return path
+
+
+@query("src2_mask_images", f"with {MASK} select cast(slide_id as varchar) as slide_id, cast(r as integer) as row, count(*) as n, cast(sum(c) as bigint) as cols, cast(sum(v) as bigint) as total from mask group by slide_id, r")
+def mask_images(spark, sf):
+    px = MI.read_masks(spark, _mask_images(spark, sf))
+    return px.groupBy("slide_id", "row").agg(F.count("*").alias("n"), F.sum("col").alias("cols"), F.sum("value").alias("total"))
+
+
+@query(
+    "src2_mask_image_runs",
+    f"""with {MASK}, g as (select *, c - row_number() over (partition by slide_id, r, v order by c) as g from mask)
+    select cast(slide_id as varchar) as slide_id, cast(100 as integer) as height, cast(100 as integer) as width, cast(r as integer) as row,
+    cast(min(c) as integer) as c0, cast(max(c) as integer) as c1, v as value from g group by slide_id, r, v, g""",
+)
+def mask_image_runs(spark, sf):
+    return MI.read_mask_runs(spark, _mask_images(spark, sf))
+
+
 @query("win4_mask_runs", f"with {MASK} {runs_sql('mask', 'v = 255')}")
 def runs(spark, sf):
     return M.mask_runs(mask_of(spark, sf))
@@ -319,12 +351,13 @@ def morphology_populations(spark, sf):
 
 # --- distances --------------------------------------------------------------------------------
 
-_PAIRS = f"""with {LOCATED}, inside as (select * from located where region_id > 0),
-pairs as (select a.slide_id, a.region_id, a.cell_ord, a.cell_type as source, b.cell_type as target, a.cx, a.cy, a.x, a.y, b.x as tx, b.y as ty,
+_PAIR_ROWS = """pairs as (select a.slide_id, a.region_id, a.cell_ord, a.cell_type as source, b.cell_type as target, a.cx, a.cy, a.x, a.y, b.x as tx, b.y as ty,
           (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) as d2
   from inside a join inside b on a.slide_id = b.slide_id and a.region_id = b.region_id and a.cell_type < b.cell_type)"""
-_NEAREST = f"""{_PAIRS}, nearest as (
+_NEAR_ROWS = """nearest as (
   select slide_id, region_id, cell_ord, source, target, sqrt(cast(min(d2) as double)) as dist from pairs group by all)"""
+_PAIRS = f"with {LOCATED}, inside as (select * from located where region_id > 0), {_PAIR_ROWS}"
+_NEAREST = f"{_PAIRS}, {_NEAR_ROWS}"
 _BOXED = f"""{_PAIRS},
 boxes as (
   select s as slide_id, 1 as region_id, (50 + s % 20 - 15 + 1) * 32 * 0.05 as sx, (44 + s % 20 % 7 - 10 - s % 20 % 5 + 1) * 32 * 0.05 as sy from (select s_suppkey as s from supplier)
@@ -345,6 +378,26 @@ def nearest_exact(spark, sf):
     return rounded(D.nearest_targets(located_of(spark, sf), ALL5), "dist")
 
 
+# a margin of 14 px grows regions by three px on each side: they stay apart, the first one above row 55
+_IN_MARGIN = f"""with {morph_sql(7)}, {CELLS}, inside as (
+  select cells.*, case when grown.r < 55 then 1 else 2 end as region_id
+  from cells join grown on cells.slide_id = grown.slide_id and cells.y // 32 = grown.r and cells.x // 32 = grown.c where grown.d = 255)"""
+
+
+@query("jn4_nearest_margin", f"{_IN_MARGIN}, {_PAIR_ROWS}, {_NEAR_ROWS} {_NEAR_OUT}")
+def nearest_margin(spark, sf):
+    """Distances within the regions grown by their margin."""
+    runs, profile = P.prepare_mask(mask_of(spark, sf))
+    regions = R.margin_regions(runs, profile.select("slide_id", "height", "width"), 14)
+    return rounded(D.nearest_targets(D.located_cells(I.cells(spark, sf), regions, ALL5), ALL5), "dist")
+
+
+@query("jn4_nearest_whole_slide", f"with {CELLS}, inside as (select *, 1 as region_id from cells), {_PAIR_ROWS}, {_NEAR_ROWS} {_NEAR_OUT}")
+def nearest_whole_slide(spark, sf):
+    """Distances between all cells of a slide, whatever the mask."""
+    return rounded(D.nearest_targets(D.whole_slide(I.cells(spark, sf), ALL5), ALL5), "dist")
+
+
 @query("jn5_nearest_box_search", f"{_BOXED} {_NEAR_OUT}")
 def nearest_box(spark, sf):
     regions = cut(R.label_regions(M.mask_runs(mask_of(spark, sf))))

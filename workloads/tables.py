@@ -14,6 +14,7 @@ from cytolake.runtime import cut, shared_dir
 from cytolake.sources import cells as SC
 from cytolake.sources import sinks as K
 from cytolake.sources import tables as ST
+from cytolake.sources.files import write_files
 from cytolake.streaming.ingest import stream_cells
 from workloads import inputs as I
 from workloads.registry import CELLS, FM, LOCATED, TILES, fresh_path, query, r6, rounded
@@ -149,6 +150,42 @@ def ranking(spark, sf):
     return ST.ranking_from_documents(I.table(spark, sf, "part").select("p_partkey", doc.alias("doc")))
 
 
+@query(
+    "src8_ranking_files",
+    """with t as (select p_brand, p_type, sum(p_retailprice) as s from part group by all)
+    select p_brand as name, p_type as feature, cast(row_number() over (partition by p_brand order by s desc, p_type) as integer) as rank from t""",
+)
+def ranking_files(spark, sf):
+    """One ranking document per brand, its keys in falling order, written as a file of its own and read back."""
+    worth = I.table(spark, sf, "part").groupBy("p_brand", "p_type").agg(F.sum("p_retailprice").alias("s"))
+    order = F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("down"), "p_type", "s")))
+    entry = lambda x: F.concat(F.lit('"'), x["p_type"], F.lit('": '), x["s"].cast("string"))
+    docs = worth.groupBy("p_brand").agg(F.concat(F.lit("{"), F.array_join(F.transform(order, entry), ", "), F.lit("}")).alias("doc"))
+    path = fresh_path(shared_dir(spark), "rankings")
+    write_files(docs.select(F.concat("p_brand", F.lit(".json")).alias("name"), F.col("doc").alias("content")), path)
+    return ST.read_ranking(spark, path).select("name", "feature", "rank")
+
+
+@query(
+    "src7_document_files",
+    """select cast(l_suppkey as varchar) as slide_id, l_returnflag || '_' || unnest(['lines', 'quantity']) as feature,
+    unnest([count(*) + 0.0, cast(sum(l_quantity) as double)]) as value from lineitem group by l_suppkey, l_returnflag""",
+)
+def document_files(spark, sf):
+    """Result documents written as a file per slide under their published names; every value is read back from them."""
+    sums = I.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("slide_id"), "l_returnflag").agg(
+        F.count("*").cast("double").alias("lines"), F.sum("l_quantity").cast("double").alias("quantity")
+    )
+    features = sums.unpivot(["slide_id", "l_returnflag"], ["lines", "quantity"], "leaf", "value").select(
+        "slide_id", F.array("l_returnflag", "leaf").alias("path"), "value"
+    )
+    path = fresh_path(shared_dir(spark), "documents")
+    named = F.concat(F.col("slide_id").cast("string"), F.lit("_analysed.json"))
+    write_files(K.feature_documents(features).select(named.alias("name"), F.col("doc").alias("content")), path)
+    docs = ST.read_feature_docs(spark, path).withColumn("slide_id", F.replace("slide_id", F.lit("_analysed")))
+    return DOC.numeric_features(DOC.flatten_full(DOC.document_leaves(docs), ["slide_id"])).select("slide_id", "feature", "value")
+
+
 # --- documents --------------------------------------------------------------------------------
 
 # {"S": {"G1": {"areas_mean": k, "x": id}, "G2": {"areas_mean": v, "x": "Not calculated"}}, "Empty": {}, "top": 1}
