@@ -14,6 +14,8 @@ from cytolake.llm import bpe, line_dedup, mixing, quality, simhash
 from cytolake.runtime import apply_session_rules, shared_dir
 
 TOKENIZER = "byte_bpe_50k.json"
+#: text of a block of the encoder: half as much as its default, as the workers also hold what earlier stages left
+ENCODER_BLOCK = 16 << 20
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
@@ -68,7 +70,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts count as empty and have no ids. Repeated rows stay repeated; extra columns are left out. An empty table gives no row.
     """
     apply_session_rules(spark)
-    return bpe.encode_documents(docs, public_tokenizers.path(TOKENIZER), with_decoded=True)
+    return bpe.encode_documents(docs, public_tokenizers.path(TOKENIZER), block_bytes=ENCODER_BLOCK, with_decoded=True)
 
 
 STAGES = [
