@@ -10,7 +10,7 @@ documents have to be a plain scan of files (or a checkpoint), whose tasks give t
 """
 
 from collections import defaultdict
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import count
 
 import numpy as np
@@ -114,10 +114,17 @@ def block_words(
     return docs.mapInArrow(tidy(run), "block bigint, number int, word binary, weight bigint")
 
 
-def block_documents(docs: DataFrame, split: Callable[[bytes], list], block_bytes: int, carried: str = "id bigint") -> DataFrame:
+def block_documents(
+    docs: DataFrame,
+    split: Callable[[bytes], list],
+    block_bytes: int,
+    carried: str = "id bigint",
+    score: Callable[[list[bytes | None]], Sequence[float]] | None = None,
+) -> DataFrame:
     """``(block, *carried, numbers)``: every document as the packed numbers of its words.
 
-    ``carried`` is the schema of the columns of ``docs`` before its last one, the text as bytes.
+    ``carried`` is the schema of the columns of ``docs`` before its last one, the text as bytes. ``score`` gives texts a number
+    each, column ``score``, on the same walk: a second Python worker per task would hold the texts again.
     """
     names = [c.split()[0] for c in carried.split(",")]
     kinds = [_ARROW[c.split()[1]] for c in carried.split(",")]
@@ -125,15 +132,19 @@ def block_documents(docs: DataFrame, split: Callable[[bytes], list], block_bytes
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in _blocks(batches, block_bytes):
             press = zstandard.ZstdCompressor(level=1).compress
+            parts = range(0, len(rows) if score else 0, 200)
+            scores = [float(x) for at in parts for x in score([row[-1] for row in rows[at : at + 200]])]
             _, _, texts = _numbered(rows, split)
             for start in range(0, len(rows), 500):
                 some = rows[start : start + 500]
                 columns = {"block": pa.array(np.full(len(some), block, np.int64))}
                 columns |= {n: pa.array([r[i] for r in some], kinds[i]) for i, n in enumerate(names)}
                 columns["numbers"] = pa.array([press(pack(t)) for t in texts[start : start + 500]], pa.binary())
+                if score:
+                    columns["score"] = pa.array(scores[start : start + 500], pa.float64())
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.mapInArrow(tidy(run), f"block bigint, {carried}, numbers binary")
+    return docs.mapInArrow(tidy(run), f"block bigint, {carried}, numbers binary" + (", score double" if score else ""))
 
 
 def numbers_of(data: bytes) -> np.ndarray:

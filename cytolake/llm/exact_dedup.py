@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cytolake.llm.joins import broadcast_if_few
 from cytolake.llm.text import as_bytes, lowered
 from cytolake.runtime import cut, shared_dir
 
@@ -122,8 +123,9 @@ def exact_copies(
     marked = docs.select("id", digest_column("text").alias("digest"))
     groups = state.select("digest", F.col("stays.id").alias("keep_id"), F.col("seen").alias("group_size"), "stays.locator")
 
-    # the hits again, grouped by their whole bytes: a digest with two different texts shows as two groups
-    hits = state.where("seen > 1").select("digest")
+    # the hits again, grouped by their whole bytes: a digest with two different texts shows as two groups; where the digests are few
+    # they travel, and copies meet in the task that reads them, so only one text of each moves
+    hits = broadcast_if_few(state.where("seen > 1").select("digest"))
     again = docs.select("id", normalised_column("text").alias("bytes"), digest_column("text").alias("digest"))
     by_bytes = again.join(hits, "digest", "left_semi").groupBy("digest", "bytes").agg(
         F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")

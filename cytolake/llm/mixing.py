@@ -24,6 +24,8 @@ from cytolake.llm.text import as_bytes
 from cytolake.runtime import cut
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+#: blocks a source has at least, if it has as many words
+SOURCE_BLOCKS = 100
 
 
 def sainte_lague(votes: Sequence[float], seats: int, caps: Sequence[int] | None = None) -> np.ndarray:
@@ -103,7 +105,7 @@ def plan_mix(
     """One row per row of ``docs``: what the mix takes of it and, to cut its text, where it lies on its tape.
 
     Columns ``id, source, size, source_size, target, taken`` (words, repeats counted), then ``start`` (place of the first word),
-    ``blocks, full, extra, turn, shift`` (the tape's rule) and, with ``carry_rows``, ``row`` (the whole row of ``docs``).
+    ``width, blocks, full, extra, turn, shift`` (the tape's rule) and, with ``carry_rows``, ``row`` (the whole row of ``docs``).
     Null and empty texts have size 0 and nothing taken; null is a source of its own; an empty table gives an
     empty result. Repeated rows share their order key: they may change places, which leaves the result as it is.
     """
@@ -129,8 +131,8 @@ def plan_mix(
 
     tapes = placed(small).groupBy("source", "shard").agg(F.sum("size").alias("words")).where("words > 0")
     rules = spark.createDataFrame(
-        _rules(tapes.collect(), names, targets, block_words, most, seed),  # at most max_shards rows per source
-        "rule_source string, rule_shard bigint, blocks bigint, full bigint, extra bigint, turn bigint, shift bigint",
+        _rules(tapes.collect(), names, sizes, targets, block_words, most, seed),  # at most max_shards rows per source
+        "rule_source string, rule_shard bigint, width bigint, blocks bigint, full bigint, extra bigint, turn bigint, shift bigint",
     )
     before = (
         Window.partitionBy("source", "shard")
@@ -144,25 +146,39 @@ def plan_mix(
             F.broadcast(rules),
             F.col("source").eqNullSafe(F.col("rule_source")) & (F.col("shard") == F.col("rule_shard")), "left",
         )
-        .withColumn("taken", _taken(block_words))
+        .withColumn("taken", _taken())
         .select(
-            "id", "source", "size", "source_size", "target", "taken", "start", "blocks", "full", "extra", "turn", "shift",
+            "id", "source", "size", "source_size", "target", "taken", "start", "width", "blocks", "full", "extra", "turn", "shift",
             *(["row"] if carry_rows else []),
         )
     )
 
 
+def block_width(size: int, block_words: int) -> int:
+    """Words of a block of a source: ``block_words``, or less, so that a source has a hundred blocks and a last, shorter one weighs little."""
+    return max(1, min(block_words, size // SOURCE_BLOCKS))
+
+
 def _rules(
-    tapes: Sequence, names: Sequence[str | None], targets: np.ndarray, block_words: int, most: float, seed: int
+    tapes: Sequence, names: Sequence[str | None], sizes: Sequence[int], targets: np.ndarray, block_words: int, most: float, seed: int
 ) -> list[tuple]:
-    """Quota of every tape as ``full`` passes and ``extra`` blocks, and its seeded permutation of blocks."""
+    """Width of the blocks of every tape, its quota as ``full`` passes and ``extra`` blocks, and its seeded permutation of blocks.
+
+    Sources with blocks of ``block_words`` words share the seats of all of them; one with shorter blocks takes its own target in those.
+    """
+    widths = [block_width(s, block_words) for s in sizes]
+    width_of = dict(zip(names, widths))
     by_source: dict[str | None, list[tuple[int, int]]] = {n: [] for n in names}
     for r in tapes:
-        by_source[r["source"]].append((int(r["shard"]), -(-int(r["words"]) // block_words)))
+        by_source[r["source"]].append((int(r["shard"]), -(-int(r["words"]) // width_of[r["source"]])))
     held = [sum(b for _, b in by_source[n]) for n in names]
-    seats = sainte_lague(targets, round(float(sum(targets)) / block_words), [int(most * h) for h in held])
+    whole = [i for i, w in enumerate(widths) if w == block_words]
+    shared = [float(targets[i]) for i in whole]
+    seats = [round(float(t) / w) for t, w in zip(targets, widths)]
+    for i, n in zip(whole, sainte_lague(shared, round(sum(shared) / block_words), [int(most * held[i]) for i in whole])):
+        seats[i] = int(n)
     out = []
-    for name, total in zip(names, seats):
+    for name, width, total in zip(names, widths, seats):
         own = sorted(by_source[name])
         quotas = sainte_lague([b for _, b in own], int(total), [int(most * b) for _, b in own])
         for (shard, blocks), quota in zip(own, quotas):
@@ -171,7 +187,7 @@ def _rules(
             while gcd(turn, blocks) > 1:
                 turn = int(random.integers(1, blocks + 1))
             full, extra = divmod(int(quota), blocks)
-            out.append((name, shard, blocks, full, extra, turn, int(random.integers(0, blocks))))
+            out.append((name, shard, width, blocks, full, extra, turn, int(random.integers(0, blocks))))
     return out
 
 
@@ -181,9 +197,9 @@ def times_taken(block: Column) -> Column:
     return F.col("full") + (place < F.col("extra")).cast("bigint")
 
 
-def _taken(block_words: int) -> Column:
+def _taken() -> Column:
     """Words of the row in each block it overlaps, times how often that block is taken."""
-    width, end = F.lit(block_words), F.col("start") + F.col("size")
+    width, end = F.col("width"), F.col("start") + F.col("size")
     first, last = F.floor(F.col("start") / width), F.floor((end - 1) / width)
     words = F.aggregate(
         F.sequence(first, last),
@@ -230,13 +246,13 @@ def mixed_documents(
 
     @F.pandas_udf("array<string>")
     def passages(
-        text: pd.Series, start: pd.Series, size: pd.Series, blocks: pd.Series, full: pd.Series, extra: pd.Series, turn: pd.Series, shift: pd.Series
+        text: pd.Series, start: pd.Series, size: pd.Series, width: pd.Series, blocks: pd.Series, full: pd.Series, extra: pd.Series, turn: pd.Series, shift: pd.Series
     ) -> pd.Series:
-        rows = zip(text, start, size, blocks, full, extra, turn, shift)
-        return pd.Series([taken_passages(t, int(s), [int(x) for x in rule], block_words, int(n)) for t, s, n, *rule in rows], dtype=object)
+        rows = zip(text, start, size, width, blocks, full, extra, turn, shift)
+        return pd.Series([taken_passages(t, int(s), [int(x) for x in rule], int(w), int(n)) for t, s, n, w, *rule in rows], dtype=object)
 
     kept = plan.where("taken > 0").withColumn(
-        "passage", passages(as_bytes(F.col(f"row.`{text_column}`")), "start", "size", "blocks", "full", "extra", "turn", "shift")
+        "passage", passages(as_bytes(F.col(f"row.`{text_column}`")), "start", "size", "width", "blocks", "full", "extra", "turn", "shift")
     )
     rows = kept.select("row", F.explode("passage").alias("passage"))
     return rows.select(*[F.col("passage").alias(c) if c == text_column else F.col(f"row.`{c}`") for c in docs.columns])

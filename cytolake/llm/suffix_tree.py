@@ -272,9 +272,8 @@ def model_scores(
     tables = spark.sparkContext.broadcast((tree.depth, tree.column, tree.following, tree.log10))
     del tree
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(SuffixTree(*tables.value).score(list(texts)))
+    def score(texts: list[bytes | None]) -> np.ndarray:
+        return SuffixTree(*tables.value).score(texts)
 
     words = block_words(rows, words_of, block_bytes, counted=lambda row: not row[1])
     counts = cut(words.groupBy("word").agg(F.sum("weight").alias("c")))
@@ -302,8 +301,7 @@ def model_scores(
             "base_score": pa.array(scores, pa.float64()), "score": documents.column("score"),
         })
 
-    scored = rows.select("id", "held_out", score("text").alias("score"), "text")
-    documents = block_documents(scored, words_of, block_bytes, "id bigint, held_out boolean, score double")
+    documents = block_documents(rows, words_of, block_bytes, "id bigint, held_out boolean", score)
     return placed.groupBy("block").cogroup(documents.groupBy("block")).applyInArrow(
         base, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     )

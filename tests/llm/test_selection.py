@@ -148,6 +148,25 @@ TALK = [
 ]
 
 
+def test_small_sources_come_near_their_target(spark):
+    """A source of 40 words meets three times its size, and one of 70 words its share, next to a large one."""
+    rows = [(i, " ".join(f"w{i}-{k}" for k in range(n)), s) for i, (n, s) in enumerate([(40, "a"), (30, "b"), (40, "b"), (9_000, "c"), (5, "d"), (0, None)])]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    plan = mixing.plan_mix(docs).collect()
+    taken = {}
+    for r in plan:
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+        assert r.taken <= 3 * r.size
+    target = {r.source: r.target for r in plan}
+    assert target["a"] == 120 and target["b"] == 210
+    assert all(abs(taken[s] - target[s]) <= max(1, 0.02 * target[s]) for s in "abc") and taken["d"] == 15 and taken[None] == 0
+    words = {}
+    for r in mixing.mixed_documents(docs).collect():
+        words[r.doc_id] = words.get(r.doc_id, 0) + len(r.text.split())
+    assert words == {r.id: r.taken for r in plan if r.taken}
+
+
+
 @pytest.mark.parametrize("budget,history", [(2048, 256), (60, 20), (12, 0)])
 def test_windows_restore_every_conversation(spark, budget, history):
     rows = spark.createDataFrame([(*r, "x", "y") for r in TALK], "conv_id bigint, turn bigint, role string, text string, window string, conv string")
