@@ -2,10 +2,11 @@
 
 In a round every cluster finds its nearest neighbour, and all pairs that are nearest to each other merge at once. The linkages offered are
 reducible: a merge never brings two clusters closer than their parts were, so these merges are those of one merge after the other, at the
-same heights. Distances of merged clusters follow from those of their parts, first on one side of the pair table, then on the other. A
-round halves the clusters at best, and its work is a few joins of the pair table.
+same heights. Distances of merged clusters follow from those of their parts, first on one side of the pair table, then on the other. The
+pair table stays distributed; a row per cluster reaches the driver in each round.
 """
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -36,15 +37,20 @@ def _joined(linkage: str) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), ((n1 + n) * d1 * d1 + (n2 + n) * d2 * d2 - n * gap * gap) / (n1 + n2 + n)))
 
 
-def _side(pairs: DataFrame, merges: DataFrame, linkage: str) -> DataFrame:
-    """``(a, b, distance, na, nb)`` with the clusters of column ``a`` merged. ``merges``: (low, high, gap), low before high."""
-    parts = merges.select(F.explode(F.array("low", "high")).alias("a"), "low", "high", "gap")
-    told = pairs.join(parts, "a", "left")
-    alone = told.where("low is null").select("a", "b", "distance", "na", "nb")
-    first = told.where("a = low").select("low", "b", F.col("distance").alias("d1"), F.col("na").alias("n1"), F.col("nb").alias("n"), "gap")
-    second = told.where("a = high").select("low", "b", F.col("distance").alias("d2"), F.col("na").alias("n2"))
-    both = first.join(second, ["low", "b"])
-    return alone.unionByName(both.select(F.col("low").alias("a"), "b", _joined(linkage).alias("distance"), (F.col("n1") + F.col("n2")).alias("na"), F.col("n").alias("nb")))
+def _side(pairs: DataFrame, parts: DataFrame, linkage: str) -> DataFrame:
+    """``(b, a, distance, nb, na)``: the clusters of column ``a`` merged by ``parts`` (a, low, partner, gap), and the columns turned round."""
+    told = pairs.join(F.broadcast(parts), "a", "left").where("partner is null or partner <> b")  # at most a row per cluster
+    second = F.col("a") != F.coalesce("low", "a")
+    of = lambda c, which: F.max(F.when(which, F.col(c)))
+    both = told.groupBy(F.coalesce("low", "a").alias("to"), "b").agg(
+        of("distance", ~second).alias("d1"), of("na", ~second).alias("n1"), of("distance", second).alias("d2"), of("na", second).alias("n2"),
+        F.max("nb").alias("n"), F.max("gap").alias("gap"),
+    )
+    alone = F.col("d2").isNull()
+    return both.select(
+        F.col("b").alias("a"), F.col("to").alias("b"), F.when(alone, F.col("d1")).otherwise(_joined(linkage)).alias("distance"),
+        F.col("n").alias("na"), (F.col("n1") + F.coalesce("n2", F.lit(0))).alias("nb"),
+    )
 
 
 def merge_table(distances: DataFrame, linkage: str = "ward") -> DataFrame:
@@ -54,31 +60,22 @@ def merge_table(distances: DataFrame, linkage: str = "ward") -> DataFrame:
     """
     if linkage not in LINKAGES:
         raise ValueError(f"unknown linkage {linkage}; choose one of {LINKAGES}")
-    one = F.lit(1).cast("bigint")
+    spark, kind, one = distances.sparkSession, distances.schema["a"].dataType.simpleString(), F.lit(1).cast("bigint")
     pairs = cut(distances.select("a", "b", F.col("distance").cast("double").alias("distance"), one.alias("na"), one.alias("nb")))
-    out = []
+    found = []
     while True:
-        nearest = pairs.groupBy("a").agg(F.min(F.struct("distance", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))).alias("to"))
-        # both members name the pair
-        chosen = nearest.groupBy("to.low", "to.high").agg(F.count(F.lit(1)).alias("named"), F.first("to.distance").alias("gap")).where("named = 2")
-        merges = cut(chosen.select("low", "high", "gap"))
-        if merges.isEmpty():
+        to = F.min(F.struct("distance", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"), (F.col("na") + F.col("nb")).alias("size")))
+        nearest = [r["to"] for r in pairs.groupBy("a").agg(to.alias("to")).collect()]  # a row per cluster
+        if not nearest:
             break
-        sizes = pairs.select(F.col("a").alias("low"), F.col("b").alias("high"), (F.col("na") + F.col("nb")).alias("size"))
-        out.append(merges.join(sizes, ["low", "high"]).select(F.col("low").alias("kept"), F.col("high").alias("gone"), F.col("gap").alias("height"), "size"))
-        within = merges.select(F.col("low").alias("a"), F.col("high").alias("b"))
-        between = pairs.join(within, ["a", "b"], "left_anti").join(within.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        rows = _side(between, merges, linkage).select(F.col("b").alias("a"), F.col("a").alias("b"), "distance", F.col("nb").alias("na"), F.col("na").alias("nb"))
-        pairs = cut(_side(rows, merges, linkage))
-    kinds = f"kept {_kind(distances)}, gone {_kind(distances)}, height double, size bigint"
-    whole = distances.sparkSession.createDataFrame([], kinds)
-    for part in out:
-        whole = whole.unionByName(part)
-    return cut(whole)
-
-
-def _kind(distances: DataFrame) -> str:
-    return distances.schema["a"].dataType.simpleString()
+        named = Counter((n["low"], n["high"]) for n in nearest)
+        of_pair = {(n["low"], n["high"]): n for n in sorted(nearest, reverse=True)}
+        merges = [of_pair[p] for p, times in named.items() if times == 2] or [min(nearest)]
+        found += [(m["low"], m["high"], m["distance"], m["size"]) for m in merges]
+        rows = [(a, m["low"], b, m["distance"]) for m in merges for a, b in ((m["low"], m["high"]), (m["high"], m["low"]))]
+        parts = spark.createDataFrame(rows, f"a {kind}, low {kind}, partner {kind}, gap double")
+        pairs = cut(_side(_side(pairs, parts, linkage), parts, linkage))
+    return cut(spark.createDataFrame(found, f"kept {kind}, gone {kind}, height double, size bigint"))
 
 
 def clusters(features: DataFrame, merges: DataFrame, threshold: float) -> DataFrame:
