@@ -18,6 +18,12 @@ TOKENIZER = "byte_bpe_50k.json"
 ENCODER_BLOCK = 16 << 20
 
 
+def _rules(spark: SparkSession, broadcast_limit: str = "10MB") -> None:
+    """Session settings of a stage. Rows are whole documents, so few of them go to Python at a time."""
+    apply_session_rules(spark, broadcast_limit)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
+
+
 def _recounted(docs: DataFrame) -> DataFrame:
     """``n_chars`` of texts that a stage has changed."""
     return docs.withColumn("n_chars", F.length("text").cast("bigint"))
@@ -29,7 +35,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null, empty and white texts have a score like any other. Repeated rows and rows of one id are judged each by its own
     text; extra columns stay as they are. An empty table, or one without a labelled document, loses no document.
     """
-    apply_session_rules(spark)
+    _rules(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -39,7 +45,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     Documents are ordered by id, null ids first. Null, empty and white texts have no line to lose and stay; rows equal in id and
     text count as one document. Extra columns stay as they are; an empty table stays empty.
     """
-    apply_session_rules(spark)
+    _rules(spark)
     return _recounted(line_dedup.drop_lines(docs))
 
 
@@ -50,7 +56,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     other; shorter texts than five words are one shingle. Documents without an id stay only in a group without any. Extra
     columns stay as they are; an empty table stays empty.
     """
-    apply_session_rules(spark, "-1")  # dozens of small joins: their broadcasts would pile up in the driver
+    _rules(spark, "-1")  # dozens of small joins: their broadcasts would pile up in the driver
     return simhash.drop_similar(docs)
 
 
@@ -60,7 +66,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null source is a source of its own, the last. Texts without a word have nothing to take and go. Extra columns stay as
     they are; an empty table stays empty.
     """
-    apply_session_rules(spark)
+    _rules(spark)
     return _recounted(mixing.mixed_documents(docs))
 
 
@@ -69,7 +75,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null texts count as empty and have no ids. Repeated rows stay repeated; extra columns are left out. An empty table gives no row.
     """
-    apply_session_rules(spark)
+    _rules(spark)
     return bpe.encode_documents(docs, public_tokenizers.path(TOKENIZER), block_bytes=ENCODER_BLOCK, with_decoded=True)
 
 
