@@ -251,32 +251,44 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return met.where(both >= similarity * (F.size("shingles") + F.size("_of_v") - both) - 1e-9).select("u", "v")
 
 
+def _similar(one: np.ndarray, other: np.ndarray, similarity: float) -> bool:
+    small, large = sorted((len(one), len(other)))
+    if small < similarity * large - 1e-9:
+        return False
+    both = len(np.intersect1d(one, other, assume_unique=True))
+    return both >= similarity * (small + large - both) - 1e-9
+
+
 def _across(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``(u, v)`` roots that a similar pair links, for ``(token, n, key, root)``: all pairs of a token with different roots.
+    """``(u, v)`` roots that a similar pair links, for ``(token, key, root, first)``: all pairs of a token with different roots.
 
-    A token's texts are dealt to cells of about ``CELL`` and pairs of cells to tasks; pairs are compared there and only links come out.
+    ``first`` is the root that most texts of the token are expected to have. These are dealt to cells of about ``CELL``, and only
+    the others go to each of the cells; among each other the others are compared by pairs of their own cells. Links come out alone.
     """
-    cells = F.ceil(F.col("n") / CELL).cast("int")
-    own = F.pmod(F.xxhash64("key"), cells).cast("int")
-    met = F.transform(F.sequence(F.lit(0), cells - 1), lambda o: F.struct(F.least(F.col("own"), o).alias("i"), F.greatest(F.col("own"), o).alias("j")))
-    dealt = members.withColumn("own", own).withColumn("met", F.explode(met)).join(sets, "key")
+    marked = members.withColumn("other", F.col("root") != F.col("first"))
+    sizes = marked.groupBy("token").agg(F.count_if("other").alias("others"), F.count_if(~F.col("other")).alias("many"))
+    cells = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / CELL).cast("int"))
+    placed = marked.join(sizes, "token").withColumn("own", F.pmod(F.xxhash64("key"), F.when(F.col("other"), cells("others")).otherwise(cells("many"))).cast("int"))
+    place = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    own, none = F.col("own"), F.lit(-1)
+    every = F.transform(F.sequence(F.lit(0), cells("many") - 1), lambda c: place(none, c))
+    among = F.transform(F.sequence(F.lit(0), cells("others") - 1), lambda c: place(F.least(own, c), F.greatest(own, c)))
+    met = F.when(F.col("other"), F.when(F.col("many") > 0, F.concat(every, among)).otherwise(among)).otherwise(F.array(place(none, own)))
+    dealt = placed.withColumn("met", F.explode(met)).join(sets, "key")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
-        owns, roots = table.column("own").to_numpy(), table.column("root").to_pylist()
+        owns, roots, others = (table.column(c).to_pylist() for c in ("own", "root", "other"))
         shingles = [s.values.to_numpy() for s in table.column("shingles")]
+        i, j = key[1].as_py(), key[2].as_py()
         found = set()
         for x, y in combinations(range(len(owns)), 2):
-            if roots[x] == roots[y] or key[1].as_py() != key[2].as_py() and owns[x] == owns[y]:
-                continue
-            small, large = sorted((len(shingles[x]), len(shingles[y])))
-            if small < similarity * large - 1e-9:
+            if roots[x] == roots[y] or (others[x] == others[y] if i < 0 else i != j and owns[x] == owns[y]):
                 continue
-            both = len(np.intersect1d(shingles[x], shingles[y], assume_unique=True))
-            if both >= similarity * (small + large - both) - 1e-9:
+            if tuple(sorted((roots[x], roots[y]))) not in found and _similar(shingles[x], shingles[y], similarity):
                 found.add(tuple(sorted((roots[x], roots[y]))))
         return pa.table({"u": pa.array([u for u, _ in found], pa.binary()), "v": pa.array([v for _, v in found], pa.binary())})
 
-    flat = dealt.select("token", F.col("met.i").alias("i"), F.col("met.j").alias("j"), "own", "root", "shingles")
+    flat = dealt.select("token", F.col("met.i").alias("i"), F.col("met.j").alias("j"), "own", "root", "other", "shingles")
     return flat.groupBy("token", "i", "j").applyInArrow(compare, "u binary, v binary").distinct()
 
 
@@ -299,9 +311,10 @@ def similar_roots(texts: DataFrame, docs: DataFrame, text_column: str, shingle_w
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
     sets = cut(_shingle_sets(docs, cut(texts.join(wanted, "key", "left_semi").select("text_hash").distinct()), text_column, shingle_words))
     roots = connected_components(_verified(pairs, sets, similarity))
-    placed = member.select("token", "n", "key").join(roots, F.col("key") == F.col("node"), "left").select("token", "n", "key", F.coalesce("root", "key").alias("root"))
-    mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    more = connected_components(_across(placed.join(mixed, "token", "left_semi"), sets, similarity)).toDF("_low", "_high")
+    placed = member.join(roots, F.col("key") == F.col("node"), "left").select("token", "key", "leader", F.coalesce("root", "key").alias("root"))
+    of_leader = F.max(F.when(F.col("key") == F.col("leader"), F.col("root"))).alias("first")
+    mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), of_leader).where("low <> high").select("token", "first")
+    more = connected_components(_across(placed.join(mixed, "token"), sets, similarity)).toDF("_low", "_high")
     known = roots.join(more, F.col("root") == F.col("_low"), "left").select("node", F.coalesce("_high", "root").alias("root"))
     alone = more.join(roots, F.col("_low") == F.col("node"), "left_anti").select(F.col("_low").alias("node"), F.col("_high").alias("root"))
     return known.unionByName(alone)
