@@ -505,7 +505,7 @@ def components(spark, sf):
     return parts.select("slide_id", *[F.round(F.abs(F.col("v")[i]), 4).alias(f"pc{i + 1}") for i in range(3)], F.lit(round(shares[0], 6)).alias("share1"))
 
 
-def _sweep(spark, sf, ranker):
+def _ranked_sweep(spark, sf, ranker):
     """(scores, rankings) of a logistic sweep over 3 folds for every count of features."""
     fm, labels = I.feature_matrix(spark, sf), I.sample_labels(spark, sf)
     folds = FO.stratified_folds(labels.select("slide_id", "label", F.col("slide_id").alias("sample_ord")), 3)
@@ -516,7 +516,7 @@ def _sweep(spark, sf, ranker):
 @query("cv1_sweep")
 def sweep(spark, sf):
     """Mann-Whitney ranking and logistic regression over 3 folds for every count of features; the written report."""
-    scores, rankings, every = _sweep(spark, sf, CV.mann_whitney)
+    scores, rankings, every = _ranked_sweep(spark, sf, CV.mann_whitney)
     path = fresh_path(shared_dir(spark), "report")
     CV.write_report(scores, rankings, every, path)
     kinds = "feature string, count bigint, score double, best_k int, best_mean double, all_mean double"
@@ -526,18 +526,18 @@ def sweep(spark, sf):
 @query("cv1_sweep_mrmr")
 def sweep_mrmr(spark, sf):
     """Scores by fold and count of features, ranked by relevance over redundancy."""
-    return rounded(_sweep(spark, sf, CV.mrmr)[0], "score")
+    return rounded(_ranked_sweep(spark, sf, CV.mrmr)[0], "score")
 
 
 @query("cv1_sweep_groups")
 def sweep_groups(spark, sf):
     """Scores by fold and count of features, ranked by how long they stand for their Ward cluster."""
-    return rounded(_sweep(spark, sf, CV.group_ranker("ward"))[0], "score")
+    return rounded(_ranked_sweep(spark, sf, CV.group_ranker("ward"))[0], "score")
 
 
 @query("cv1_sweep_boruta")
 def sweep_boruta(spark, sf):
     """One score per fold: the model on all features that Boruta confirms on the other folds; no row for a fold without any."""
-    scores, rankings, _ = _sweep(spark, sf, CV.boruta_ranker(rounds=100, max_depth=1, trees=None, seed=0))
+    scores, rankings, _ = _ranked_sweep(spark, sf, CV.boruta_ranker(rounds=100, max_depth=1, trees=None, seed=0))
     last = rankings.groupBy("fold").agg(F.max("rank").alias("k"))
     return rounded(scores.join(last, ["fold", "k"]), "score")
