@@ -1,19 +1,22 @@
 """Nearest-neighbour distances between cell classes of one region.
 
-A region may hold millions of cells, so no plan here pairs all sources with all targets. Both sides
-are reduced to distinct positions and summarised in a pyramid of grid squares with tight bounding
-boxes. Starting at the coarsest squares, pairs of squares are refined level by level and a
+A region may hold millions of cells, so no plan here pairs all sources with all targets. Regions of few cells are
+searched whole, one after the other, by the tasks they are dealt to. Of larger ones both sides are reduced to distinct
+positions and summarised in a pyramid of grid squares with tight bounding boxes. Starting at the coarsest squares, pairs of squares are refined level by level and a
 target square is dropped once its best case is worse than another square's worst case. Only
 surviving leaf squares, which hold a bounded number of distinct positions, meet point by point.
 The result is exact whatever the density.
 """
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytolake.functions import geometry as G
+from cytolake.functions.joins import counted_side
 from cytolake.functions.ordering import last_value_before
 from cytolake.functions.summary import STATS, distribution_summary
 from cytolake.operators.cells import lookup_runs
@@ -24,6 +27,10 @@ from cytolake.schema import DISTANCE_CLASSES, DOWN_FACTOR
 LEAF_BITS = 5  # leaf squares of 32 px
 STEP_BITS = 2  # each level is 4 times coarser
 
+#: cells of a region that a task compares with each other directly, and pairs it holds at once
+DIRECT = 4096
+PAIRS = 1 << 20
+
 _G = ["slide_id", "region_id"]
 _TRUNC = ["x0", "x1", "y0", "y1"]
 _RAW = ["rx0", "rx1", "ry0", "ry1"]
@@ -134,23 +141,86 @@ def _positions(located: DataFrame, box: bool) -> tuple[DataFrame, DataFrame]:
     return sources.select("*", *square), targets
 
 
+def _region_search(classes: Sequence[int], box: bool) -> Callable[[pa.Table], pa.Table]:
+    """The nearest targets of one region's cells ``(cell_ord, cell_type, x, y)``, with ``rx, ry, step_x, step_y`` by boxes."""
+    ordered = sorted(set(classes))
+
+    def search(region: pa.Table) -> pa.Table:
+        column = lambda name: region.column(name).to_numpy()
+        kind, x, y = column("cell_type"), column("x"), column("y")
+        order = np.argsort(kind, kind="stable")
+        starts = np.searchsorted(kind[order], [*ordered, ordered[-1] + 1])
+        held = [(c, a, b) for c, a, b in zip(ordered, starts, starts[1:]) if a < b]
+        found = []
+        for i, (_, first, last) in enumerate(held[:-1]):
+            begin = held[i + 1][1]
+            others, sides = order[begin:], [a - begin for _, a, _ in held[i + 1 :]]
+            step = max(1, PAIRS // len(others))
+            for at in range(first, last, step):
+                own = order[at : min(at + step, last)]
+                dx, dy = x[own, None] - x[others], y[own, None] - y[others]
+                d2 = dx * dx + dy * dy
+                if box:
+                    reach = [np.abs(column(r)[own, None] - t[others]) / column(s)[0] for r, t, s in (("rx", x, "step_x"), ("ry", y, "step_y"))]
+                    # the ratio is rounded up once it is rounded to nine decimals
+                    m = np.maximum(np.floor(np.maximum(*reach) - 5e-10) + 1, 1)
+                    least = np.minimum.reduceat(m, sides, axis=1)
+                    widths = np.diff([*sides, len(others)])
+                    d2 = np.where(m == np.repeat(least, widths, axis=1), d2, np.iinfo(np.int64).max)
+                best = np.minimum.reduceat(d2, sides, axis=1)
+                found.append((np.repeat(own, len(sides)), np.tile([c for c, _, _ in held[i + 1 :]], len(own)), best.ravel()))
+        rows, target, best = (np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, np.int64),) * 3
+        answer = region.select([*_G, "cell_ord", "cell_type"]).take(pa.array(rows))
+        answer = answer.rename_columns([*_G, "cell_ord", "source"])
+        answer = answer.append_column("target", pa.array(target, pa.int32()))
+        return answer.append_column("dist", pa.array(np.sqrt(best.astype(float)), pa.float64()))
+
+    return search
+
+
+def _nearest_direct(located: DataFrame, classes: Sequence[int], box: bool) -> DataFrame:
+    """Answers of regions that hold at most ``DIRECT`` cells each: one shuffle by region."""
+    raw = ["cx as rx", "cy as ry", "step_x", "step_y"] if box else []
+    lean = located.select(
+        *_G, "cell_ord", F.col("cell_type").cast("int").alias("cell_type"), G.truncated(F.col("cx")).alias("x"), G.truncated(F.col("cy")).alias("y"),
+        *[F.expr(c) for c in raw],
+    )
+    kinds = dict(lean.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*_G, "cell_ord"]) + ", source int, target int, dist double"
+    return lean.groupBy(*_G).applyInArrow(_region_search(classes, box), schema)
+
+
 def nearest_targets(
     located: DataFrame,
     classes: Sequence[int] = DISTANCE_CLASSES,
     boxes: DataFrame | None = None,
     stored: bool = False,
+    direct: int = DIRECT,
 ) -> DataFrame:
     """Nearest cell of each higher class in the same region, one row per source cell and target class.
 
     Without ``boxes`` the true nearest distance. With ``boxes`` (see :func:`search_boxes`) the answer
     of an expanding-box search: the nearest target within the first box that holds any.
-    Sources without a target in their region have no row. ``classes`` limits both roles. ``stored`` says that ``located`` is
-    a checkpoint or a table already, which is not written once more.
+    Sources without a target in their region have no row; cells without a position or region play no part. ``classes`` limits both roles. ``stored`` says that ``located`` is
+    a checkpoint or a table already, which is not written once more. Regions of up to ``direct`` cells are searched whole.
     """
     box = boxes is not None
-    chosen = located.where(F.col("cell_type").isin(list(classes)))
+    chosen = located.where(F.col("cell_type").isin(list(classes))).dropna(subset=[*_G, "cx", "cy"])
     # both roles and the final answer start from these rows
     located = chosen if stored and not box else cut(chosen.join(boxes, _G) if box else chosen)
+    sizes = located.groupBy(*_G).agg(F.count(F.lit(1)).alias("_cells"))
+    largest = sizes.agg(F.max("_cells")).first()[0] or 0
+    if largest <= direct:
+        return _nearest_direct(located, classes, box)
+    crowded = cut(sizes.where(F.col("_cells") > direct).drop("_cells"))
+    rows = crowded.count()
+    small = located.join(counted_side(crowded, rows), _G, "left_anti")
+    large = cut(located.join(counted_side(crowded, rows), _G, "left_semi"))
+    return _nearest_direct(small, classes, box).unionByName(_nearest_by_squares(large, box))
+
+
+def _nearest_by_squares(located: DataFrame, box: bool) -> DataFrame:
+    """The same of regions of any size, from stored rows."""
     sources, targets = _positions(located, box)
     reach = targets.agg(F.max(F.greatest(F.abs("x"), F.abs("y")))).first()[0] or 0
     levels = 0
