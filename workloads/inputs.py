@@ -11,11 +11,21 @@ MASK_SIDE = 100
 DOWN = 32
 TILE_SIDE = 20
 
+#: pixels that a task makes
+TASK_PIXELS = 4_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _dealt(rows: DataFrame, key: str, pixels: int) -> DataFrame:
+    """Rows dealt to as many tasks as the ``pixels`` made of each of them ask for: a table of short rows is one split, whose task would
+    make and count the pixels of all."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() * pixels // TASK_PIXELS))
+    return rows.repartition(tasks, key)
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One cell per line item; the slide is its supplier, the outline a rectangle."""
     li = table(spark, sf_dir, "lineitem")
@@ -58,7 +68,8 @@ def raw_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s_suppkey").alias("slide_id"), (F.col("s_suppkey") % 20).cast("int").alias("s")
     )
     side = F.sequence(F.lit(0), F.lit(MASK_SIDE - 1))
-    px = slides.select("*", F.explode(side).alias("row")).select("*", F.explode(side).alias("col"))
+    dealt = _dealt(slides, "slide_id", MASK_SIDE * MASK_SIDE)
+    px = dealt.select("*", F.explode(side).alias("row")).select("*", F.explode(side).alias("col"))
     s, r, c = F.col("s"), F.col("row"), F.col("col")
     first = r.between(10 + s % 5, 44 + s % 7) & c.between(F.lit(15), 50 + s)
     second = r.between(60, 85) & c.between(20 + 2 * (s % 10), F.lit(80))
@@ -72,7 +83,8 @@ def tile_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey").alias("tile_id"), (F.col("p_size") % 4).cast("int").alias("sh")
     )
     side = F.sequence(F.lit(0), F.lit(TILE_SIDE - 1))
-    px = parts.select("*", F.explode(side).alias("row")).select("*", F.explode(side).alias("col"))
+    dealt = _dealt(parts, "tile_id", TILE_SIDE * TILE_SIDE)
+    px = dealt.select("*", F.explode(side).alias("row")).select("*", F.explode(side).alias("col"))
     r, c, sh, t = F.col("row"), F.col("col"), F.col("sh"), F.col("tile_id")
     inst = lambda cc: (F.floor(r / 10) * 2 + F.floor(cc / 10) + 1).cast("int")
     px = px.select(
