@@ -2,10 +2,12 @@
 
 A plain window over a group sorts that group in a single task. These helpers cut each
 group into value buckets first, so one group holding a third of the table is
-spread over many tasks and only per-bucket totals are put in order per group.
+spread over many tasks and only per-bucket totals are put in order per group. Where all groups are small, a plain window does.
 """
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ from cytolake.runtime import cut
 #: buckets of a group at first, and rows of a bucket beyond which a group gets more of them
 BUCKETS = 64
 BUCKET_ROWS = 1_000_000
+#: rows of the largest group up to which a plain window orders all of them
+PLAIN_ROWS = 10_000
 
 
 def _bucket_bounds(df: DataFrame, group: list[str], order: str, buckets: int) -> DataFrame:
@@ -32,6 +36,18 @@ def _bucket_bounds(df: DataFrame, group: list[str], order: str, buckets: int) ->
     return (bounds_of(wanted) if wanted > buckets else bounds).drop("_rows")
 
 
+def _small_groups(df: DataFrame, keys: list[str]) -> bool:
+    if not keys:
+        return False
+    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).agg(F.max("_rows"))
+    return (largest.first()[0] or 0) <= PLAIN_ROWS
+
+
+def _without_null(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a group with a null among its keys meet no bucket."""
+    return df.where(reduce(and_, [F.col(k).isNotNull() for k in keys]))
+
+
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],
@@ -46,6 +62,9 @@ def running_totals(
     and are materialised, so that every branch of the plan cuts at the same places.
     """
     keys = list(keys)
+    if _small_groups(df, keys):
+        whole = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return _without_null(df, keys).withColumns({n: F.sum(c).over(whole) for n, c in totals.items()})
     anchored = df.withColumn("_all", F.lit(1)) if not keys else df
     group = keys or ["_all"]
     bounds = _bucket_bounds(anchored, group, order, buckets)
@@ -85,6 +104,9 @@ def last_value_before(
 ) -> DataFrame:
     """Carry the last non-null ``value`` forward along ``order`` (this row included)."""
     keys = list(keys)
+    if _small_groups(df, keys):
+        whole = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return _without_null(df, keys).withColumn(name, F.last(value, ignorenulls=True).over(whole))
     bounds = _bucket_bounds(df, keys, order, buckets)
     tagged = df.join(bounds, keys).withColumn(
         "_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(order)))
