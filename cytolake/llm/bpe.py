@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from cytolake.llm.blocks import block_documents, block_words, numbers_of
 from cytolake.llm.text import as_bytes
-from cytolake.llm.workers import give_back, tidy
+from cytolake.llm.workers import tidy
 
 BLOCK_BYTES = 32 << 20
 
@@ -194,32 +194,56 @@ def encode_documents(
         .mapInArrow(tidy(encode), "block bigint, number int, piece binary")
     )
 
-    def place(words: pa.Table, documents: pa.Table) -> pa.Table:
-        """Ids of a block's words put in the places of the words in its documents."""
-        number = words.column("number").to_numpy()
-        column = words.column("piece").combine_chunks() if words.num_rows else pa.array([], pa.binary())
-        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
-        flat = np.frombuffer(column.buffers()[2] or b"", small) if len(column) else np.zeros(0, small)
-        begin, length = np.zeros(len(number) + 1, np.int64), np.zeros(len(number) + 1, np.int64)
-        begin[number], length[number] = offsets[:-1] // flat.itemsize, np.diff(offsets) // flat.itemsize
-        ids = []
-        for packed in documents.column("numbers").to_pylist():
-            own = numbers_of(packed)
-            many = length[own]
-            ends = np.cumsum(many)
-            total = int(ends[-1]) if len(ends) else 0
-            at = np.repeat(begin[own] - (ends - many), many) + np.arange(total)
-            ids.append(flat[at].astype("<u4").tobytes())
-        out = {"doc_id": documents.column("id"), "n_tokens": pa.array([len(i) // 4 for i in ids], pa.int64()), "ids": pa.array(ids, pa.binary())}
-        if with_decoded:
-            out["decoded"] = pa.array([decoded(i, known.value) for i in ids], pa.string())
-        give_back()
-        return pa.table(out)
-
-    documents = block_documents(rows, split, block_bytes)
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by block, its words before its documents: ids of the words put in their places, a batch of documents at a time."""
+        block, numbers, found = None, [], []
+        begin = length = flat = None
+        for batch in batches:
+            at = batch.column("at").to_numpy()
+            for start, end in _runs(at):
+                rows = batch.slice(start, end - start)
+                if at[start] >> 1 != block:
+                    block, numbers, found, flat = at[start] >> 1, [], [], None
+                if not at[start] & 1:
+                    numbers.append(rows.column("number").to_numpy())
+                    found += rows.column("data").to_pylist()
+                    continue
+                if flat is None:
+                    begin, length, flat = _laid_out(np.concatenate([*numbers, np.zeros(0, np.int64)]), found, small)
+                    numbers, found = [], []
+                ids = []
+                for packed in rows.column("data").to_pylist():
+                    own = numbers_of(packed)
+                    many = length[own]
+                    ends = np.cumsum(many)
+                    total = int(ends[-1]) if len(ends) else 0
+                    ids.append(flat[np.repeat(begin[own] - (ends - many), many) + np.arange(total)].astype("<u4").tobytes())
+                out = {"doc_id": rows.column("number"), "n_tokens": pa.array([len(i) // 4 for i in ids], pa.int64()), "ids": pa.array(ids, pa.binary())}
+                if with_decoded:
+                    out["decoded"] = pa.array([decoded(i, known.value) for i in ids], pa.string())
+                yield pa.RecordBatch.from_pydict(out)
+
+    # one column tells block and kind, so rows sort by a single number; a word's number and a document's id share a column
+    words = pieces.select((F.col("block") * 2).alias("at"), F.col("number").cast("bigint").alias("number"), F.col("piece").alias("data"))
+    documents = block_documents(rows, split, block_bytes).select((F.col("block") * 2 + 1).alias("at"), F.col("id").alias("number"), F.col("numbers").alias("data"))
     schema = "doc_id bigint, n_tokens bigint, ids binary" + (", decoded string" if with_decoded else "")
-    return pieces.groupBy("block").cogroup(documents.groupBy("block")).applyInArrow(place, schema)
+    # documents come first: blocks are named after the numbers of the scan's tasks, which a union shifts for those that follow
+    return documents.union(words).repartition(F.shiftright("at", 1)).sortWithinPartitions("at").mapInArrow(tidy(place), schema)
+
+
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the runs of equal values."""
+    starts = [0, *(np.flatnonzero(np.diff(values)) + 1).tolist()] if len(values) else []
+    return list(zip(starts, [*starts[1:], len(values)]))
+
+
+def _laid_out(number: np.ndarray, pieces: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By number of a word where its ids begin and how many they are, and the ids of all words."""
+    flat = np.frombuffer(b"".join(pieces), kind)
+    size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // flat.itemsize
+    begin, length = np.zeros(len(number) + 1, np.int64), np.zeros(len(number) + 1, np.int64)
+    begin[number], length[number] = np.cumsum(size) - size, size
+    return begin, length, flat
 
 
 def byte_alphabet() -> dict[str, int]:

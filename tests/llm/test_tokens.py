@@ -55,6 +55,23 @@ def test_ids_equal_the_library_on_documents(spark, library):
         assert got[r.doc_id].decoded == library.decode(ids, skip_special_tokens=False)
 
 
+def test_blocks_of_many_tasks_are_encoded_in_batches(spark, library, tmp_path):
+    """Small blocks of several scan tasks; no task takes or gives a block in one piece."""
+    path = str(tmp_path / "docs")
+    spark.read.parquet(f"{SMALL}/documents.parquet").repartition(5, "doc_id").write.parquet(path)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # a scan task for each file
+    try:
+        docs = spark.read.parquet(path)
+        assert docs.rdd.getNumPartitions() == 5
+        encoded = bpe.encode_documents(docs, PATH, block_bytes=50_000, with_decoded=True)
+        assert "CoGroups" not in encoded._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in encoded.collect())
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert got == sorted((r.doc_id, tuple(library.encode(r.text, add_special_tokens=False).ids)) for r in docs.collect())
+
+
 def test_decoding_ids_that_form_no_text(spark, library):
     rows = [(1, np.array([160, 50256, 99, 4_000_000_000], "<u4").tobytes()), (2, None), (3, b"")]
     got = {r.k: r.decoded for r in bpe.decode_documents(spark.createDataFrame(rows, "k int, ids binary"), PATH).collect()}
