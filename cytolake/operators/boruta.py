@@ -6,12 +6,12 @@ aggregate per level: every task adds up class weights by (round, tree, node, fea
 bin of each row of sums and the best row of each node. Only chosen splits reach the driver.
 
 Rounds hang on each other only through rejections, as rejected features leave the forest. A batch is grown as if there were none; if a round
-rejects a feature, the later rounds of the batch are thrown away and grown again without it. The result is that of one
-round after the other.
+rejects a feature, the later rounds of the batch are thrown away and grown again without it. Where a round is work for the whole
+cluster, a batch ends with the first round that can reject one, so none is thrown away. The result is that of one round after the other.
 """
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -86,6 +86,18 @@ def decide(hits: dict[str, int], decision: dict[str, str], done: int, alpha: flo
     return out
 
 
+def open_rounds(hits: dict[str, int], decision: dict[str, str], done: int, alpha: float, rounds: int) -> int:
+    """The first round, at most ``rounds``, after which a feature can be rejected or none be tentative, whatever the rounds up to it find."""
+    left = [f for f in hits if decision[f] == "tentative"]
+
+    def first(passes: Callable[[str, int], float], f: str) -> int:
+        return next((d for d in range(done + 1, rounds) if passes(f, d) <= alpha / d), rounds)
+
+    rejected = min(first(lambda f, d: binomial_tail(d - hits[f], d), f) for f in left)  # no hits from here on
+    confirmed = max(first(lambda f, d: binomial_tail(hits[f] + d - done, d), f) for f in left)  # hits only
+    return min(rejected, confirmed)
+
+
 # --- layout -----------------------------------------------------------------------------------
 
 
@@ -150,7 +162,7 @@ def _layout(columns: DataFrame, labels: DataFrame, blocks: int, samples: int, ac
     # the blocks of a round meet in a few tasks, as each of these sends the sums of all trees of the round
     spread = -(-2 * columns.sparkSession.sparkContext.defaultParallelism // len(rounds))
     both = shadows.join(real, "block").join(labels.select("block", "labels"), "block")
-    both = both.repartition(len(rounds) * spread, "round", F.col("block") % spread)
+    both = both.repartitionById(len(rounds) * spread, ((F.col("round") - rounds[0]) * spread + F.col("block") % spread).cast("int"))
     return cut(both.select("round", "block", "labels", bytes_of("real").alias("real"), bytes_of("shadows").alias("shadows")))
 
 
@@ -175,15 +187,14 @@ def _nodes(matrix: np.ndarray, splits: dict[int, tuple[int, int]], depth: int) -
     return at
 
 
-def level_sums(
-    matrix: np.ndarray, labels: np.ndarray, weights: np.ndarray, at: np.ndarray, frontier: np.ndarray, candidates: np.ndarray, bins: int
-) -> np.ndarray:
-    """Weights by (node of the frontier, candidate column, bin, class) of one tree."""
+def level_sums(cells: np.ndarray, weights: np.ndarray, at: np.ndarray, frontier: np.ndarray, candidates: np.ndarray, bins: int) -> np.ndarray:
+    """Weights by (node of the frontier, candidate column, bin, class) of one tree; ``cells`` has twice the bin plus the class of (column, sample)."""
+    if frontier[0] == 1:  # the root holds all samples
+        return np.stack([np.bincount(cells[c], weights, bins * 2) for c in candidates[0].tolist()])[None]
     held = np.flatnonzero((weights > 0) & np.isin(at, frontier))
     node = np.searchsorted(frontier, at[held])
     tries = candidates.shape[1]
-    places = matrix[candidates[node].T, held[None, :]].astype(np.int64)  # (tries, samples)
-    keys = ((node[None, :] * tries + np.arange(tries)[:, None]) * bins + places) * 2 + labels[held][None, :]
+    keys = (node[None, :] * tries + np.arange(tries)[:, None]) * (bins * 2) + cells[candidates[node].T, held[None, :]]  # (tries, samples)
     size = len(frontier) * tries * bins * 2
     return np.bincount(keys.ravel(), np.broadcast_to(weights[held], keys.shape).ravel(), size).reshape(len(frontier), tries, bins * 2)
 
@@ -264,11 +275,12 @@ class Forests:
                         continue
                     matrix = self._matrix(r, block, *(x.values.to_numpy().reshape(-1, len(labels)) for x in (real, shadows)))
                     weight_of = np.array(self.balance)[labels]
+                    cells = matrix.astype(np.int64) * 2 + labels
                     for t, nodes in of_round[r]:
                         if (r, t) not in tries:
                             tries[r, t] = np.stack([tried(self.seed, r, t, int(node), self.columns) for node in nodes])
                         weights = drawn(self.seed, r, t, block, len(labels)) * weight_of
-                        now = level_sums(matrix, labels, weights, _nodes(matrix, done[r, t], depth), nodes, tries[r, t], self.bins)
+                        now = level_sums(cells, weights, _nodes(matrix, done[r, t], depth), nodes, tries[r, t], self.bins)
                         total[r, t] = total[r, t] + now if (r, t) in total else now
             grown = list(total)
             for start in range(0, len(grown), TREES_PER_BATCH):  # many rows to a batch, as each has many columns
@@ -322,7 +334,10 @@ def boruta(
     hits, decision, done, together = dict.fromkeys(names, 0), dict.fromkeys(names, "tentative"), 0, batch
     while done < rounds and "tentative" in decision.values():
         active = tuple(i for i, f in enumerate(names) if decision[f] != "rejected")
-        numbers = list(range(done + 1, min(rounds, done + together) + 1))
+        last = min(rounds, done + together)
+        if blocks >= labelled.sparkSession.sparkContext.defaultParallelism:  # a round fills the cluster: none is grown in vain
+            last = min(last, open_rounds(hits, decision, done, alpha, rounds))
+        numbers = list(range(done + 1, last + 1))
         size = trees or forest_size(2 * len(active), max_depth)
         forests = Forests(active, balance, seed, size, max_depth, bins)
         found = forests.importances(_layout(columns, labels, blocks, n, active, numbers, seed), numbers)

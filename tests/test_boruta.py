@@ -86,6 +86,41 @@ def test_result_does_not_hang_on_batches(samples):
     assert runs[0] == runs[1]
 
 
+def test_no_round_is_grown_in_vain_where_a_round_fills_the_cluster(samples, monkeypatch):
+    """Many blocks: every round grown counts, and the result is that of batches of one round."""
+    grown, importances = [], B.Forests.importances
+
+    def counted(self, layout, rounds):
+        grown.extend(rounds)
+        return importances(self, layout, rounds)
+
+    monkeypatch.setattr(B.Forests, "importances", counted)
+    run = lambda batch: sorted(map(tuple, B.boruta(samples, rounds=14, max_depth=1, trees=20, seed=3, batch=batch, block_samples=10).collect()))
+    found = run(10)
+    assert any(r[3] == "rejected" for r in found)
+    assert grown == list(range(1, found[0][2] + 1))
+    assert run(1) == found
+
+
+def test_open_rounds_bound_the_next_rejection():
+    names, dice = ["a", "b", "c"], np.random.default_rng(1)
+    for _ in range(200):
+        hits, decision, done = dict.fromkeys(names, 0), dict.fromkeys(names, "tentative"), 0
+        while done < 40 and "tentative" in decision.values():
+            first = B.open_rounds(hits, decision, done, 0.05, 40)
+            assert done < first <= 40
+            while done < first:
+                done += 1
+                before = dict(decision)
+                for f, p in zip(names, (0.02, 0.5, 0.98)):
+                    hits[f] += int(decision[f] != "rejected" and dice.random() < p)
+                decision = B.decide(hits, decision, done, 0.05)
+                changed = [f for f in names if decision[f] == "rejected" != before[f]] or "tentative" not in decision.values()
+                assert not changed or done == first
+                if changed:
+                    break
+
+
 def test_shadows_hold_the_values_of_their_feature(spark, samples):
     """Blocks of unequal size: every shadow is a permutation of the feature over all samples."""
     names = [f"f{j}" for j in range(8)]
