@@ -366,8 +366,13 @@ def layers_from_channels(channels: DataFrame, background: int) -> DataFrame:
 
 
 def stack_layers(rgb: DataFrame, instances: DataFrame, classes: DataFrame) -> DataFrame:
-    """Training rows: colour, instance and class of every pixel all three layers have."""
+    """Training rows: colour, instance and class of every pixel all three layers have.
+
+    Layers that are dealt by tile into equally many partitions are joined where they are: without the setting a join by pixel
+    would deal all pixels again.
+    """
     at = ["tile_id", "row", "col"]
+    rgb.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     return rgb.join(instances, at).join(classes, at)
 
 

@@ -35,10 +35,13 @@ def apply_session_rules(spark: SparkSession, broadcast_limit: str = "10MB") -> N
     child is a checkpoint whose partitions were coalesced and the other is not.
 
     Batches that go to Python hold few rows, as a row can be a whole text.
+
+    Joins deal by all their keys, so that a large slide is spread; `stack_layers` alone turns that off.
     """
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", broadcast_limit)
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "true")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 

@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from cytolake.operators.segmentation import stack_layers
+from cytolake.runtime import apply_session_rules
 from workloads import inputs as I
 
 SMALL = "/root/testdata/sf0.001"
@@ -21,3 +23,21 @@ def test_tasks_follow_the_pixels(spark, monkeypatch, view, key):
     # a key's pixels stay in one task, so counting them needs no further shuffle
     plan = many.groupBy(key, "row").agg(F.count("*"))._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_layers_of_dealt_tiles_are_joined_where_they_are(spark):
+    at = ["tile_id", "row", "col"]
+    px = I.tile_pixels(spark, SMALL)
+    layers = [px.select(*at, F.col(c).alias(n)) for c, n in (("row", "r"), ("true_inst", "inst"), ("true_class", "type"))]
+    apply_session_rules(spark)
+    expected = layers[0].join(layers[1], at).join(layers[2], at)
+    assert expected._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("Exchange hashpartitioning(tile_id") > 3
+    try:
+        stacked = stack_layers(*layers)
+        plan = stacked._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+        # parts are dealt by tile for each layer, pixels are not dealt again
+        assert plan.count("Exchange hashpartitioning(tile_id") == 3
+        assert stacked.count() == px.count()
+        assert stacked.where("tile_id < 20").exceptAll(px.where("tile_id < 20").select(*at, F.col("row").alias("r"), "true_inst", "true_class")).isEmpty()
+    finally:
+        apply_session_rules(spark)
