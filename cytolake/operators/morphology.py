@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cytolake.functions.summary import STATS, distribution_summary
 from cytolake.operators.cells import BAND, TUMOUR, populations, wanted
+from cytolake.runtime import cut
 from cytolake.schema import BAND_CLASSES, DOWN_FACTOR, TUMOUR_CLASSES
 
 # Measure column -> prefix of its statistics in feature names.
@@ -38,9 +39,14 @@ def morphology(
     band_classes: Sequence[int] | None = BAND_CLASSES,
     down: int = DOWN_FACTOR,
 ) -> DataFrame:
-    """Morphology straight from measured cells."""
+    """Morphology straight from measured cells.
+
+    The summaries look at their values more than once, so the cells of the populations are stored: else each look would measure
+    all cells, make the layers and look the cells up again.
+    """
     lean = measured.select("slide_id", "cx", "cy", "cell_type", *MEASURES)
-    return summarise_tagged(populations(lean, layers, "inner", down), measured, tumour_classes, band_classes)
+    members = populations(lean, layers, "inner", down).where(wanted(tumour_classes, band_classes or []))
+    return summarise_tagged(cut(members.drop("cx", "cy")), measured, tumour_classes, band_classes)
 
 
 def summarise_tagged(

@@ -11,9 +11,11 @@ from cytolake.functions import text as TX
 from cytolake.operators import cells as C
 from cytolake.operators import features as FT
 from cytolake.operators import mask as M
+from cytolake.operators import morphology as morphology_module
 from cytolake.operators import regions as R
 from cytolake.operators.morphology import morphology
 from cytolake.plans import slide_features as P
+from cytolake.runtime import cut
 from cytolake.sources import cells as SC
 from cytolake.sources import masks as SM
 from cytolake.sources import sinks as K
@@ -328,3 +330,13 @@ def test_flagship_plan_reads_cells_once_and_keeps_outlines_in_the_scan(spark, ma
     assert plan.count("lineitem.parquet") == 1
     assert not any("contour" in line for line in plan.splitlines() if "Exchange" in line)
     assert inputs.cells(spark, "/root/testdata/sf0.001").columns[-1] == "contour"
+
+
+def test_morphology_stores_the_cells_of_the_populations(spark, cells7, monkeypatch):
+    """Values are looked at more than once: they are read back, not measured and looked up again."""
+    looked_up = []
+    monkeypatch.setattr(morphology_module, "cut", lambda df: looked_up.append(df.columns) or cut(df))
+    layers = C.population_layers(spark.createDataFrame([("s", r, 20, 79) for r in range(20, 80)], "slide_id string, row int, c0 int, c1 int"))
+    plan = morphology(C.with_measures(cells7), layers, [1, 2, 3], None, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert looked_up == [["slide_id", "cell_type", "area", "circularity", "aspect", "population"]]
+    assert "zip_with" not in plan
