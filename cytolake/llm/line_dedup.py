@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from cytolake.llm.joins import broadcast_if_few
 from cytolake.llm.text import as_bytes, lowered
-from cytolake.llm.workers import tidy
+from cytolake.llm.workers import tidy, tidy_series
 from cytolake.runtime import cut
 
 #: odd multipliers of the two polynomial hashes
@@ -200,6 +200,7 @@ def drop_lines(
     dropped = broadcast_if_few(dropped, many)
 
     @F.pandas_udf("string")
+    @tidy_series
     def rest(texts: pd.Series, gone: pd.Series) -> pd.Series:
         out = []
         for text, numbers in zip(texts, gone):

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytolake.llm.text import as_bytes
+from cytolake.llm.workers import tidy_series
 from cytolake.runtime import cut
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -245,6 +246,7 @@ def mixed_documents(
     plan = plan_mix(docs, text_column=text_column, block_words=block_words, carry_rows=True, **options)
 
     @F.pandas_udf("array<string>")
+    @tidy_series
     def passages(
         text: pd.Series, start: pd.Series, size: pd.Series, width: pd.Series, blocks: pd.Series, full: pd.Series, extra: pd.Series, turn: pd.Series, shift: pd.Series
     ) -> pd.Series:
