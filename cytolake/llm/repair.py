@@ -44,6 +44,7 @@ Costs = tuple[int, int, int, int]
 SEGMENT = "conv {kind}, block bigint, first bigint, codes array<tinyint>, opens boolean, more boolean, tail array<int>, head array<int>, base bigint"
 STEP = "struct<row:bigint,number:int,edit:string,role:string,code:int>"
 PATH = "conv {kind}, block bigint, entry int, leaves int, steps array<" + STEP + ">"
+_STEP = pa.struct([("row", pa.int64()), ("number", pa.int32()), ("edit", pa.string()), ("role", pa.string()), ("code", pa.int32())])
 
 
 def _relaxed(costs: Costs) -> Costs:
@@ -118,6 +119,13 @@ class Backward:
         return out, state
 
 
+def _slices(batches: Iterator[pa.RecordBatch], most: int = 64) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few segments: a segment's edits are many times its codes."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, most):
+            yield batch.slice(start, most)
+
+
 def _placed(turns: DataFrame, block_rows: int) -> DataFrame:
     """The rows in order: ``(conv, turn, role, text, row, block)``, stored.
 
@@ -170,70 +178,94 @@ def _segments(rows: DataFrame) -> DataFrame:
     )
 
 
-def stitched(rows: DataFrame) -> DataFrame:
-    """The segments with the costs behind (``tail``) and before (``head``, ``base``) them; no guess is left."""
+def _few(parts: DataFrame, many: int) -> DataFrame:
+    """Segments in as many tasks as work at once, or more of up to 64 segments each."""
+    return parts.coalesce(max(parts.sparkSession.sparkContext.defaultParallelism, -(-many // 64)))
+
+
+def _path_columns(segments: list[tuple]) -> dict[str, pa.Array]:
+    """Columns ``leaves`` and ``steps`` of ``(first, codes, (path, state))`` segments, or of None."""
+    steps = [
+        own and [  # what is inserted at the end stands behind the last row
+            dict(zip(_STEP.names, (own[0] + min(r, len(own[1]) - 1), k, e, role, own[1][r] if e != "I" else None))) for k, (r, e, role) in enumerate(own[2][0])
+        ]
+        for own in segments
+    ]
+    return {"leaves": pa.array([own and own[2][1] for own in segments], pa.int32()), "steps": pa.array(steps, pa.list_(_STEP))}
+
+
+def stitched(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The edits of conversations that lie in one block, as :func:`traced` gives them; the segments of the others with the costs
+    behind (``tail``) and before (``head``, ``base``) them, no guess left; and how many segments these are."""
     segments = _segments(rows)
-    schema = SEGMENT.format(kind=rows.schema["conv"].dataType.simpleString())
+    kind = rows.schema["conv"].dataType.simpleString()
 
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = Backward()
-        for batch in batches:
-            heads = [search.head(codes, END) for codes in batch.column("codes").to_pylist()]
+        for batch in _slices(batches):
+            told = list(zip(*[batch.column(n).to_pylist() for n in ("codes", "first", "opens", "more")]))
+            heads = [(None, None) if opens and not more else search.head(codes, END) for codes, _, opens, more in told]
+            paths = [(first, codes, search.trace(codes, END, START, more)) if opens and not more else None for codes, first, opens, more in told]
             for name, values in (("tail", [END] * len(heads)), ("head", [h for h, _ in heads])):
-                batch = batch.append_column(name, pa.array(map(list, values), pa.list_(pa.int32())))
-            yield batch.append_column("base", pa.array([b for _, b in heads], pa.int64()))
+                batch = batch.append_column(name, pa.array([v and list(v) for v in values], pa.list_(pa.int32())))
+            batch = batch.append_column("base", pa.array([b for _, b in heads], pa.int64()))
+            for name, values in ({"entry": pa.array([START] * len(told), pa.int32())} | _path_columns(paths)).items():
+                batch = batch.append_column(name, values)
+            yield batch
 
     def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = Backward()
         for batch in batches:
             names = ("codes", "tail", "want", "head", "base")
-            new = [search.again(c, tuple(t), tuple(w), tuple(h), b) for c, t, w, h, b in zip(*[batch.column(n).to_pylist() for n in names])]
-            kept = pa.RecordBatch.from_arrays([batch.column(n) for n in batch.schema.names[:6]], names=batch.schema.names[:6])
-            kept = kept.append_column("tail", batch.column("want")).append_column("head", pa.array([list(h) for h, _ in new], pa.list_(pa.int32())))
+            told = [(c, tuple(t), tuple(t if w is None else w), tuple(h), b) for c, t, w, h, b in zip(*[batch.column(n).to_pylist() for n in names])]
+            new = [search.again(*own) for own in told]  # stops at once where the costs were right
+            kept = batch.select(batch.schema.names[:6])
+            for name, values in (("tail", [own[2] for own in told]), ("head", [h for h, _ in new])):
+                kept = kept.append_column(name, pa.array(map(list, values), pa.list_(pa.int32())))
             yield kept.append_column("base", pa.array([b for _, b in new], pa.int64()))
 
-    found = cut(segments.mapInArrow(guess, schema))
-    whole, parts = found.where("opens and not more"), cut(found.where("more or not opens"))
+    schema = SEGMENT.format(kind=kind)
+    found = cut(segments.mapInArrow(guess, f"{schema}, entry int, leaves int, steps array<{STEP}>"))
+    whole = found.where("opens and not more").select("conv", "block", "entry", "leaves", "steps")
+    parts = found.where("more or not opens").drop("entry", "leaves", "steps")
+    many = parts.count()
+    parts = cut(_few(parts, many))
     while True:
-        told = cut(_beside(parts, 1, "head", "want"))
-        wrong = told.where("want is not null and want <> tail")
-        if wrong.isEmpty():
-            return whole.unionByName(parts)
-        parts = cut(told.where("want is null or want = tail").drop("want").unionByName(wrong.mapInArrow(mend, schema)))
+        told = cut(_few(_beside(parts, 1, "head", "want"), many))
+        if told.where("want <> tail").isEmpty():
+            return whole, parts, many
+        parts = cut(told.mapInArrow(mend, schema))
 
 
-def traced(segments: DataFrame) -> DataFrame:
-    """``(conv, block, entry, leaves, steps)``: the edits of every segment and the states around them."""
-    schema = PATH.format(kind=segments.schema["conv"].dataType.simpleString())
-    step = pa.struct([("row", pa.int64()), ("number", pa.int32()), ("edit", pa.string()), ("role", pa.string()), ("code", pa.int32())])
+def traced(segments: DataFrame, many: int) -> DataFrame:
+    """``(conv, block, entry, leaves, steps)``: the edits of ``many`` segments and the states around them."""
+    kind = segments.schema["conv"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = Backward()
         for batch in batches:
-            leaves, steps = [], []
-            for codes, tail, first, more, entry in zip(*[batch.column(n).to_pylist() for n in ("codes", "tail", "first", "more", "entry")]):
-                path, state = search.trace(codes, tuple(tail), entry, more)
-                last = len(codes) - 1  # what is inserted at the end stands behind the last row
-                steps.append([(first + min(r, last), k, e, role, codes[r] if e != "I" else None) for k, (r, e, role) in enumerate(path)])
-                leaves.append(state)
-            yield pa.RecordBatch.from_pydict({
-                "conv": batch.column("conv"), "block": batch.column("block"), "entry": batch.column("entry"), "leaves": pa.array(leaves, pa.int32()),
-                "steps": pa.array([[dict(zip(step.names, s)) for s in own] for own in steps], pa.list_(step)),
-            })
-
-    guessed = segments.withColumn("entry", F.lit(START))
-    whole = guessed.where("opens and not more").mapInArrow(run, schema)
-    parts = cut(guessed.where("more or not opens"))
-    found = cut(parts.mapInArrow(run, schema))
+            names = ("codes", "tail", "more", "entry", "leaves", "want")
+            told = list(zip(*[batch.column(n).to_pylist() for n in names]))
+            leaves = [old if want in (None, entry) else search.trace(codes, tuple(tail), want, more)[1] for codes, tail, more, entry, old, want in told]
+            kept = batch.select(batch.schema.names[:6])
+            kept = kept.append_column("entry", pa.array([entry if want is None else want for *_, entry, _, want in told], pa.int32()))
+            yield kept.append_column("leaves", pa.array(leaves, pa.int32()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = Backward()
+        for batch in _slices(batches):
+            told = zip(*[batch.column(n).to_pylist() for n in ("codes", "tail", "first", "more", "entry")])
+            paths = [(first, codes, search.trace(codes, tuple(tail), entry, more)) for codes, tail, first, more, entry in told]
+            yield pa.RecordBatch.from_pydict({n: batch.column(n) for n in ("conv", "block", "entry")} | _path_columns(paths))
+
+    schema = f"conv {kind}, block bigint, first bigint, codes array<tinyint>, more boolean, tail array<int>, entry int, leaves int"
+    none = F.lit(None).cast("int")
+    told = segments.select("conv", "block", "first", "codes", "more", "tail", none.alias("entry"), none.alias("leaves"), F.lit(START).alias("want"))
     while True:
-        told = cut(_beside(found, -1, "leaves", "want"))
-        wrong = told.where("want is not null and want <> entry")
-        if wrong.isEmpty():
-            return whole.unionByName(found)
-        right = wrong.select(F.col("conv").alias("_conv"), F.col("block").alias("_block"), F.col("want").alias("entry"))
-        same = F.col("conv").eqNullSafe(F.col("_conv")) & (F.col("block") == F.col("_block"))
-        redone = parts.drop("entry").join(right, same).drop("_conv", "_block").mapInArrow(run, schema)
-        found = cut(told.where("want is null or want = entry").drop("want").unionByName(redone))
+        parts = cut(told.mapInArrow(mend, schema))
+        told = cut(_few(_beside(parts, -1, "leaves", "want"), many))
+        if told.where("want <> entry").isEmpty():
+            return parts.mapInArrow(run, PATH.format(kind=kind))
 
 
 def repair(
@@ -255,7 +287,8 @@ def repair(
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     named = turns.select(F.col(conv_column).alias("conv"), F.col(turn_column).alias("turn"), text(role_column).alias("role"), text(text_column).alias("text"))
     rows = _placed(named, block_rows)
-    steps = traced(cut(stitched(rows))).select("conv", F.inline("steps")).withColumnRenamed("role", "new_role")
+    whole, parts, many = stitched(rows)
+    steps = whole.unionByName(traced(parts, many)).select("conv", F.inline("steps")).withColumnRenamed("role", "new_role")
     said = rows.select(F.col("row").alias("_row"), "turn", F.col("role").alias("_role"), "text")
     told = steps.join(said, F.col("row") == F.col("_row"))  # every step has a row, inserted ones that beside them
     own = F.col("edit") != "I"

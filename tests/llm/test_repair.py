@@ -161,3 +161,23 @@ def test_empty_and_clashing(spark):
         rows = rows.withColumn(c, F.lit("x"))
     got = repair.repair(rows).orderBy("row", "number").collect()
     assert [(r.edit, r.fault, r.role, r.text) for r in got] == [("K", "", "user", "Hello."), ("D", "duplicate", "user", "Hello."), ("I", None, "assistant", "")]
+
+
+def test_segments_of_long_conversations_stay_in_few_tasks(spark):
+    """Rounds of mending do not add tasks: before, each had one or two for every partition of a shuffle, however few the segments."""
+    rows = [(conv, t, "user" if t % 2 else "assistant", f"{t}.") for conv, n in ((1, 120), (2, 120), (3, 90), (4, 5)) for t in range(n)]
+    put = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in put}
+    try:
+        for k, v in put.items():
+            spark.conf.set(k, v)
+        turns = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("conv_id", "conv")
+        whole, parts, many = repair.stitched(repair._placed(turns, 8))
+        found = repair.traced(parts, many)
+        assert many == parts.count() == found.count() > 30
+        assert max(parts.rdd.getNumPartitions(), found.rdd.getNumPartitions()) <= max(spark.sparkContext.defaultParallelism, many // 64 + 1)
+        edits = whole.unionByName(found).groupBy("conv").agg(F.sum(F.size("steps")).alias("n"))
+        assert {r.conv: r.n for r in edits.collect()} == {c: len(plain(own)[6]) for c, own in in_order(rows).items()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
