@@ -9,7 +9,7 @@ Both tables of a block come from the same walk over the same scan, once for the
 documents have to be a plain scan of files (or a checkpoint), whose tasks give the same rows in the same order each time.
 """
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import count
 
@@ -29,15 +29,18 @@ _ARROW = {"bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
 
 def pack(numbers: np.ndarray) -> bytes:
     """Non-negative numbers as variable-length bytes, seven bits each, low bits first."""
-    numbers = np.asarray(numbers, np.uint64)
-    width = 1 + sum((numbers >> np.uint64(7 * k) > 0).astype(np.int64) for k in range(1, 10))
-    ends = np.cumsum(width)
-    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
-    for k in range(int(width.max(initial=0))):
-        own = width > k
-        value = (numbers[own] >> np.uint64(7 * k)).astype(np.uint8) & 0x7F
-        out[(ends - width)[own] + k] = value | (0x80 * (width[own] > k + 1)).astype(np.uint8)
-    return out.tobytes()
+    numbers = np.asarray(numbers)
+    most = -(-int(numbers.max(initial=0)).bit_length() // 7) or 1  # bytes of the largest
+    if most == 1:
+        return numbers.astype(np.uint8).tobytes()
+    numbers = numbers.astype(np.uint32 if most < 5 else np.uint64)
+    parts = np.empty((len(numbers), most), np.uint8)
+    used = np.empty((len(numbers), most), bool)
+    for k in range(most):
+        left = numbers >> (7 * k)
+        used[:, k] = left > 0 if k else True
+        parts[:, k] = (left & 0x7F).astype(np.uint8) | ((left > 0x7F).view(np.uint8) << 7)
+    return parts[used].tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -67,51 +70,66 @@ def _blocks(batches: Iterable[pa.RecordBatch], block_bytes: int) -> Iterator[tup
         yield base + block, rows
 
 
-def _numbered(rows: list[tuple], split: Callable[[bytes], list]) -> tuple[list, np.ndarray, list[np.ndarray]]:
-    """Distinct words of a block, most frequent first (then by first occurrence); how often each occurs; the rows' numbers.
+def _counted(rows: list[tuple], split: Callable[[bytes], list]) -> Counter:
+    """How often each word of a block occurs, in order of first occurrence."""
+    found: Counter = Counter()
+    for row in rows:
+        found.update(split(row[-1] or b""))
+    return found
 
-    Takes the texts away from ``rows``.
-    """
+
+def _order(totals: np.ndarray) -> np.ndarray:
+    """Places of the words of a block by number: most frequent first, then by first occurrence."""
+    return np.argsort(-totals, kind="stable")
+
+
+def _numbered(rows: list[tuple], split: Callable[[bytes], list]) -> list[np.ndarray]:
+    """The numbers of the words of every row. Takes the texts away from ``rows``."""
     first: defaultdict = defaultdict(count().__next__)
     texts = []
     for i, row in enumerate(rows):
-        texts.append(np.array([first[w] for w in split(row[-1] or b"")], np.int32))
+        texts.append(np.fromiter(map(first.__getitem__, split(row[-1] or b"")), np.int32))
         rows[i] = row[:-1]  # the text is not needed any more
     total = np.zeros(len(first), np.int64)
     for start in range(0, len(texts), 1000):
         total += np.bincount(np.concatenate(texts[start : start + 1000]), minlength=len(first))
-    order = np.argsort(-total, kind="stable")
+    order = _order(total)
     rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order), dtype=np.int32)
-    words = list(first)
-    return [words[i] for i in order.tolist()], total[order], [rank[t] for t in texts]
+    return [rank[t] for t in texts]
 
 
-def block_words(
-    docs: DataFrame, split: Callable[[bytes], list], block_bytes: int, counted: Callable[[tuple], bool] | None = None
-) -> DataFrame:
-    """``(block, number, word, weight)``: the distinct words of every block.
+def _word_batches(words: list, name: str, numbers: np.ndarray, block: int | None = None) -> Iterator[pa.RecordBatch]:
+    words = [w.encode() for w in words] if words and isinstance(words[0], str) else words
+    for start in range(0, len(words), 50_000):
+        own = pa.array(words[start : start + 50_000], pa.binary())
+        named = {} if block is None else {"block": pa.array(np.full(len(own), block, np.int64))}
+        yield pa.RecordBatch.from_pydict(named | {name: pa.array(numbers[start : start + 50_000]), "word": own})
 
-    ``docs`` ends with the text as bytes. ``weight`` is how often the word occurs in the documents that are ``counted``
-    (0 for all words without it).
-    """
+
+def word_counts(docs: DataFrame, split: Callable[[bytes], list], block_bytes: int) -> DataFrame:
+    """``(n, word)``: how often the distinct words of every block occur; the one column of ``docs`` is the text as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _blocks(batches, block_bytes):
+            found = _counted(rows, split)
+            yield from _word_batches(list(found), "n", np.fromiter(found.values(), np.int64, len(found)))
+
+    return docs.mapInArrow(tidy(run), "n bigint, word binary")
+
+
+def block_words(docs: DataFrame, split: Callable[[bytes], list], block_bytes: int) -> DataFrame:
+    """``(block, number, word)``: the distinct words of every block; ``docs`` ends with the text as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in _blocks(batches, block_bytes):
-            words, _, texts = _numbered(rows, split)
-            own = [t for row, t in zip(rows, texts) if counted and counted(row)]
-            weight = np.bincount(np.concatenate(own), minlength=len(words)) if own else np.zeros(len(words), np.int64)
-            words = [w.encode() for w in words] if words and isinstance(words[0], str) else words
-            for start in range(0, len(words), 50_000):
-                end = min(start + 50_000, len(words))
-                yield pa.RecordBatch.from_pydict({
-                    "block": pa.array(np.full(end - start, block, np.int64)),
-                    "number": pa.array(np.arange(start, end, dtype=np.int32)),
-                    "word": pa.array(words[start:end], pa.binary()),
-                    "weight": pa.array(weight[start:end].astype(np.int64)),
-                })
-
-    return docs.mapInArrow(tidy(run), "block bigint, number int, word binary, weight bigint")
+            found = _counted(rows, split)
+            order = _order(np.fromiter(found.values(), np.int64, len(found)))
+            words = list(found)
+            del found, rows
+            yield from _word_batches([words[i] for i in order.tolist()], "number", np.arange(len(words), dtype=np.int32), block)
+
+    return docs.mapInArrow(tidy(run), "block bigint, number int, word binary")
 
 
 def block_documents(
@@ -134,7 +152,7 @@ def block_documents(
             press = zstandard.ZstdCompressor(level=1).compress
             parts = range(0, len(rows) if score else 0, 200)
             scores = [float(x) for at in parts for x in score([row[-1] for row in rows[at : at + 200]])]
-            _, _, texts = _numbered(rows, split)
+            texts = _numbered(rows, split)
             for start in range(0, len(rows), 500):
                 some = rows[start : start + 500]
                 columns = {"block": pa.array(np.full(len(some), block, np.int64))}

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytolake.llm.blocks import block_documents, block_words, numbers_of
+from cytolake.llm.blocks import block_documents, block_words, numbers_of, word_counts
 from cytolake.llm.text import as_bytes, crc_mod, words_of
 from cytolake.llm.workers import give_back, tidy
 from cytolake.runtime import cut
@@ -161,36 +161,58 @@ class SuffixTree:
         Texts are cut into lanes of equal length that all step at once; a lane starts with the ``depth``
         symbols before it, which determine its state whatever came earlier.
         """
-        sequences = [self.column[symbols_of(t)] for t in texts]
-        lengths = np.array([len(s) for s in sequences], np.int64)
+        return Steps.of(self).score(texts, lane)
+
+
+@dataclass
+class Steps:
+    """A tree as it is scored: each state and class has one number, the place of the next state below and the bits of the log10 probability
+    above, so a step looks up once. The class after the last one stands behind a text's end and costs nothing."""
+
+    depth: int
+    column: np.ndarray
+    places: np.ndarray
+
+    @classmethod
+    def of(cls, tree: SuffixTree) -> "Steps":
+        states, classes = tree.log10.shape
+        if states * (classes + 1) > np.iinfo(np.int32).max:
+            raise ValueError("more states than a step can name")
+        both = np.zeros((states, classes + 1, 2), "<i4")
+        both[:, :classes, 0] = tree.following * np.int32(classes + 1)
+        both[:, :classes, 1] = tree.log10.astype("<f4", copy=False).view("<i4")
+        return cls(tree.depth, tree.column.astype(np.int32), both.view("<i8")[..., 0])
+
+    def score(self, texts: list[bytes | None], lane: int = 256) -> np.ndarray:
+        sequences = [np.frombuffer(b" ".join(words_of(t)), np.uint8) for t in texts]
+        lengths = np.array([len(s) + 1 for s in sequences], np.int64)
         lanes = -(-lengths // lane)
         first = np.concatenate([[0], np.cumsum(lanes)])
         out = np.zeros(len(texts))
         if not len(texts):
             return out
-        none = len(self.column)  # stands after a text's end
+        none = self.places.shape[1] - 1
         table = np.full((int(first[-1]), self.depth + lane), none, np.int32)
         table[:, : self.depth] = self.column[SPACE]
         for s, at in zip(sequences, first[:-1].tolist()):
-            n = -(-len(s) // lane)
+            n = -(-(len(s) + 1) // lane)
             padded = np.full(n * lane, none, np.int32)
-            padded[: len(s)] = s
+            padded[: len(s)] = self.column[s]
+            padded[len(s)] = self.column[END]
             table[at : at + n, self.depth :] = padded.reshape(n, lane)
             if n > 1:
                 table[at + 1 : at + n, : self.depth] = table[at : at + n - 1, lane:]
-        classes = self.log10.shape[1]
-        following, log10 = self.following.ravel(), self.log10.ravel()
+        places = self.places.ravel()
         sums = np.zeros(len(table))
         for at in range(0, len(table), 8192):
             steps = np.ascontiguousarray(table[at : at + 8192].T)
-            state = np.zeros(steps.shape[1], np.int64)
+            state = np.zeros(steps.shape[1], np.int32)
             total = np.zeros(steps.shape[1])
             for k, step in enumerate(steps):
-                live = step != none
-                place = state * classes + np.where(live, step, 0)
+                found = places.take(state + step)
+                state = found.view("<i4")[::2]
                 if k >= self.depth:
-                    total += np.where(live, log10[place], 0.0)
-                state = following[place].astype(np.int64)
+                    total += found.view("<f4")[1::2]
             sums[at : at + 8192] = total
         return np.add.reduceat(sums, first[:-1])
 
@@ -269,31 +291,33 @@ def model_scores(
         as_bytes(text_column).alias("text"),
     )
     tree = train_tree(rows.where(~F.col("held_out")).select("text"), depth, least_share, divergence, evidence, smoothing)
-    tables = spark.sparkContext.broadcast((tree.depth, tree.column, tree.following, tree.log10))
+    tables = spark.sparkContext.broadcast(Steps.of(tree))
     del tree
 
     def score(texts: list[bytes | None]) -> np.ndarray:
-        return SuffixTree(*tables.value).score(texts)
+        return tables.value.score(texts)
 
-    words = block_words(rows, words_of, block_bytes, counted=lambda row: not row[1])
-    counts = cut(words.groupBy("word").agg(F.sum("weight").alias("c")))
-    sums = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    ends = rows.where(~F.col("held_out")).count()
+    learned = rows.where(~F.col("held_out")).select("text")
+    counts = cut(word_counts(learned, words_of, block_bytes).groupBy("word").agg(F.sum("n").alias("c")))
+    sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    ends = learned.count()
     n, v = int(sums[0]) + ends, int(sums[1]) + (ends > 0)
     scale = float(n + 0.5 * (v + 1))
-    placed = words.select("block", "number", "word").join(counts, "word").select("block", "number", "c")
+    # words of held-out texts alone have no row: their count is 0
+    placed = block_words(rows, words_of, block_bytes).join(counts, "word").select("block", "number", "c")
 
     def base(numbered: pa.Table, documents: pa.Table) -> pa.Table:
-        known = np.zeros(numbered.num_rows, np.int64)
-        known[numbered.column("number").to_numpy()] = numbered.column("c").to_numpy()
+        named = numbered.column("number").to_numpy()
+        known = np.zeros(int(named.max(initial=-1)) + 2, np.int64)  # the last one is that of all words beyond: 0
+        known[named] = numbered.column("c").to_numpy()
         chance = np.log10((known + 0.5) / scale)
         end = float(np.log10((ends + 0.5) / scale))
         tokens, seen, scores = [], [], []
         for packed in documents.column("numbers").to_pylist():
             own = numbers_of(packed)
             tokens.append(len(own) + 1)
-            seen.append(int((known[own] > 0).sum()) + (ends > 0))
-            scores.append(float(chance[own].sum()) + end)
+            seen.append(int((known.take(own, mode="clip") > 0).sum()) + (ends > 0))
+            scores.append(float(chance.take(own, mode="clip").sum()) + end)
         give_back()
         return pa.table({
             "doc_id": documents.column("id"), "held_out": documents.column("held_out"), "n_tokens": pa.array(tokens, pa.int64()),

@@ -1,6 +1,7 @@
 """BPE, token files and suffix tree against the library and plain versions."""
 
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cytolake.llm import blocks, bpe, suffix_tree, token_files
+from cytolake.llm.text import words_of
 
 from odd_rows import ODD, SMALL
 
@@ -185,3 +187,36 @@ def test_model_is_better_than_the_base_on_held_out_texts(spark):
     r = suffix_tree.model_scores(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("held_out")
     row = r.agg(F.sum("score").alias("m"), F.sum("base_score").alias("b")).first()
     assert row.m > row.b
+
+
+def test_packing_takes_as_many_bytes_as_needed():
+    numbers = np.array([0, 1, 127, 128, 16383, 16384, (1 << 28) - 1, 1 << 28, (1 << 31) - 1, (1 << 62) + 5], np.int64)
+    for most in range(1, len(numbers) + 1):
+        packed = blocks.pack(numbers[:most])
+        assert blocks.unpack(packed).tolist() == numbers[:most].tolist()
+        assert len(packed) == sum(max(1, -(-int(n).bit_length() // 7)) for n in numbers[:most])
+
+
+def test_a_step_of_the_tree_looks_up_once(spark):
+    """The scoring table holds the next place and the probability side by side and gives what the two tables gave, to the last bit."""
+    dice = random.Random(8)
+    texts = [" ".join("".join(dice.choices("abcé", k=dice.randrange(1, 5))) for _ in range(dice.randrange(0, 90))).encode() for _ in range(60)] + [None, b""]
+    tree = suffix_tree.train_tree(spark.createDataFrame([(t,) for t in texts[:40]], "text binary"), 3, 1e-3)
+    steps = suffix_tree.Steps.of(tree)
+    want = []
+    for t in texts:
+        state, total = 0, 0.0
+        for symbol in [32] * 3:
+            state = int(tree.following[state, tree.column[symbol]])
+        for symbol in suffix_tree.symbols_of(t).tolist():
+            total += float(tree.log10[state, tree.column[symbol]])
+            state = int(tree.following[state, tree.column[symbol]])
+        want.append(total)
+    assert steps.score(texts, lane=10**6).tolist() == want
+    assert np.allclose(steps.score(texts, lane=16), want, rtol=1e-12)
+
+
+def test_words_are_counted_by_block_in_training_texts(spark, tmp_path):
+    spark.createDataFrame([(b"A b\xc3\xa9 a",), (None,), (b" a\tc ",)], "text binary").write.parquet(f"{tmp_path}/t")
+    found = blocks.word_counts(spark.read.parquet(f"{tmp_path}/t"), words_of, 1).groupBy("word").agg(F.sum("n").alias("n")).collect()
+    assert {bytes(r.word): r.n for r in found} == {b"a": 3, "bé".encode(): 1, b"c": 1}
