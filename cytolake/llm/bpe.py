@@ -77,7 +77,7 @@ def word_splitter(tokenizer_text: str) -> Callable[[bytes], list[str]]:
 
     def words(text: str) -> list[str]:
         nonlocal library
-        if not _UNSETTLED.search(text):
+        if text.isascii() or not _UNSETTLED.search(text):
             return find(text)
         if library is None:
             library = load_tokenizer(tokenizer_text).pre_tokenizer
@@ -103,13 +103,52 @@ class LazySplitter:
 
     def __call__(self, data: bytes) -> list[str]:
         if self.split is None:
-            self.split = word_splitter(self.broadcast.value)
+            self.split = _kept_in_worker(word_splitter, self.broadcast.value)
         return self.split(data)
 
     def __getstate__(self):
         return {"broadcast": self.broadcast, "split": None}
 
 
+class WordEncoder:
+    """Ids of words as the splitter lists them.
+
+    Words of a space and letters a-z go to the library joined, some hundreds at a time, as it splits them again where they meet; the bytes
+    that ids stand for tell where a word ends. Other words go one by one.
+    """
+
+    JOINED = 500
+
+    def __init__(self, tokenizer_text: str) -> None:
+        self.tokenizer = load_tokenizer(tokenizer_text)
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.joins = not any(re.fullmatch("[A-Za-z ]*", t) for t in added)  # none arises where words meet
+        self.size = np.array([len(p) for p in pieces_of(tokenizer_text)], np.int64)
+
+    def __call__(self, words: list[str], kind: str = "<u4") -> dict[str, bytes]:
+        """Ids of distinct words as little-endian unsigned integers."""
+        plain = [w for w in words if w[:1] == " " and w.isascii() and w[1:].isalpha()] if self.joins else []
+        found = self._joined(plain, kind) if plain else {}
+        if len(found) < len(words):
+            alone = [w for w in words if w not in found]
+            for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
+                found[w] = array("I", e.ids).tobytes() if kind == "<u4" else np.array(e.ids, kind).tobytes()
+        return found
+
+    def _joined(self, words: list[str], kind: str) -> dict[str, bytes]:
+        texts = ["".join(words[i : i + self.JOINED]) for i in range(0, len(words), self.JOINED)]
+        ids = np.concatenate([np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        want = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        reached = np.cumsum(self.size[ids])
+        last = np.searchsorted(reached, want)
+        if last[-1] >= len(ids) or (reached[last] != want).any():  # a piece without its bytes
+            return {}
+        raw = ids.astype(kind)
+        ends = ((last + 1) * raw.itemsize).tolist()
+        raw = raw.tobytes()
+        return {w: raw[a:b] for w, a, b in zip(words, [0, *ends], ends)}
+
+
 class CachedEncoder:
     """Encodes whole texts, giving a word to the library only when it is not among those seen lately.
 
@@ -118,7 +157,7 @@ class CachedEncoder:
     """
 
     def __init__(self, tokenizer_text: str, most: int = 600_000) -> None:
-        self.tokenizer, self.split, self.most = load_tokenizer(tokenizer_text), word_splitter(tokenizer_text), most
+        self.encode, self.split, self.most = WordEncoder(tokenizer_text), word_splitter(tokenizer_text), most
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -128,17 +167,15 @@ class CachedEncoder:
         missing = set().union(*words).difference(self.known)
         again = [w for w in missing if w in self.older]
         self.known.update((w, self.older[w]) for w in again)
-        new = list(missing.difference(again))
-        encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self.known.update((w, array("I", e.ids).tobytes()) for w, e in zip(new, encoded))
+        self.known.update(self.encode(list(missing.difference(again))))
         out = [b"".join(map(self.known.__getitem__, own)) for own in words]
         if len(self.known) > self.most:
             self.older, self.known = self.known, {}
         return out
 
 
-def worker_encoder(tokenizer_text: str) -> CachedEncoder:
-    """The encoder of this Python worker, kept from task to task.
+def _kept_in_worker(make: Callable, tokenizer_text: str):
+    """What ``make`` gives for the tokenizer, kept by this Python worker from task to task.
 
     Functions travel by value and bring new globals with every task, so what should outlive a task is kept with the
     library, which a worker imports once.
@@ -146,12 +183,17 @@ def worker_encoder(tokenizer_text: str) -> CachedEncoder:
     import tokenizers
 
     kept = tokenizers.__dict__.setdefault("_encoders_of_worker", {})
-    key = hash(tokenizer_text)
+    key = make.__name__, hash(tokenizer_text)
     if key not in kept:
-        kept[key] = CachedEncoder(tokenizer_text)
+        kept[key] = make(tokenizer_text)
     return kept[key]
 
 
+def worker_encoder(tokenizer_text: str) -> CachedEncoder:
+    """The encoder of this Python worker."""
+    return _kept_in_worker(CachedEncoder, tokenizer_text)
+
+
 def encode_documents(
     docs: DataFrame,
     tokenizer_path: str,
@@ -177,13 +219,14 @@ def encode_documents(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by word: each distinct word is encoded once, also where its rows span batches."""
-        tokenizer = load_tokenizer(shipped.value)
+        encoder = None
         last: tuple[bytes | None, bytes] = (None, b"")
         for batch in batches:
             words = batch.column("word").to_pylist()
+            encoder = encoder or _kept_in_worker(WordEncoder, shipped.value)
             new = [w for a, w in zip([last[0], *words], words) if w != a]
-            ids = tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)
-            found = {w: np.array(e.ids, small).tobytes() for w, e in zip(new, ids)} | {last[0]: last[1]}
+            named = [w.decode("utf-8") for w in new]
+            found = dict(zip(new, map(encoder(named, small).__getitem__, named))) | {last[0]: last[1]}
             last = (words[-1], found[words[-1]]) if words else last
             yield pa.RecordBatch.from_pydict({
                 "block": batch.column("block"), "number": batch.column("number"), "piece": pa.array([found[w] for w in words], pa.binary()),
@@ -265,7 +308,7 @@ def decoded(raw: bytes | None, pieces: list[bytes]) -> str:
     """Text of ids, each joined with its piece."""
     ids = np.frombuffer(raw or b"", "<u4")
     ids = ids[ids < len(pieces)] if len(ids) and ids.max() >= len(pieces) else ids
-    return b"".join([pieces[i] for i in ids.tolist()]).decode("utf-8", "replace")
+    return b"".join(map(pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
 def decode_documents(encoded: DataFrame, tokenizer_path: str, ids_column: str = "ids") -> DataFrame:

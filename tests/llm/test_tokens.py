@@ -1,5 +1,6 @@
 """BPE, token files and suffix tree against the library and plain versions."""
 
+import json
 import math
 import random
 import zlib
@@ -189,6 +190,38 @@ def test_model_is_better_than_the_base_on_held_out_texts(spark):
     assert row.m > row.b
 
 
+def test_words_are_encoded_together():
+    """Words of a space and letters reach the library some hundreds at a time, each with the ids it has alone; before, one by one."""
+    text = bpe.read_tokenizer(PATH)
+    encoder, library = bpe.WordEncoder(text), bpe.load_tokenizer(text)
+    dice, sent = random.Random(5), []
+    words = list({" " + "".join(dice.choices("abcdefghijklmnopqrstuvwxyzABCXYZ", k=dice.randrange(1, 14))) for _ in range(3000)})
+    others = ["", " ", "a", "Plain", " é", " naïve", " x1", "'s", "\n", "<|endoftext|>", " 12", " ²", "ſ"]
+    dice.shuffle(words := words + others)
+
+    class Watched:
+        def encode_batch_fast(self, texts, **options):
+            sent.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Watched()
+    for kind in ("<u4", "<u2"):
+        got = encoder(words, kind)
+        assert got.keys() == set(words)
+        assert {w: np.frombuffer(b, kind).tolist() for w, b in got.items()} == {w: library.encode(w, add_special_tokens=False).ids for w in words}
+    assert len(sent) < 2 * (len(others) + len(words) // 500 + 1) + 1
+    assert encoder([]) == {}
+
+
+def test_words_that_could_meet_in_an_added_token_go_alone():
+    spec = json.loads(bpe.read_tokenizer(PATH))
+    spec["added_tokens"].append({**spec["added_tokens"][0], "id": 1 + max(t["id"] for t in spec["added_tokens"]) + len(spec["model"]["vocab"]), "content": "o b"})
+    encoder = bpe.WordEncoder(json.dumps(spec))
+    library = bpe.load_tokenizer(json.dumps(spec))
+    words = [" foo", " bar", " two"]
+    assert {w: np.frombuffer(b, "<u4").tolist() for w, b in encoder(words).items()} == {w: library.encode(w, add_special_tokens=False).ids for w in words}
+
+
 def test_packing_takes_as_many_bytes_as_needed():
     numbers = np.array([0, 1, 127, 128, 16383, 16384, (1 << 28) - 1, 1 << 28, (1 << 31) - 1, (1 << 62) + 5], np.int64)
     for most in range(1, len(numbers) + 1):
