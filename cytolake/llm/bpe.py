@@ -149,6 +149,22 @@ class WordEncoder:
         return {w: raw[a:b] for w, a, b in zip(words, [0, *ends], ends)}
 
 
+class _Known(dict):
+    """Ids of the words seen lately. A word among the ``older`` ones moves here; one that is in neither stands for itself and waits in ``new``."""
+
+    def __init__(self, older: dict) -> None:
+        super().__init__()
+        self.older, self.new = older, []
+
+    def __missing__(self, word: str) -> bytes | str:
+        found = self.older.get(word)
+        if found is None:
+            self.new.append(word)
+            found = word
+        self[word] = found
+        return found
+
+
 class CachedEncoder:
     """Encodes whole texts, giving a word to the library only when it is not among those seen lately.
 
@@ -158,20 +174,25 @@ class CachedEncoder:
 
     def __init__(self, tokenizer_text: str, most: int = 600_000) -> None:
         self.encode, self.split, self.most = WordEncoder(tokenizer_text), word_splitter(tokenizer_text), most
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = _Known({})
 
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers; null is empty."""
-        words = [self.split(t or b"") for t in texts]
-        missing = set().union(*words).difference(self.known)
-        again = [w for w in missing if w in self.older]
-        self.known.update((w, self.older[w]) for w in again)
-        self.known.update(self.encode(list(missing.difference(again))))
-        out = [b"".join(map(self.known.__getitem__, own)) for own in words]
+        look = self.known.__getitem__
+        found = [list(map(look, self.split(t or b""))) for t in texts]  # each word is looked up once
+        new, self.known.new = self.known.new, []
+        if new:
+            try:
+                encoded = self.encode(new)
+            except BaseException:  # no word may stay that stands for itself
+                self.known = _Known({})
+                raise
+            self.known.update(encoded)
+            found = [[encoded[x] if x.__class__ is str else x for x in own] for own in found]
         if len(self.known) > self.most:
-            self.older, self.known = self.known, {}
-        return out
+            self.known.older = {}
+            self.known = _Known(self.known)
+        return [b"".join(own) for own in found]
 
 
 def _kept_in_worker(make: Callable, tokenizer_text: str):

@@ -253,3 +253,21 @@ def test_words_are_counted_by_block_in_training_texts(spark, tmp_path):
     spark.createDataFrame([(b"A b\xc3\xa9 a",), (None,), (b" a\tc ",)], "text binary").write.parquet(f"{tmp_path}/t")
     found = blocks.word_counts(spark.read.parquet(f"{tmp_path}/t"), words_of, 1).groupBy("word").agg(F.sum("n").alias("n")).collect()
     assert {bytes(r.word): r.n for r in found} == {b"a": 3, "bé".encode(): 1, b"c": 1}
+
+
+@pytest.mark.parametrize("most", [3, 1000])
+def test_each_word_of_a_text_is_looked_up_once(library, most):
+    """A word that is known is found in one look-up, a new one is encoded once a call; words that were put aside come back."""
+    encoder, dice, asked = bpe.CachedEncoder(bpe.read_tokenizer(PATH), most), random.Random(4), []
+    encode = encoder.encode
+    encoder.encode = lambda words: asked.append(list(words)) or encode(words)
+    for _ in range(30):
+        texts = [" ".join(dice.choices(["the", "cat", "naïve", "x1", "日本", "'s", "<|endoftext|>", "\n\n"], k=dice.randrange(6))).encode() for _ in range(4)] + [None, b""]
+        looks, known = [], encoder.known
+        encoder.known = type("Watched", (bpe._Known,), {"__getitem__": lambda self, w: looks.append(w) or bpe._Known.__getitem__(self, w)})(known.older)
+        encoder.known.update(known)
+        got = [np.frombuffer(ids, "<u4").tolist() for ids in encoder(texts)]
+        assert got == [library.encode((t or b"").decode(), add_special_tokens=False).ids for t in texts]
+        assert looks == [w for t in texts for w in encoder.split(t or b"")]
+    assert all(len(own) == len(set(own)) for own in asked)
+    assert most == 3 or sum(map(len, asked)) == len(set(sum(asked, [])))
