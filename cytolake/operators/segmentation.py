@@ -251,8 +251,13 @@ def instance_geometry(pixels: DataFrame, inst: str) -> DataFrame:
 
 
 def class_at_centroid(pixels: DataFrame, inst: str, cls: str) -> DataFrame:
-    """(tile_id, inst, class) with the class of the pixel under the instance's mean position."""
-    spots = instance_geometry(pixels, inst).select("tile_id", "inst", "row", "col")
+    """(tile_id, inst, class) with the class of the pixel under the instance's mean position.
+
+    Pixels that are dealt by tile are looked up where they are, as in :func:`stack_layers`; only positions, a row per instance, are
+    held, no pixel is sorted.
+    """
+    pixels.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    spots = instance_geometry(pixels, inst).select("tile_id", "inst", "row", "col").hint("shuffle_hash")
     under = pixels.select("tile_id", "row", "col", F.col(cls).alias("class"))
     return spots.join(under, ["tile_id", "row", "col"]).select("tile_id", "inst", "class")
 
@@ -277,7 +282,7 @@ def confusion_matrix(labels: DataFrame) -> DataFrame:
     All labels seen on either side make up the matrix; it has one row per label pair, so the
     windows run over a handful of rows.
     """
-    counts = labels.groupBy("t", "p").agg(F.count("*").alias("n"))
+    counts = cut(labels.groupBy("t", "p").agg(F.count("*").alias("n")))  # read twice
     seen = counts.select(F.explode(F.array("t", "p")).alias("c")).distinct().agg(F.sort_array(F.collect_set("c")).alias("cs"))
     grid = seen.select(F.explode("cs").alias("t"), "cs").select("t", F.explode("cs").alias("p"))
     full = grid.join(counts, ["t", "p"], "left").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -36,7 +36,7 @@ def apply_session_rules(spark: SparkSession, broadcast_limit: str = "10MB") -> N
 
     Batches that go to Python hold few rows, as a row can be a whole text.
 
-    Joins deal by all their keys, so that a large slide is spread; `stack_layers` alone turns that off.
+    Joins deal by all their keys, so that a large slide is spread; only `stack_layers` and `class_at_centroid` turn that off.
     """
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", broadcast_limit)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cytolake.operators.segmentation import stack_layers
+from cytolake.operators.segmentation import class_at_centroid, confusion_matrix, stack_layers
 from cytolake.runtime import apply_session_rules
 from workloads import inputs as I
 
@@ -41,3 +41,36 @@ def test_layers_of_dealt_tiles_are_joined_where_they_are(spark):
         assert stacked.where("tile_id < 20").exceptAll(px.where("tile_id < 20").select(*at, F.col("row").alias("r"), "true_inst", "true_class")).isEmpty()
     finally:
         apply_session_rules(spark)
+
+
+def _tiles(spark):
+    """Ten 6 x 6 tiles of two instances: rows 0 to 2 and 3 to 5; the class tells tile and row. Pixels of tile 3 come twice."""
+    px = spark.range(360).select(
+        (F.col("id") / 36).cast("bigint").alias("tile_id"),
+        (F.col("id") / 6 % 6).cast("int").alias("row"),
+        (F.col("id") % 6).cast("int").alias("col"),
+    )
+    px = px.unionByName(px.where("tile_id = 3"))
+    return px.select("*", (1 + F.col("row") / 3).cast("int").alias("inst"), (F.col("tile_id") * 10 + F.col("row")).cast("int").alias("cls"))
+
+
+def test_classes_of_dealt_tiles_are_looked_up_where_they_are(spark):
+    expected = sorted((t, i, 10 * t + 3 * i - 2) for t in range(10) for i in (1, 2) for _ in range(2 if t == 3 else 1))
+    try:
+        for px, exchanges in ((_tiles(spark).repartition(3, "tile_id"), 2), (_tiles(spark), None)):
+            apply_session_rules(spark)
+            found = class_at_centroid(px, "inst", "cls")
+            plan = found._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+            assert sorted(tuple(r) for r in found.collect()) == expected
+            if exchanges:  # tiles are dealt for the positions and for the pixels, pixels are not dealt again
+                assert plan.count("Exchange hashpartitioning(tile_id") == exchanges
+                assert "Sort [" not in plan
+    finally:
+        apply_session_rules(spark)
+
+
+def test_confusion_matrix_reads_the_labels_once(spark):
+    labels = spark.range(30).select((F.col("id") % 2).alias("t"), (F.col("id") % 3).alias("p"))
+    found = confusion_matrix(labels)
+    assert "Range (" not in found._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert sorted((r["t"], r["p"], r["n"]) for r in found.collect()) == [(t, p, 5 if t < 2 else 0) for t in range(3) for p in range(3)]
